@@ -103,7 +103,7 @@ CHURN_POINTS = """least(0.95, (CASE WHEN days_since_last_play > 30 THEN 0.4 WHEN
 SCORED_SQL = f"""SELECT user_id, churn_prob, {risk_sql('churn_prob')} AS risk_level, churn_prob >= 0.7 AS queued
                  FROM (SELECT user_id, {CHURN_POINTS} AS churn_prob FROM ({CHURN_SQL}))"""
 
-register("churn_features", CHURN_SQL, CHURN_COLUMNS)(churn_table)
+register("churn_features", CHURN_SQL, CHURN_COLUMNS, digits=9)(churn_table)
 register("churn_heuristic", f"SELECT user_id, {CHURN_POINTS} AS churn_prob FROM ({CHURN_SQL})", "churn_prob")(
     lambda spark, d: churn_table(spark, d).select(
         "user_id", churn_heuristic(F.col("days_since_last_play"), F.col("session_frequency")).alias("churn_prob")
@@ -535,7 +535,7 @@ WEEKLY_SQL = f"""
                      FROM plain_sessions GROUP BY 1, 2) WHERE rn = 1) m ON m.uid = u.id
     GROUP BY 1"""
 SKILL_COLUMNS = "avg_solve_time_easy avg_solve_time_medium avg_solve_time_hard hint_rate"
-register("skill_features_weekly", WEEKLY_SQL, SKILL_COLUMNS + " error_rate session_length_avg")(
+register("skill_features_weekly", WEEKLY_SQL, SKILL_COLUMNS + " error_rate session_length_avg", digits=9)(
     lambda spark, d: ft.skill_features_weekly(b.people(spark, d), b.sessions(spark, d), AS_OF)
 )
 STORE_SQL = f"""
@@ -545,7 +545,10 @@ STORE_SQL = f"""
       (count(s.id) FILTER (WHERE started_at >= DATE '2001-08-01' - 30))::DOUBLE AS games_last_30d
     {FROM_USERS} GROUP BY 1"""
 register(
-    "skill_features_store", STORE_SQL, SKILL_COLUMNS + " error_rate completion_rate difficulty_spread games_last_30d"
+    "skill_features_store",
+    STORE_SQL,
+    SKILL_COLUMNS + " error_rate completion_rate difficulty_spread games_last_30d",
+    digits=9,
 )(lambda spark, d: ft.skill_features_store(b.people(spark, d), b.sessions(spark, d), AS_OF))
 TIMING_COLUMNS = (
     "time_mean_norm time_std_norm time_min_norm time_p10_norm error_rate hint_rate fill_rate_norm duration_ratio "
@@ -561,7 +564,7 @@ TIMING_SQL = f"""
                  avg(errors_count) AS errors, avg(hints_used) AS hints, avg(t) / 60 AS minutes, count(s.id) AS n,
                  count(*) FILTER (WHERE status = 'completed') AS done
           FROM users u LEFT JOIN (SELECT *, time_elapsed_ms / 1000.0::DOUBLE AS t FROM sessions) s ON s.user_id = u.id GROUP BY 1)"""
-register("anomaly_features_user", TIMING_SQL, TIMING_COLUMNS)(
+register("anomaly_features_user", TIMING_SQL, TIMING_COLUMNS, digits=9)(
     lambda spark, d: ft.anomaly_features_user(b.people(spark, d), b.sessions(spark, d))
 )
 TREND_SQL = """
