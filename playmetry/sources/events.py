@@ -56,9 +56,9 @@ def read_event_jsonl(
     if not _path_exists(spark, path):
         rows = spark.createDataFrame([], schema)
     else:
-        rows = spark.read.schema(schema).json(
-            path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
-        )
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        rows = lines.select(F.from_json("value", schema, options).alias("e")).select("e.*")
     if keep_corrupt:
         return rows
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)

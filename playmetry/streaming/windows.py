@@ -81,12 +81,14 @@ def sustained_alert(windows: DataFrame, by: Sequence[str], step_secs: int, hold_
 def client_sessions(df: DataFrame, gap_minutes: int = 30) -> DataFrame:
     """Sessions of each user: a pause of the gap or more starts a new one.
 
-    A stream uses session windows. In batch, events within a third of the gap always
+    A stream uses session windows; they still join events exactly one gap apart, so their
+    gap is a microsecond shorter. In batch, events within a third of the gap always
     belong together, so they collapse to one row (first, last, count) before the shuffle
     and a busy user adds only so many rows per day, whatever the number of events.
     """
     if df.isStreaming:
-        grouped = df.groupBy(F.session_window("ts", f"{gap_minutes} minutes").alias("w"), "user_id")
+        gap = f"{gap_minutes * 60_000_000 - 1} microseconds"
+        grouped = df.groupBy(F.session_window("ts", gap).alias("w"), "user_id")
         return grouped.agg(
             F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), _n().alias("n_events")
         ).drop("w")
