@@ -15,6 +15,11 @@ def _any_word(words: list[str]) -> str:
     return f"(?iu){_NOT_BEFORE}({'|'.join(words)}){_NOT_AFTER}"
 
 
+# A whole word of every severe phrase, and of every form of the threat pattern.
+_SEVERE_MARKS = [phrase.split()[-1] if " " in phrase else phrase for phrase in vocab.SEVERE_PHRASES]
+_THREAT_MARKS = ["kill", "hurt", "destroy", "find"]
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
@@ -22,16 +27,20 @@ def strip(text: Column) -> Column:
 def toxicity_keywords(
     text: Column, words: list[str] | None = None, max_chars: int | None = None
 ) -> Column:
-    """Keyword category of the whole text, most serious first; `max_chars` cuts it when set."""
-    cleaned = strip(text)
-    if max_chars is not None:
-        cleaned = F.substring(cleaned, 1, max_chars)
-    blank = text.isNull() | (cleaned == "")
+    """Keyword category of the whole text, most serious first; `max_chars` cuts it when set.
+
+    Every pattern holds one of a few whole words. One pass looks for those; only texts that
+    have one go through the patterns in order.
+    """
+    words = words or vocab.TOXIC_WORDS
+    cleaned = text if max_chars is None else F.substring(strip(text), 1, max_chars)
+    blank = text.isNull() | ~cleaned.rlike(r"[^\s\p{Z}]")
+    needed = sorted({*words, *_SEVERE_MARKS, *_THREAT_MARKS})
     category = (
-        F.when(blank, "clean")
+        F.when(blank | ~cleaned.rlike(_any_word(needed)), "clean")
         .when(cleaned.rlike(_any_word(vocab.SEVERE_PHRASES)), "severe_toxic")
         .when(cleaned.rlike("(?iu)" + vocab.THREAT_PATTERN), "threat")
-        .when(cleaned.rlike(_any_word(words or vocab.TOXIC_WORDS)), "toxic")
+        .when(cleaned.rlike(_any_word(words)), "toxic")
         .otherwise("clean")
     )
     return F.struct(
@@ -43,13 +52,19 @@ def toxicity_keywords(
 
 def mask_profanity(text: Column, words: list[str] | None = None) -> Column:
     """Replace blocked whole words (ASCII word borders) with as many asterisks."""
+    words = words or vocab.BLOCKED_WORDS
+
+    def pattern(group: list[str]) -> str:
+        return f"(?i)(?<![A-Za-z0-9_])({'|'.join(group)})(?![A-Za-z0-9_])"
+
     by_length: dict[int, list[str]] = {}
-    for word in words or vocab.BLOCKED_WORDS:
+    for word in words:
         by_length.setdefault(len(word), []).append(word)
+    masked = text
     for length, group in by_length.items():
-        pattern = f"(?i)(?<![A-Za-z0-9_])({'|'.join(group)})(?![A-Za-z0-9_])"
-        text = F.regexp_replace(text, pattern, "*" * length)
-    return text
+        masked = F.regexp_replace(masked, pattern(group), "*" * length)
+    # Most texts have none of the words and need one pass only.
+    return F.when(text.rlike(pattern(words)), masked).otherwise(text)
 
 
 def message_prep(text: Column, n: int = 500) -> Column:

@@ -17,6 +17,16 @@ HOUSES = ROWS + COLUMNS + BOXES
 PEERS = [
     sorted({j for house in HOUSES if i in house for j in house} - {i}) for i in range(81)
 ]
+# Positions in HOUSES of the row, column and box of each cell.
+HOUSES_OF = [[n for n, house in enumerate(HOUSES) if i in house] for i in range(81)]
+# Where a box meets a line: the cells of both, of the box only, and of the line only.
+CROSSINGS = [
+    ([i for i in line if i in box], [i for i in box if i not in line], [i for i in line if i not in box])
+    for line in ROWS + COLUMNS
+    for box in BOXES
+    if set(line) & set(box)
+]
+CROSSINGS_OF = [[n for n, (both, _, _) in enumerate(CROSSINGS) if i in both] for i in range(81)]
 FEATURES = [
     "clue_count",
     "naked_singles",
@@ -81,163 +91,156 @@ def board_conflicts(boards: DataFrame) -> DataFrame:
     )
 
 
-def with_masks(boards: DataFrame) -> DataFrame:
-    """Boards with a `masks` column of 81 candidate bit masks."""
-    peers = _table(PEERS)
-    used = F.transform(
-        "board",
-        lambda v: F.when(v == 0, F.lit(0)).otherwise(
-            F.call_function("shiftleft", F.lit(1), (v - 1).cast("int"))
-        ),
-    )
+def _any_bits(cells: Column, bits: Column) -> Column:
+    return F.aggregate(cells, F.lit(0), lambda a, i: a.bitwiseOR(bits[i]))
+
+
+def _digit_bit(digit: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), (digit - 1).cast("int"))
+
+
+def candidate_masks(board: Column) -> Column:
+    """Allowed digits of every cell as a bit mask (bit d-1 for digit d); 0 for filled cells."""
+    bits = F.transform(board, lambda v: F.when(v == 0, F.lit(0)).otherwise(_digit_bit(v)))
 
-    def masks(board: Column, bits: Column) -> Column:
+    def of_board(s: Column) -> Column:
+        used = F.transform(_table(HOUSES), lambda house: _any_bits(house, s["bits"]))
+        return _let(F.struct(s["board"].alias("board"), used.alias("used")), of_houses)
+
+    def of_houses(s: Column) -> Column:
         return F.transform(
-            _cells(),
-            lambda i: F.when(board[i] != 0, F.lit(0)).otherwise(
-                F.aggregate(peers[i], F.lit(511), lambda a, p: a.bitwiseAND(F.bitwise_not(bits[p])))
+            _table(HOUSES_OF),
+            lambda hs, i: F.when(s["board"][i] != 0, F.lit(0)).otherwise(
+                F.lit(511).bitwiseAND(F.bitwise_not(_any_bits(hs, s["used"])))
             ),
         )
 
-    bound = _let(F.struct(F.col("board").alias("b"), used.alias("u")), lambda s: masks(s["b"], s["u"]))
-    return boards.withColumn("masks", bound)
+    return _let(F.struct(board.alias("board"), bits.alias("bits")), of_board)
 
 
 def candidates(boards: DataFrame) -> DataFrame:
     """Allowed digits of each empty cell, one row per (cell, digit)."""
-    per_cell = with_masks(boards).select("puzzle_id", F.posexplode("masks").alias("idx", "mask"))
+    masks = candidate_masks(F.col("board"))
+    per_cell = boards.select("puzzle_id", F.posexplode(masks).alias("idx", "mask"))
     digits = F.filter(F.sequence(F.lit(1), F.lit(9)), lambda d: _has(F.col("mask"), d))
     return per_cell.where("mask <> 0").select("puzzle_id", "idx", F.explode(digits).alias("digit"))
 
 
 def _has(mask: Column, digit: Column) -> Column:
-    bit = F.call_function("shiftleft", F.lit(1), (digit - 1).cast("int"))
-    return mask.bitwiseAND(bit) != 0
+    return mask.bitwiseAND(_digit_bit(digit)) != 0
 
 
 def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
-
-
-def _digits() -> Column:
-    return F.sequence(F.lit(1), F.lit(9))
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x.cast("int"))
 
 
-def _positions(masks: Column, house: Column, digit: Column) -> Column:
-    return F.filter(house, lambda i: _has(masks[i], digit))
+def _size(mask: Column) -> Column:
+    return F.bit_count(mask).cast("int")
 
 
-def _hidden_single_cells(masks: Column) -> Column:
-    """Cells that are the only place of a digit in a row, column or box."""
-    per_house = F.transform(
-        _table(HOUSES),
-        lambda house: F.transform(_digits(), lambda d: _positions(masks, house, d)),
-    )
-    return F.array_distinct(
-        F.flatten(F.filter(F.flatten(per_house), lambda cells: F.size(cells) == 1))
-    )
-
+def _analysis(board: Column) -> Column:
+    """What the rules share, as one struct:
 
-def _pairs(masks: Column, houses: list[list[int]]) -> Column:
-    """Cell pairs of a house that share the same two candidates (and no third cell does)."""
-
-    def of_house(house: Column) -> Column:
-        two = F.filter(house, lambda i: F.bit_count(masks[i]) == 2)
-        kinds = F.array_distinct(F.transform(two, lambda i: masks[i]))
-        groups = F.transform(kinds, lambda m: F.filter(two, lambda i: masks[i] == m))
-        return F.filter(groups, lambda g: F.size(g) == 2)
+    `masks` candidates per cell; `once` per house the digits with a single place in it;
+    `only` per crossing the digits whose places in the box all lie on the line.
+    """
 
-    return F.flatten(F.transform(_table(houses), of_house))
+    def once_in(house: Column, masks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("again"))
+        return F.aggregate(
+            house,
+            start,
+            lambda s, i: F.struct(
+                s["seen"].bitwiseOR(masks[i]).alias("seen"),
+                s["again"].bitwiseOR(s["seen"].bitwiseAND(masks[i])).alias("again"),
+            ),
+            lambda s: s["seen"].bitwiseAND(F.bitwise_not(s["again"])),
+        )
 
+    def of_masks(masks: Column) -> Column:
+        box_rest = _table([rest for _, rest, _ in CROSSINGS])
+        return F.struct(
+            masks.alias("masks"),
+            F.transform(_table(HOUSES), lambda house: once_in(house, masks)).alias("once"),
+            F.transform(
+                _table([both for both, _, _ in CROSSINGS]),
+                lambda both, n: _any_bits(both, masks).bitwiseAND(
+                    F.bitwise_not(_any_bits(box_rest[n], masks))
+                ),
+            ).alias("only"),
+        )
 
-def _intersections(masks: Column) -> Column:
-    """For each (digit, box) with candidates: their cells, and the line they share, if any.
+    return _let(candidate_masks(board), of_masks)
 
-    `row` / `col` is the shared line or -1; `row_out` / `col_out` counts the digit's
-    candidates elsewhere on that line.
-    """
-    rows, columns = _table(ROWS), _table(COLUMNS)
 
-    def of_box(box: Column, digit: Column) -> Column:
-        cells = _positions(masks, box, digit)
-        first = F.element_at(cells, 1)
-        one_row = F.forall(cells, lambda i: F.floor(i / 9) == F.floor(first / 9))
-        one_col = F.forall(cells, lambda i: (i % 9) == (first % 9))
+def _in_once(a: Column, i: Column) -> Column:
+    """Cell holds a digit that has no other place in its row, column or box."""
+    return a["masks"][i].bitwiseAND(_any_bits(_table(HOUSES_OF)[i], a["once"])) != 0
 
-        def outside(line: Column) -> Column:
-            return F.size(
-                F.filter(line, lambda i: _has(masks[i], digit) & ~F.array_contains(box, i))
-            )
 
-        return F.when(
-            F.size(cells) > 0,
-            F.struct(
-                cells.alias("cells"),
-                one_row.cast("int").alias("one_row"),
-                one_col.cast("int").alias("one_col"),
-                F.when(one_row, outside(rows[F.floor(first / 9).cast("int")])).otherwise(0).alias("row_out"),
-                F.when(one_col, outside(columns[(first % 9).cast("int")])).otherwise(0).alias("col_out"),
-            ),
-        )
+def _twins(masks: Column, house: Column, i: Column) -> Column:
+    """Cell has two candidates, and exactly one other cell of the house has the same two."""
+    return (_size(masks[i]) == 2) & (F.size(F.filter(house, lambda j: masks[j] == masks[i])) == 2)
 
-    per_box = F.transform(
-        _table(BOXES), lambda box: F.transform(_digits(), lambda d: of_box(box, d))
-    )
-    return F.array_compact(F.flatten(per_box))
 
+def _filled_peers(board: Column, i: Column) -> Column:
+    return F.size(F.filter(_table(PEERS)[i], lambda p: board[p] != 0))
 
-def _analysed(boards: DataFrame) -> DataFrame:
-    """Boards with masks, empty cells, hidden singles, pairs and intersections.
 
-    `puzzle` is the original board; it defaults to the board itself.
-    """
-    if "puzzle" not in boards.columns:
-        boards = boards.withColumn("puzzle", F.col("board"))
-    masks, board = F.col("masks"), F.col("board")
-    peers = _table(PEERS)
-    density = F.transform(
-        F.col("empty"),
-        lambda i: F.size(F.filter(peers[i], lambda p: board[p] != 0)) / F.lit(20.0),
-    )
-    return (
-        with_masks(boards)
-        .withColumn("empty", F.filter(_cells(), lambda i: board[i] == 0))
-        .withColumn("single", F.filter("empty", lambda i: F.bit_count(masks[i]) == 1))
-        .withColumn("hidden", _hidden_single_cells(masks))
-        .withColumn("crossings", _intersections(masks))
-        .withColumn("density", density)
-    )
+def _puzzle(boards: DataFrame) -> Column:
+    """The original board; it is the board itself where there is no such column."""
+    return F.col("puzzle") if "puzzle" in boards.columns else F.col("board")
 
 
 def puzzle_features(boards: DataFrame) -> DataFrame:
     """Ten difficulty features of each board."""
-    masks, empty, puzzle = F.col("masks"), F.col("empty"), F.col("puzzle")
-    clues = F.size(F.filter(puzzle, lambda v: v != 0))
-    mirrored = F.size(
-        F.filter(_cells(), lambda i: (puzzle[i] != 0) & (puzzle[F.lit(80) - i] != 0))
-    )
-    simple = F.size(F.array_union("hidden", "single"))
-    n_empty = F.size(empty)
-    mean_candidates = _sum(F.transform(empty, lambda i: F.bit_count(masks[i]).cast("int"))) / F.nullif(
-        n_empty, F.lit(0)
-    )
-    mean_density = F.aggregate("density", F.lit(0.0), lambda a, x: a + x) / F.nullif(n_empty, F.lit(0))
-    crossings = F.col("crossings")
-    values = {
-        "clue_count": clues,
-        "naked_singles": F.size("single"),
-        "hidden_singles": F.size("hidden"),
-        "naked_pairs": F.size(_pairs(masks, HOUSES)),
-        "pointing_pairs": _sum(F.transform(crossings, lambda x: x["one_row"] + x["one_col"])),
-        "box_line_reduction": _sum(F.transform(crossings, lambda x: x["row_out"] + x["col_out"])),
-        "backtrack_depth": F.floor(F.greatest(F.lit(0), n_empty - simple) / 5),
-        "constraint_density": F.round(F.coalesce(mean_density, F.lit(0.0)), 4),
-        "symmetry_score": F.round(F.coalesce(mirrored / F.nullif(clues, F.lit(0)), F.lit(0.0)), 4),
-        "avg_candidate_count": F.round(F.coalesce(mean_candidates, F.lit(0.0)), 4),
-    }
-    return _analysed(boards).select(
-        "puzzle_id", *[values[name].cast("double").alias(name) for name in FEATURES]
+    mean_zero = F.lit(0.0)
+
+    def of_board(x: Column) -> Column:
+        board, puzzle, a = x["board"], x["puzzle"], x["a"]
+        masks, only = a["masks"], a["only"]
+        line_rest = _table([rest for _, _, rest in CROSSINGS])
+        clues = F.size(F.filter(puzzle, lambda v: v != 0))
+        empty = F.size(F.filter(board, lambda v: v == 0))
+        mirrored = F.size(
+            F.filter(_cells(), lambda i: (puzzle[i] != 0) & (puzzle[F.lit(80) - i] != 0))
+        )
+        simple = F.size(F.filter(_cells(), lambda i: (_size(masks[i]) == 1) | _in_once(a, i)))
+        twins = F.transform(
+            _table(HOUSES), lambda house: F.size(F.filter(house, lambda i: _twins(masks, house, i)))
+        )
+        lined = F.transform(
+            only,
+            lambda digits, n: F.when(digits == 0, F.lit(0)).otherwise(
+                F.aggregate(
+                    line_rest[n], F.lit(0), lambda t, i: t + _size(masks[i].bitwiseAND(digits))
+                )
+            ),
+        )
+        filled = F.aggregate(
+            _cells(), F.lit(0), lambda t, i: t + F.when(board[i] == 0, _filled_peers(board, i)).otherwise(F.lit(0))
+        )
+        no_zero = F.nullif(empty, F.lit(0))
+        values = {
+            "clue_count": clues,
+            "naked_singles": F.size(F.filter(masks, lambda m: _size(m) == 1)),
+            "hidden_singles": F.size(F.filter(_cells(), lambda i: _in_once(a, i))),
+            "naked_pairs": _sum(twins) / 2,
+            "pointing_pairs": _sum(F.transform(only, _size)),
+            "box_line_reduction": _sum(lined),
+            "backtrack_depth": F.floor(F.greatest(F.lit(0), empty - simple) / 5),
+            "constraint_density": F.round(F.coalesce(filled / F.lit(20.0) / no_zero, mean_zero), 4),
+            "symmetry_score": F.round(F.coalesce(mirrored / F.nullif(clues, F.lit(0)), mean_zero), 4),
+            "avg_candidate_count": F.round(
+                F.coalesce(_sum(F.transform(masks, _size)) / no_zero, mean_zero), 4
+            ),
+        }
+        return F.struct(*[values[name].cast("double").alias(name) for name in FEATURES])
+
+    shared = F.struct(
+        F.col("board").alias("board"), _puzzle(boards).alias("puzzle"), _analysis(F.col("board")).alias("a")
     )
+    return boards.select("puzzle_id", _let(shared, of_board).alias("f")).select("puzzle_id", "f.*")
 
 
 def grid_complete(board: Column) -> Column:
@@ -254,77 +257,67 @@ def cell_importance(boards: DataFrame, weights: dict[str, float], top: int = 9)
     A weight counts by its size. Naked pairs are those of rows only, as the rule has it.
     """
     w = {name: abs(weights.get(name, 0.0)) for name in FEATURES}
-    masks, board, puzzle, empty = F.col("masks"), F.col("board"), F.col("puzzle"), F.col("empty")
-    ready = (
-        _analysed(boards)
-        .withColumn("pair_cells", F.array_distinct(F.flatten(_pairs(masks, ROWS))))
-        .withColumn(
-            "crossing_cells",
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        F.filter("crossings", lambda x: (x["one_row"] + x["one_col"]) > 0),
-                        lambda x: x["cells"],
-                    )
-                )
-            ),
+
+    def of_board(x: Column) -> Column:
+        board, masks = x["board"], x["a"]["masks"]
+        sizes = F.filter(F.transform(masks, _size), lambda n: n > 0)
+        fills = F.transform(
+            _cells(), lambda i: F.when(board[i] == 0, _filled_peers(board, i)).otherwise(F.lit(0))
         )
-        .withColumn(
-            "fewest",
-            F.array_min(
-                F.filter(F.transform(empty, lambda i: F.bit_count(masks[i]).cast("int")), lambda n: n > 0)
-            ),
+        bound = F.struct(
+            board.alias("board"),
+            x["puzzle"].alias("puzzle"),
+            x["a"].alias("a"),
+            F.array_min(sizes).alias("fewest"),
+            F.size(F.filter(x["puzzle"], lambda v: v != 0)).alias("given"),
+            fills.alias("fills"),
         )
-        .withColumn("n_given", F.size(F.filter(puzzle, lambda v: v != 0)))
-        .withColumn("densest", F.nullif(F.array_max("density"), F.lit(0.0)))
-    )
+        return _let(bound, lambda y: F.transform(_cells(), lambda i: score(y, i)))
+
+    def score(y: Column, i: Column) -> Column:
+        a, masks = y["a"], y["a"]["masks"]
+        n = _size(masks[i])
+        rows = _table(ROWS)
+        row = rows[F.floor(i / 9).cast("int")]
+        crossing = masks[i].bitwiseAND(_any_bits(_table(CROSSINGS_OF)[i], a["only"])) != 0
+        densest = F.greatest(F.array_max(y["fills"]), F.lit(1))
 
-    def member(cells: str, i: Column, weight) -> Column:
-        return F.when(F.array_contains(F.col(cells), i), weight).otherwise(0.0)
+        def when(condition: Column, weight) -> Column:
+            return F.when(condition, weight).otherwise(F.lit(0.0))
 
-    def score(i: Column) -> Column:
-        n = F.bit_count(masks[i]).cast("int")
-        is_empty = board[i] == 0
-        fill = F.element_at(F.col("density"), F.array_position(empty, i).cast("int"))
+        is_empty = y["board"][i] == 0
         return (
-            member("single", i, F.lit(w["naked_singles"]))
-            + member("hidden", i, F.lit(w["hidden_singles"]))
-            + member("pair_cells", i, F.lit(w["naked_pairs"]))
-            + member("crossing_cells", i, F.lit(w["pointing_pairs"] + w["box_line_reduction"]))
-            + F.when(is_empty & (n <= F.col("fewest") + 1), w["backtrack_depth"]).otherwise(0.0)
-            + F.when(is_empty & (n > 0), F.lit(w["avg_candidate_count"]) / F.greatest(n, F.lit(1))).otherwise(0.0)
-            + F.when(
-                is_empty,
-                F.lit(w["constraint_density"]) * (fill / F.coalesce(F.col("densest"), F.lit(1.0))),
-            ).otherwise(0.0)
-            + F.when(
-                puzzle[i] != 0, F.lit(w["clue_count"]) / F.greatest(F.col("n_given"), F.lit(1))
-            ).otherwise(0.0)
+            when(n == 1, F.lit(w["naked_singles"]))
+            + when(_in_once(a, i), F.lit(w["hidden_singles"]))
+            + when(_twins(masks, row, i), F.lit(w["naked_pairs"]))
+            + when(crossing, F.lit(w["pointing_pairs"] + w["box_line_reduction"]))
+            + when(is_empty & (n <= y["fewest"] + 1), F.lit(w["backtrack_depth"]))
+            + when(n > 0, F.lit(w["avg_candidate_count"]) / F.greatest(n, F.lit(1)))
+            + when(is_empty, F.lit(w["constraint_density"]) * (y["fills"][i] / densest))
+            + when(y["puzzle"][i] != 0, F.lit(w["clue_count"]) / F.greatest(y["given"], F.lit(1)))
             + F.lit(w["symmetry_score"] / 81.0)
         )
 
-    scored = ready.select("puzzle_id", F.transform(_cells(), score).alias("scores"))
-    spread = F.nullif(F.array_max("scores") - F.array_min("scores"), F.lit(0.0))
-    scaled = scored.select(
-        "puzzle_id",
-        F.transform(
-            _cells(),
-            lambda i: F.struct(
-                (
-                    -F.round(
-                        F.coalesce(
-                            (F.col("scores")[i] - F.array_min("scores")) / spread, F.lit(0.0)
-                        ),
-                        4,
-                    )
-                ).alias("neg"),
-                i.alias("idx"),
-            ),
-        ).alias("cells"),
+    def best(scores: Column) -> Column:
+        span = F.struct(scores.alias("s"), F.array_min(scores).alias("lo"), F.array_max(scores).alias("hi"))
+
+        def scaled(x: Column) -> Column:
+            spread = F.nullif(x["hi"] - x["lo"], F.lit(0.0))
+            return F.transform(
+                x["s"],
+                lambda v, i: F.struct(
+                    (-F.round(F.coalesce((v - x["lo"]) / spread, F.lit(0.0)), 4)).alias("neg"), i.alias("idx")
+                ),
+            )
+
+        return F.slice(F.array_sort(_let(span, scaled)), 1, top)
+
+    shared = F.struct(
+        F.col("board").alias("board"), _puzzle(boards).alias("puzzle"), _analysis(F.col("board")).alias("a")
     )
-    best = F.slice(F.array_sort("cells"), 1, top)
+    ranked = _let(_let(shared, of_board), best)
     return (
-        scaled.select("puzzle_id", F.posexplode(best).alias("pos", "cell"))
+        boards.select("puzzle_id", F.posexplode(ranked).alias("pos", "cell"))
         .select(
             "puzzle_id",
             (F.col("pos") + 1).alias("rank"),

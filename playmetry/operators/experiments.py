@@ -218,7 +218,7 @@ def classification_report(df: DataFrame, label: str = "actual", prediction: str
     """
     pairs = (
         df.where(F.col(label).isNotNull())
-        .groupBy(F.col(label).alias("y"), F.col(prediction).alias("p"))
+        .groupBy(F.col(label).cast("string").alias("y"), F.col(prediction).cast("string").alias("p"))
         .agg(_n().alias("n"))
     )
     # Each pair counts for its true class and for its predicted class.
@@ -267,24 +267,32 @@ def classification_report(df: DataFrame, label: str = "actual", prediction: str
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve from mean ranks: one row (auc, positives, negatives).
 
-    Rows are counted per score first. Ranks come from sums over score buckets and, inside
-    a bucket, over scores, so there is no window over all rows.
+    Rows are counted per score first. Ranks inside a score bucket are summed per bucket;
+    only the bucket sums (about a thousand for scores in 0..1) meet in one ordered window.
     """
+    # Rows without a score or label weigh nothing. A filter would be pushed down and have
+    # the score computed twice.
+    counts = F.col(score).isNotNull() & F.col(label).isNotNull()
     per_score = (
-        df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-        .groupBy(F.col(score).cast("double").alias("s"))
-        .agg(_n().alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+        df.groupBy(F.col(score).cast("double").alias("s"))
+        .agg(
+            F.count_if(counts).alias("n"),
+            F.sum(F.when(counts, F.col(label).cast("long")).otherwise(0)).alias("pos"),
+        )
         .withColumn("b", F.floor(F.col("s") * 1024).cast("long"))
     )
-    buckets = per_score.groupBy("b").agg(F.sum("n").alias("bn"))
-    earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.select("b", F.coalesce(F.sum("bn").over(earlier), F.lit(0)).alias("before"))
     inside = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per_score.join(offsets, "b").withColumn(
-        "below", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    below = F.coalesce(F.sum("n").over(inside), F.lit(0))
+    mean_rank = below + (F.col("n") + 1) / F.lit(2.0)
+    buckets = (
+        per_score.withColumn("r", F.col("pos") * mean_rank)
+        .groupBy("b")
+        .agg(F.sum("r").alias("r"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     )
-    sums = ranked.agg(
-        F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / F.lit(2.0))).alias("r"),
+    earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    sums = buckets.withColumn("r", F.col("r") + F.col("pos") * before).agg(
+        F.sum("r").alias("r"),
         F.sum("pos").alias("positives"),
         F.sum(F.col("n") - F.col("pos")).alias("negatives"),
     )

@@ -50,7 +50,7 @@ def _macro_f1(predictions: DataFrame, label: str) -> float:
     from playmetry.operators.experiments import classification_report
 
     return (
-        classification_report(predictions, label, "prediction").where("class = 'macro'").first()["f1"]
+        classification_report(predictions, label, "prediction").where(F.col("class") == "macro").first()["f1"]
     )
 
 

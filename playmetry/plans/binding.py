@@ -14,6 +14,7 @@ from playmetry.functions.scoring import elo_update, lookup, risk_level, session_
 from playmetry.functions.text import toxicity_keywords
 from playmetry.functions.vocab import LESSONS, TIER_XP
 from playmetry.operators.ranking import calendar_streaks
+from playmetry.scale import spread
 from playmetry.streaming.enrich import enrich_sessions
 
 SESSIONS_AS_OF = "2001-08-01"
@@ -284,9 +285,14 @@ def chat(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts for rules that are heavy per row."""
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars"))
+
+
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Keyword moderation of the documents against their labels; one model per language."""
-    docs = table(spark, folder, "documents").select(
+    docs = documents(spark, folder).select(
         "doc_id", "lang", "n_chars", toxicity_keywords(F.col("text")).alias("t")
     )
     labels = table(spark, folder, "labels").select("doc_id", "toxic")
@@ -466,7 +472,7 @@ def boards(spark: SparkSession, folder: str) -> DataFrame:
         return F.when(k % 4 == 0, wrong).otherwise(plain).cast("int")
 
     cells = F.sequence(F.lit(0), F.lit(80))
-    return table(spark, folder, "part").select(
+    return spread(table(spark, folder, "part").select("p_partkey")).select(
         F.col("p_partkey").alias("puzzle_id"),
         F.transform(cells, shown).alias("board"),
         F.transform(cells, solution).alias("solution"),

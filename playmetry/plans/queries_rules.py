@@ -181,8 +181,8 @@ register(
     f"FROM (SELECT doc_id, {o.category_sql('text')} AS cat FROM documents WHERE {o.strip_sql('text')} <> '')",
     "confidence",
 )(
-    lambda spark, d: b.table(spark, d, "documents")
-    .where(text.strip(F.col("text")) != "")
+    lambda spark, d: b.documents(spark, d)
+    .where(F.col("text").rlike(r"[^\s\p{Z}]"))
     .select("doc_id", text.toxicity_keywords(F.col("text")).alias("t"))
     .select("doc_id", "t.*")
 )
@@ -199,7 +199,7 @@ register(
     "mask_profanity",
     f"SELECT doc_id, md5(masked) AS digest, masked <> text AS changed FROM (SELECT doc_id, text, {_mask_sql('text')} AS masked FROM documents)",
 )(
-    lambda spark, d: b.table(spark, d, "documents")
+    lambda spark, d: b.documents(spark, d)
     .select("doc_id", "text", text.mask_profanity(F.col("text")).alias("masked"))
     .select("doc_id", F.md5(F.encode("masked", "UTF-8")).alias("digest"), (F.col("masked") != F.col("text")).alias("changed"))
 )
@@ -613,14 +613,15 @@ register(
     "items_for_users",
     """SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank
          FROM (SELECT u.id AS user_id, i.id AS item_id, round(list_cosine_similarity(u.embedding::DOUBLE[], i.embedding::DOUBLE[]), 9) AS score
-               FROM vectors u JOIN vectors i ON i.label <> u.label))
+               FROM vectors u, vectors i
+               WHERE (u.id, i.id) NOT IN (SELECT (id, id + 13 * k) FROM vectors, unnest(range(5)) AS t(k))))
        WHERE rank <= 5""",
     "score",
 )(
     lambda spark, d: vectors.items_for_users(
         b.vectors(spark, d),
         b.vectors(spark, d),
-        _same_label(spark, d),
+        _seen_items(spark, d),
         5,
         user_blocks=2,
         item_blocks=4,
@@ -628,14 +629,16 @@ register(
 )
 
 
-def _same_label(spark, d):
-    """Seen pairs: the items of the user's own label."""
-    left = b.vectors(spark, d).select(F.col("id").alias("user_id"), "label")
-    return left.join(b.vectors(spark, d).select(F.col("id").alias("item_id"), "label"), "label").drop("label")
+def _seen_items(spark, d):
+    """Seen pairs: the user's own item and four more."""
+    steps = F.explode(F.sequence(F.lit(0), F.lit(4)))
+    return b.vectors(spark, d).select(F.col("id").alias("user_id"), steps.alias("k")).select(
+        "user_id", (F.col("user_id") + 13 * F.col("k")).alias("item_id")
+    )
 
 
 register("embed_text")(
-    lambda spark, d: vectors.embed_text(b.table(spark, d, "documents").select("doc_id", "text"), "text", 64).select(
+    lambda spark, d: vectors.embed_text(b.documents(spark, d).select("doc_id", "text"), "text", 64).select(
         "doc_id",
         F.size("embedding").alias("dim"),
         F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("norm"),

@@ -174,6 +174,14 @@ def exact_quantiles(
     return exploded.groupBy(*keys).agg(*aggs)
 
 
-def count_at_most(df: DataFrame, limit: int) -> bool:
-    """True when `df` has at most `limit` rows; reads no more than that."""
-    return df.limit(limit + 1).count() <= limit
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for rules that are heavy per row, when the input is small.
+
+    A table of less than one file split per core may arrive in a single task. Only such a
+    table is redistributed; a large one has enough splits and is left where it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if size < cores * split else df

@@ -25,6 +25,7 @@ def boards(spark, sf):
 
 def test_classifier(boards):
     model, metrics = learning.fit_difficulty_classifier(boards, bd.FEATURES, trees=(10,), depths=(4,), folds=2)
+    assert set(metrics) == {"cv_f1", "test_accuracy", "test_f1_macro", "feature_importances"}
     assert metrics["test_accuracy"] >= 0.88 and metrics["test_f1_macro"] > 0.6
     assert sum(metrics["feature_importances"].values()) == pytest.approx(1.0)
     assert metrics["feature_importances"]["clue_count"] > 0

@@ -152,7 +152,8 @@ def test_client_sessions_like_windows(spark):
 def test_auc(spark):
     rng = random.Random(8)
     rows = [(round(rng.random(), 2), rng.randrange(2)) for _ in range(300)]
-    got = ex.auc(spark.createDataFrame(rows, "s double, y int"), "s", "y").first()["auc"]
+    odd = [(None, 1), (0.3, None), (None, None)]
+    got = ex.auc(spark.createDataFrame(rows + odd, "s double, y int"), "s", "y").first()["auc"]
     pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
     want = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / len(pos) / len(neg)
     assert got == pytest.approx(want)
