@@ -217,7 +217,21 @@ register(
     )
 )
 
-register("match_fifo")(
+FIFO_SQL = """
+    WITH RECURSIVE q AS (SELECT difficulty, id, user_id, row_number() OVER (PARTITION BY difficulty ORDER BY started_at, id) AS rn
+                         FROM plain_sessions),
+    st AS (
+      SELECT difficulty, rn, user_id AS waiting, [id] AS entries, CAST(NULL AS BIGINT) AS first_entry,
+             CAST(NULL AS BIGINT) AS first_user, id AS second_entry, user_id AS second_user FROM q WHERE rn = 1
+      UNION ALL
+      SELECT q.difficulty, q.rn,
+             CASE WHEN len(entries) > 0 AND waiting <> q.user_id THEN waiting ELSE q.user_id END,
+             CASE WHEN len(entries) > 0 AND waiting <> q.user_id THEN entries[2:] ELSE list_append(entries, q.id) END,
+             CASE WHEN len(entries) > 0 AND waiting <> q.user_id THEN entries[1] END,
+             CASE WHEN len(entries) > 0 AND waiting <> q.user_id THEN waiting END, q.id, q.user_id
+      FROM st s JOIN q ON q.difficulty = s.difficulty AND q.rn = s.rn + 1)
+    SELECT difficulty, first_entry, first_user, second_entry, second_user FROM st WHERE first_entry IS NOT NULL"""
+register("match_fifo", FIFO_SQL)(
     lambda spark, d: joins.match_fifo(b.queue_events(spark, d), F.to_date("enqueued_at"), chunk_rows=200_000)
 )
 

@@ -297,7 +297,38 @@ FEATURES_SQL = f"""
     LEFT JOIN (SELECT puzzle_id, avg(f) AS f FROM fill GROUP BY 1) f ON f.puzzle_id = t.puzzle_id"""
 register("puzzle_features", FEATURES_SQL, " ".join(bd.FEATURES))(lambda spark, d: bd.puzzle_features(b.boards(spark, d)))
 WEIGHTS = {name: 0.1 * (i + 1) for i, name in enumerate(bd.FEATURES)}
-register("cell_importance")(lambda spark, d: bd.cell_importance(b.boards(spark, d), WEIGHTS))
+_W = {name: f"CAST({abs(value)!r} AS DOUBLE)" for name, value in WEIGHTS.items()}
+_BOTH = f"CAST({WEIGHTS['pointing_pairs'] + WEIGHTS['box_line_reduction']!r} AS DOUBLE)"
+IMPORTANCE_SQL = f"""
+    WITH {ANALYSIS_SQL},
+    twins AS (SELECT puzzle_id, r, ds FROM cells WHERE n = 2 GROUP BY ALL HAVING count(*) = 2),
+    crossed AS (SELECT DISTINCT k.puzzle_id, k.idx FROM cands k JOIN crossing x ON x.puzzle_id = k.puzzle_id AND x.box = k.box AND x.d = k.d
+                WHERE one_r OR one_c),
+    peers AS (SELECT e.puzzle_id, e.idx, count(*) FILTER (WHERE p.v <> 0) AS f
+        FROM boards e JOIN boards p ON p.puzzle_id = e.puzzle_id AND p.idx <> e.idx AND (p.r = e.r OR p.c = e.c OR p.box = e.box)
+        WHERE e.v = 0 GROUP BY 1, 2),
+    base AS (SELECT b.puzzle_id, b.idx, b.v = 0 AS hole, coalesce(c.n, 0) AS n, h.idx IS NOT NULL AS hid, t.r IS NOT NULL AS twin,
+                    x.idx IS NOT NULL AS cross_cell, coalesce(p.f, 0) AS f,
+                    min(c.n) OVER w AS fewest, greatest(1, max(coalesce(p.f, 0)) OVER w) AS densest,
+                    greatest(1, sum(CAST(b.v <> 0 AS INTEGER)) OVER w) AS given
+             FROM boards b LEFT JOIN cells c ON c.puzzle_id = b.puzzle_id AND c.idx = b.idx
+             LEFT JOIN hidden h ON h.puzzle_id = b.puzzle_id AND h.idx = b.idx
+             LEFT JOIN twins t ON t.puzzle_id = c.puzzle_id AND t.r = c.r AND t.ds = c.ds
+             LEFT JOIN crossed x ON x.puzzle_id = b.puzzle_id AND x.idx = b.idx
+             LEFT JOIN peers p ON p.puzzle_id = b.puzzle_id AND p.idx = b.idx
+             WINDOW w AS (PARTITION BY b.puzzle_id)),
+    scored AS (SELECT puzzle_id, idx, CASE WHEN n = 1 THEN {_W['naked_singles']} ELSE 0 END + CASE WHEN hid THEN {_W['hidden_singles']} ELSE 0 END
+        + CASE WHEN twin THEN {_W['naked_pairs']} ELSE 0 END + CASE WHEN cross_cell THEN {_BOTH} ELSE 0 END
+        + CASE WHEN hole AND n <= fewest + 1 THEN {_W['backtrack_depth']} ELSE 0 END
+        + CASE WHEN n > 0 THEN {_W['avg_candidate_count']} / greatest(n, 1) ELSE 0 END
+        + CASE WHEN hole THEN {_W['constraint_density']} * (CAST(f AS DOUBLE) / densest) ELSE 0 END
+        + CASE WHEN NOT hole THEN {_W['clue_count']} / given ELSE 0 END + {_W['symmetry_score']} / 81.0 AS s FROM base),
+    scaled AS (SELECT puzzle_id, idx, round(coalesce((s - min(s) OVER w) / nullif(max(s) OVER w - min(s) OVER w, 0), 0), 4) AS importance
+               FROM scored WINDOW w AS (PARTITION BY puzzle_id))
+    SELECT puzzle_id, CAST(rank AS INTEGER) AS rank, idx, importance
+    FROM (SELECT *, row_number() OVER (PARTITION BY puzzle_id ORDER BY importance DESC, idx) AS rank FROM scaled)
+    WHERE rank <= 9 AND importance > 0"""
+register("cell_importance", IMPORTANCE_SQL, "importance")(lambda spark, d: bd.cell_importance(b.boards(spark, d), WEIGHTS))
 
 # --- privacy -------------------------------------------------------------------
 
@@ -663,7 +694,12 @@ register(
                count(*) FILTER (WHERE failed) / count(*)::DOUBLE AS error_rate FROM {_SLIDES} GROUP BY 1""",
     "error_rate",
 )(lambda spark, d: windows.error_rate(b.api_log(spark, d)))
-register("latency_quantiles")(lambda spark, d: windows.latency_quantiles(b.api_log(spark, d)))
+register(
+    "latency_quantiles",
+    f"""SELECT w + INTERVAL 5 MINUTES AS window_end, service, count(*) AS requests, quantile_disc(latency_ms, 0.5) AS p50,
+               quantile_disc(latency_ms, 0.95) AS p95, quantile_disc(latency_ms, 0.99) AS p99 FROM {_SLIDES} GROUP BY 1, 2""",
+    "p50 p95 p99",
+)(lambda spark, d: windows.latency_quantiles(b.api_log(spark, d)))
 
 
 def _evaluations(spark, d):
@@ -726,4 +762,32 @@ register(
         class_distribution(b.events(spark, d).withColumnRenamed("event_type", "predicted")).select("class", "share"),
     )
 )
-register("streaks_stateful")(lambda spark, d: stateful.streaks_stateful(b.events(spark, d)))
+_HOUR = 3_600_000
+STREAK_SQL = f"""
+    WITH RECURSIVE p AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS rn
+                         FROM (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS t FROM events)),
+    st AS (
+      SELECT user_id, rn, t AS last, 1 AS cur, 1 AS longest, 0 AS fr, CAST(NULL AS BIGINT) AS lg, '' AS ms, 0 AS br, 0 AS fu
+      FROM p WHERE rn = 1
+      UNION ALL
+      SELECT user_id, rn, CASE WHEN again THEN last ELSE t END,
+             CASE WHEN again THEN cur WHEN grows THEN cur + 1 ELSE 1 END,
+             CASE WHEN NOT again AND grows THEN greatest(longest, cur + 1) ELSE longest END,
+             CASE WHEN NOT again AND NOT extend AND held > 0 THEN held - 1 ELSE held END,
+             lg2,
+             CASE WHEN again OR NOT grows THEN ms
+                  WHEN cur + 1 >= 30 AND NOT contains(ms, '30') THEN CASE WHEN ms = '' THEN '30' ELSE ms || ',30' END
+                  WHEN cur + 1 >= 7 AND NOT contains(ms, '7') THEN CASE WHEN ms = '' THEN '7' ELSE ms || ',7' END ELSE ms END,
+             br + CASE WHEN NOT again AND NOT grows THEN 1 ELSE 0 END,
+             fu + CASE WHEN NOT again AND NOT extend AND held > 0 THEN 1 ELSE 0 END
+      FROM (SELECT *, extend OR held > 0 AS grows FROM (
+        SELECT s.user_id, p.rn, p.t, last, cur, longest, ms, br, fu,
+               CASE WHEN fr < 1 AND (lg IS NULL OR p.t - lg >= {7 * 24 * _HOUR}) THEN 1 ELSE fr END AS held,
+               CASE WHEN fr < 1 AND (lg IS NULL OR p.t - lg >= {7 * 24 * _HOUR}) THEN p.t ELSE lg END AS lg2,
+               p.t - last < {23 * _HOUR} AS again,
+               p.t - last <= {25 * _HOUR} OR p.t // {24 * _HOUR} - last // {24 * _HOUR} = 1 AS extend
+        FROM st s JOIN p ON p.user_id = s.user_id AND p.rn = s.rn + 1)))
+    SELECT user_id, cur AS current_streak, longest AS longest_streak, make_timestamp(last * 1000) AS last_played,
+           fr AS freeze_count, fu AS freezes_used, br AS breaks, ms AS milestones
+    FROM st QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1"""
+register("streaks_stateful", STREAK_SQL)(lambda spark, d: stateful.streaks_stateful(b.events(spark, d)))
