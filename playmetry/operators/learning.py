@@ -26,6 +26,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playmetry.session import durable
+
 SKILL_LABELS = ["Expert", "Advanced", "Intermediate", "Casual", "Beginner"]
 
 
@@ -207,8 +209,10 @@ def reconstruction_anomaly(
     mean + `sigma` deviations of the held-out rows.
 
     The components are fitted on the training rows; fitting sums a features x features
-    matrix, so it does not grow with the rows.
+    matrix, so it does not grow with the rows. The feature table is written once to the
+    checkpoint folder, because fitting and scoring read it several times.
     """
+    df = durable(df)
     held_out = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(100)) < 20
     vector = df.withColumn("__raw", F.array(*[F.col(f).cast("double") for f in features])).withColumn(
         "__x", array_to_vector("__raw")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from playmetry.functions import vocab
 from playmetry.functions.scoring import risk_level, streak_bucket
 from playmetry.operators.frames import both_sides, latest_snapshot
-from playmetry.scale import exact_quantiles, null_safe_join
+from playmetry.scale import exact_quantiles, moment, null_safe_join
 
 def _n() -> Column:
     return F.count(F.lit(1))
@@ -105,15 +105,15 @@ def elo_trends(matches: DataFrame, day=None) -> DataFrame:
             "loser_elo_after",
         )
     )
-    moment = F.struct("completed_at", "match_id")
+    at = moment("completed_at", "match_id")
     return (
         sides.groupBy(F.to_date("completed_at").alias("date"), "user_id")
         .agg(
             _n().alias("matches_played"),
             F.sum("is_win").alias("wins"),
             (_n() - F.sum("is_win")).alias("losses"),
-            F.min_by("elo_before", moment).alias("elo_start"),
-            F.max_by("elo_after", moment).alias("elo_end"),
+            F.min_by("elo_before", at).alias("elo_start"),
+            F.max_by("elo_after", at).alias("elo_end"),
         )
         .withColumn("elo_delta", F.col("elo_end") - F.col("elo_start"))
     )

@@ -11,7 +11,7 @@ from playmetry.functions.scoring import win_rate
 from playmetry.functions.text import message_prep, toxicity_keywords
 from playmetry.operators.frames import both_sides, top_per_key
 from playmetry.operators.joins import DEFAULT_RATING, friend_edges
-from playmetry.scale import ordered_positions
+from playmetry.scale import moment, ordered_positions
 
 
 def _n() -> Column:
@@ -253,13 +253,13 @@ def elo_trend_for_player(trends: DataFrame, user, n_days: int, as_of) -> DataFra
 
 def first_touch_features(matches: DataFrame) -> DataFrame:
     """First rating before and last rating after of each player over the whole history."""
-    moment = F.struct("completed_at", "match_id")
+    at = moment("completed_at", "match_id")
     return (
         both_sides(matches)
         .groupBy("user_id")
         .agg(
-            F.min_by("elo_before", moment).alias("elo_start"),
-            F.max_by("elo_after", moment).alias("elo_end"),
+            F.min_by("elo_before", at).alias("elo_start"),
+            F.max_by("elo_after", at).alias("elo_end"),
             _n().alias("matches_played"),
         )
     )

@@ -14,7 +14,7 @@ from playmetry.functions.scoring import elo_update, lookup, risk_level, session_
 from playmetry.functions.text import toxicity_keywords
 from playmetry.functions.vocab import LESSONS, TIER_XP
 from playmetry.operators.ranking import calendar_streaks
-from playmetry.scale import spread
+from playmetry.scale import moment, spread
 from playmetry.streaming.enrich import enrich_sessions
 
 SESSIONS_AS_OF = "2001-08-01"
@@ -179,15 +179,15 @@ def daily_puzzles(spark: SparkSession, folder: str) -> DataFrame:
 
 def matches(spark: SparkSession, folder: str) -> DataFrame:
     """Events paired by id: the larger value wins, equal values go to the earlier event."""
-    moment = F.struct(F.col("value"), -F.col("event_id"))
+    larger = F.struct(F.col("value"), -F.col("event_id"))
     pairs = (
         events(spark, folder)
         .groupBy(F.floor(F.col("event_id") / 2).alias("match_id"))
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.max_by("user_id", moment).alias("winner_id"),
-            F.min_by("user_id", moment).alias("loser_id"),
-            F.max_by("event_type", moment).alias("kind"),
+            F.max_by("user_id", larger).alias("winner_id"),
+            F.min_by("user_id", larger).alias("loser_id"),
+            F.max_by("event_type", larger).alias("kind"),
             F.max("ts").alias("completed_at"),
             F.min("ts").alias("__from"),
         )
@@ -222,12 +222,11 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
     """Current rating, wins and losses of each player."""
     from playmetry.operators.frames import both_sides
 
-    moment = F.struct("completed_at", "match_id")
     return (
         both_sides(matches(spark, folder))
         .groupBy("user_id")
         .agg(
-            F.max_by("elo_after", moment).alias("elo_rating"),
+            F.max_by("elo_after", moment("completed_at", "match_id")).alias("elo_rating"),
             F.sum("is_win").alias("wins"),
             F.sum(F.lit(1) - F.col("is_win")).alias("losses"),
         )

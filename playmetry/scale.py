@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,6 +92,16 @@ def ordered_positions(
     )
 
 
+def moment(ts: str, unique: str) -> Column:
+    """Total order by time, equal times by a hash of `unique`, as one number.
+
+    First and last by a struct would make Spark sort every task's rows before it can
+    combine them; a number keeps `min_by` and `max_by` in the hash aggregate.
+    """
+    micros = F.unix_micros(F.col(ts)).cast("decimal(16,0)")
+    return micros * F.lit(Decimal(10**20)) + F.xxhash64(F.col(unique)).cast("decimal(19,0)")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
