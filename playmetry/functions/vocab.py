@@ -98,7 +98,7 @@ OUTREACH_MESSAGES = {
     ),
 }
 
-# Lessons in order (id, title, tier) and XP per tier.
+# Lessons in order (id, tier) and XP per tier.
 LESSONS = [
     ("naked-singles", 1),
     ("hidden-singles", 1),

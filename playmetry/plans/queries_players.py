@@ -704,6 +704,7 @@ register(
        WINDOW m AS (PARTITION BY model ORDER BY ts, prediction_id),
               w AS (PARTITION BY model ORDER BY ts, prediction_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""",
     "mean_ms max_ms mean_confidence accuracy",
+    digits=9,
 )(lambda spark, d: ranking.rolling_model_metrics(b.predictions(spark, d), F.date_trunc("hour", "ts"), 100))
 register("calendar_streaks", "SELECT user_id, current_streak, longest_streak, last_day FROM event_streaks")(
     lambda spark, d: b.event_streaks(spark, d)
