@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playmetry.llm.common import prepared
+from playmetry.llm.language import held_out, identify, learned
 from playmetry.llm.nearcopies import near_copies
 from playmetry.llm.substrings import remove_repeats
 
@@ -35,6 +36,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from those whose id's checksum is not a multiple of 5."""
+    docs = table(spark, folder, "documents")
+    told = identify(docs, learned(docs))
+    return told.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "lang")
+
+
 @query(
     r"""
     WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
