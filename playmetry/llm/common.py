@@ -8,8 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from xxhash import xxh3_64_intdigest
 
 #: Words of every operator: runs of characters other than the six ASCII white spaces.
@@ -108,16 +107,10 @@ def per_row(
     return df.select(*columns).mapInArrow(run, out_schema)
 
 
-def salted(column: Column, salts: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
-
-
-def join_hot(left: DataFrame, right: DataFrame, on: Sequence[str], spread: str, how: str = "inner", salts: int = 8) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join of many rows with one row per key, where one key may hold a third of the left rows.
 
-    The left rows of a key go to `salts` tasks by the hash of column `spread`; the one right
-    row of the key is repeated for each of them. `right` has to be small beside `left`.
+    `right` is settled first, so both sides of the join come straight from a shuffle and
+    adaptive execution splits the tasks of a hot key, repeating only its one right row.
     """
-    many = left.withColumn("__salt", salted(F.col(spread), salts))
-    one = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return many.join(one, [*on, "__salt"], how).drop("__salt")
+    return left.join(settle(right, "right"), list(on), how)

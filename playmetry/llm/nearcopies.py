@@ -150,7 +150,7 @@ def near_copies(
     nodes = settle(usable.groupBy("same").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     entries = nodes.select("id", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    member = settle(join_hot(entries, buckets, ["band"], "id", salts=4), "members")
+    member = settle(join_hot(entries, buckets, ["band"]), "members")
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))  # noqa: E731  a bound on the similarity
     size = nodes.select("id", "n")
 
@@ -183,7 +183,7 @@ def near_copies(
     second = linked(later, sets, percent)
     final = components(first.union(second))
     of_set = nodes.select("same", "id").join(final, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
-    return join_hot(looked.drop("bands"), of_set, ["same"], "id", "left").select(
+    return join_hot(looked.drop("bands"), of_set, ["same"], "left").select(
         F.col("id").alias(key),
         "n_shingles",
         F.coalesce("component", "id").alias("component_id"),

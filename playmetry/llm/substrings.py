@@ -115,7 +115,7 @@ def repeats(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, key: str =
         .select("seq", "first_id")
     )
     facts = settle(
-        join_hot(looked, copies, ["seq"], "id", "left").select(
+        join_hot(looked, copies, ["seq"], "left").select(
             "id", "seq", "s", "n_words", F.coalesce(F.col("id") > F.col("first_id"), F.lit(False)).alias("whole"), "anchors"
         ),
         "facts",
@@ -123,7 +123,7 @@ def repeats(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, key: str =
     # Seeds: anchors that two different texts hold.
     held = facts.where("not whole").select("id", "s", F.explode("anchors").alias("anchor"))
     seeds = held.groupBy("anchor").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a != b").select("anchor")
-    wanted = join_hot(held, seeds, ["anchor"], "id").groupBy("id", "s").agg(F.collect_set("anchor").alias("shared"))
+    wanted = join_hot(held, seeds, ["anchor"]).groupBy("id", "s").agg(F.collect_set("anchor").alias("shared"))
     near = settle(
         source.where(F.col("id").isNotNull() & F.col("text").isNotNull()).join(wanted, "id").select("id", "s", "text", "shared"),
         "near",
@@ -159,7 +159,7 @@ def repeats(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, key: str =
         .select("anchor", "words", "first_id")
     )
     spans = (
-        join_hot(windows, firsts, ["anchor", "words"], "id")
+        join_hot(windows, firsts, ["anchor", "words"])
         .where(F.col("id") > F.col("first_id"))
         .groupBy("id", "s")
         .agg(F.collect_set("at").alias("starts"))
