@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from playmetry.llm.common import prepared
 from playmetry.llm.language import held_out, identify, learned
 from playmetry.llm.nearcopies import near_copies
+from playmetry.llm.pieces import load_vocabulary, round_trip
 from playmetry.llm.substrings import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +45,12 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "lang")
 
 
+@query()
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """One sampled segmentation of every document, seeded by its id, and whether it decodes to the text."""
+    return round_trip(table(spark, folder, "documents"), load_vocabulary())
+
+
 @query(
     r"""
     WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
