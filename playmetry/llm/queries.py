@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from playmetry.llm.common import prepared
 from playmetry.llm.language import held_out, identify, learned
+from playmetry.llm.lines import learn_lines, quality_rules
 from playmetry.llm.nearcopies import near_copies
 from playmetry.llm.pieces import load_vocabulary, round_trip
 from playmetry.llm.substrings import remove_repeats
@@ -110,3 +111,10 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document under links of 85 % shared five-word shingles."""
     return near_copies(table(spark, folder, "documents"), percent=85)
+
+
+@query()
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts of every document, and whether its share of content lines keeps it."""
+    docs = table(spark, folder, "documents")
+    return quality_rules(docs, learn_lines(docs, table(spark, folder, "labels")))
