@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playmetry.llm.common import prepared
+from playmetry.llm.html import extract
 from playmetry.llm.language import held_out, identify, learned
 from playmetry.llm.lines import learn_lines, quality_rules
 from playmetry.llm.nearcopies import near_copies
 from playmetry.llm.pieces import load_vocabulary, round_trip
+from playmetry.llm.shards import shard_texts
 from playmetry.llm.substrings import remove_repeats
+from playmetry.llm.urls import filter_urls, listed_by_label
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,8 +116,71 @@ def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents"), percent=85)
 
 
+@query()
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(table(spark, folder, "pages"))
+
+
+#: Host and path rules of the URL query.
+RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+#: Host labels whose pages make up the block list of the URL query.
+LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+@query(
+    r"""
+    WITH rest AS (
+        SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
+    ),
+    parts AS (
+        SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+    ),
+    named AS (
+        SELECT *, regexp_replace(host, '^(www|m|blog)\.', '') || regexp_replace(path, '(\.html|/)$', '') AS canonical FROM parts
+    ),
+    listed AS (
+        SELECT DISTINCT canonical FROM named
+        WHERE list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])
+    ),
+    ruled AS (
+        SELECT *, CASE
+            WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+            WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+            WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+            WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+            WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/'
+        END AS rule FROM named
+    )
+    SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS verdict,
+        canonical IN (SELECT canonical FROM listed) AS listed
+    FROM ruled
+    """
+)
+def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL; the block list is drawn from the pages."""
+    pages = table(spark, folder, "pages")
+    return filter_urls(pages, listed_by_label(pages, LISTED_LABELS), RULES)
+
+
 @query()
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts of every document, and whether its share of content lines keeps it."""
     docs = table(spark, folder, "documents")
     return quality_rules(docs, learn_lines(docs, table(spark, folder, "labels")))
+
+
+@query()
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight shards of all documents, equal texts together, the largest as small as can be."""
+    return shard_texts(table(spark, folder, "documents"), 8)
