@@ -109,6 +109,37 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * common >= percent * union).select("a", "b")
 
 
+def possible(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may still link, from (id, component, shingles).
+
+    No link is lost: order all shingles from the rarest; a link needs so large an
+    intersection that the first shingle both sets share stands near the front of both. So
+    only the front of each set is looked up, and a pair counts where the shingles after that
+    place still suffice. Shingles that an edit made are rare and come first, which is why
+    members of a large group of copies that differ too much rarely meet.
+    """
+    n = F.size("shingles")
+    each = rest.select("id", "component", n.alias("n"), F.explode("shingles").alias("shingle"))
+    counted = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
+    fronts = (
+        join_hot(each, counted, ["shingle"])
+        .groupBy("id", "component", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("all"))
+        .select("id", "component", "n", F.posexplode(F.slice("all", F.lit(1), F.expr(f"n - cast((n * {percent} + 99) div 100 as int) + 1"))).alias("at", "s"))
+        .select("id", "component", "n", (F.col("at") + 1).alias("at"), F.col("s.shingle").alias("shingle"))
+    )
+    fronts = settle(fronts, "fronts")
+    across = fronts.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    shared = settle(fronts.join(across, "shingle", "left_semi"), "shared")
+    x, y = shared.alias("x"), shared.alias("y")
+    left = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    meet = (
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+        & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n")))
+    )
+    return x.join(y, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in `edges` (a, b).
 
@@ -137,10 +168,9 @@ def near_copies(
     Texts link when 100 * |A and B| >= percent * |A or B| over their shingle sets. Sets equal
     as a whole are one node from the start, so a group of copies costs one row. Candidates
     share a band. First every member of a band's bucket meets its smallest and its largest
-    member; what that links becomes components. Then only members of different components
-    that still share a bucket meet, when their set sizes allow the link and two bands agree
-    (at 0.85 a link has fewer than two with odds of 5e-7). All links are confirmed on the
-    full sets. Nothing is capped or sampled.
+    member; what that links becomes components. Buckets with several components are looked at
+    again, by an exact search for links between components (`possible`). All links are
+    confirmed on the full sets. Nothing is capped or sampled.
 
     A null key takes no part (component null, kept); null texts and texts without words are
     alone. Rows with one key are one node; equal rows get equal results.
@@ -172,14 +202,9 @@ def near_copies(
     found = components(first)
     part = member.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     mixed = part.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    rest = settle(part.join(mixed, "band", "left_semi").join(nodes.select("id", "n", "bands"), "id"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    agreeing = F.size(F.array_intersect(F.col("x.bands"), F.col("y.bands")))
-    meet = (
-        (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-        & fits(F.col("x.n"), F.col("y.n")) & (agreeing >= 2)
-    )
-    later = x.join(y, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    apart = part.join(mixed, "band", "left_semi").select("id", "component").distinct()
+    rest = settle(sets.join(apart, "id"), "rest")
+    later = possible(rest, percent).join(stars, ["a", "b"], "left_anti")
     second = linked(later, sets, percent)
     final = components(first.union(second))
     of_set = nodes.select("same", "id").join(final, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
