@@ -11,6 +11,7 @@ from playmetry.llm.common import prepared
 from playmetry.llm.html import extract
 from playmetry.llm.language import held_out, identify, learned
 from playmetry.llm.lines import learn_lines, quality_rules
+from playmetry.llm.mixing import mix
 from playmetry.llm.nearcopies import near_copies
 from playmetry.llm.pieces import load_vocabulary, round_trip
 from playmetry.llm.shards import shard_texts
@@ -49,6 +50,12 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "lang")
 
 
+@query()
+def op3_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Words taken of every document so that sources weigh 3, 1, 2 in turn of 150 % of all words."""
+    return mix(table(spark, folder, "documents")).drop("copies")
+
+
 @query()
 def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """One sampled segmentation of every document, seeded by its id, and whether it decodes to the text."""
