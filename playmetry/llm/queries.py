@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from playmetry.llm.ann import nearest
 from playmetry.llm.common import prepared
 from playmetry.llm.html import extract
 from playmetry.llm.language import held_out, identify, learned
@@ -42,6 +43,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op1_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every 50th one, by cosine."""
+    vectors = table(spark, folder, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 @query()
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from those whose id's checksum is not a multiple of 5."""
