@@ -162,7 +162,9 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
         lang, score = np.full(len(grams), UNDETERMINED, object), np.zeros(len(grams))
         if some.any():
             bundle = profiler.bundles([g for g, s in zip(grams, some) if s])
-            cosines = bundle @ units.T / np.maximum(np.linalg.norm(bundle, axis=1), 1e-300)[:, None]
+            # Sums row by row, so a text scores the same in any company.
+            dots = np.stack([(bundle * unit).sum(axis=1) for unit in units], axis=1)
+            cosines = dots / np.maximum(np.sqrt((bundle * bundle).sum(axis=1)), 1e-300)[:, None]
             best = np.argmax(np.round(cosines, 12), axis=1)
             lang[some] = names[best]
             score[some] = np.clip(cosines[np.arange(len(best)), best], 0.0, 1.0)
