@@ -67,10 +67,11 @@ def mask_profanity(text: Column, words: list[str] | None = None) -> Column:
     return F.when(text.rlike(pattern(words)), masked).otherwise(text)
 
 
-def message_prep(text: Column, n: int = 500) -> Column:
-    """Chat text as the room sees it: at most `n` characters, trimmed; blank becomes NULL."""
+def message_prep(text: Column, n: int | None = None) -> Column:
+    """Chat text as the room sees it: trimmed, cut to `n` characters where a room asks for it;
+    blank becomes NULL."""
     blank = strip(text) == ""
-    return F.when(~blank, strip(F.substring(text, 1, n)))
+    return F.when(~blank, strip(text if n is None else F.substring(text, 1, n)))
 
 
 def fixed(value: Column, digits: int) -> Column:

@@ -240,4 +240,4 @@ SLA_TABLE = [
 STREAK_MILESTONES = [7, 30, 100, 365]
 
 # Retention in days per kind of table.
-RETENTION_DAYS = {"game_sessions": 365, "fact_game_session": 730, "fact_match": 730, "anomaly_reports_daily": 180}
+RETENTION_DAYS = {"game_sessions": 365, "fact_game_session": 730, "fact_match": 730, "anomaly_reports_daily": 180, "daily_active_users": 180}

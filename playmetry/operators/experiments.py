@@ -162,7 +162,7 @@ def registry_promote(events: DataFrame) -> DataFrame:
     """Stage of every model version after its log of registrations and promotions.
 
     `events` has (name, version, action, target_stage, ts, event_id). The first version
-    registered goes to production; each promotion to production archives the version it
+    registered goes to production, a later one without a stage to development; each promotion to production archives the version it
     replaces; otherwise the version's last own event decides.
     """
     moment = F.struct("ts", "event_id")
@@ -177,7 +177,7 @@ def registry_promote(events: DataFrame) -> DataFrame:
         .withColumn(
             "stage",
             F.when(register & (F.col("version") == F.col("__first")), "production").otherwise(
-                F.coalesce("target_stage", F.lit("staging"))
+                F.coalesce("target_stage", F.lit("development"))
             ),
         )
     )

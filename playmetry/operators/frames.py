@@ -35,10 +35,14 @@ def optional_filter(df: DataFrame, col: str, value=None) -> DataFrame:
     return df if value is None else df.where(F.col(col) == F.lit(value))
 
 
-def page(df: DataFrame, order: Sequence[Column], number: int, size: int, cap: int = 100) -> DataFrame:
-    """One page (1-based) with the totals on every row. `order` must end in a unique key."""
-    size = max(1, min(size, cap))
-    number = max(1, number)
+def page(df: DataFrame, order: Sequence[Column], number: int, size: int, most: int = 100) -> DataFrame:
+    """One page (1-based) with the totals on every row. `order` must end in a unique key.
+
+    A size over `most`, a size or a number under 1 is an error. A page brings number * size
+    rows to one task; `page_after` goes on from a key instead and suits deep pages.
+    """
+    if number < 1 or not 1 <= size <= most:
+        raise ValueError(f"page {number} of size {size}: numbers begin at 1, sizes are 1 to {most}")
     total = df.agg(F.count(F.lit(1))).scalar()
     rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
     return rows.withColumn("total_rows", total).withColumn(

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from playmetry.functions import vocab
 from playmetry.functions.scoring import risk_level, streak_bucket
 from playmetry.operators.frames import both_sides, latest_snapshot
 from playmetry.scale import exact_quantiles, moment, null_safe_join
 
+
 def _n() -> Column:
     return F.count(F.lit(1))
 
@@ -105,7 +108,7 @@ def elo_trends(matches: DataFrame, day=None) -> DataFrame:
             "loser_elo_after",
         )
     )
-    at = moment("completed_at", "match_id")
+    at = moment(sides, "completed_at", "match_id")
     return (
         sides.groupBy(F.to_date("completed_at").alias("date"), "user_id")
         .agg(
@@ -391,19 +394,31 @@ def retention_report(facts: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def retention_cutoff(df: DataFrame, col: str, as_of, days: int) -> Column:
+    """First day that is kept, as a literal of the column's own type, so the comparison reaches
+    the file scan. A whole-number column holds day keys like 20240131."""
+    day = date.fromisoformat(str(as_of)[:10]) - timedelta(days=days)
+    if isinstance(df.schema[col].dataType, IntegralType):
+        return F.lit(int(day.strftime("%Y%m%d"))).cast(df.schema[col].dataType)
+    return F.lit(day).cast(df.schema[col].dataType)
+
+
 def retention_purge_plan(
     tables: dict[str, tuple[DataFrame, str]], policy: dict[str, int], as_of
 ) -> DataFrame:
     """Per table: cutoff, rows older than it and rows kept. Values are (table, date column)."""
     parts = []
     for name, (df, col) in tables.items():
-        cutoff = F.date_sub(_day(as_of), policy[name])
+        expired = F.col(col) < retention_cutoff(df, col, as_of, policy[name])
         parts.append(
             df.agg(
-                F.count_if(F.col(col) < cutoff).alias("n_expired"),
-                F.count_if(~F.coalesce(F.col(col) < cutoff, F.lit(False))).alias("n_kept"),
+                F.count_if(expired).alias("n_expired"),
+                F.count_if(~F.coalesce(expired, F.lit(False))).alias("n_kept"),
             ).select(
-                F.lit(name).alias("table_name"), cutoff.alias("cutoff"), "n_expired", "n_kept"
+                F.lit(name).alias("table_name"),
+                F.date_sub(_day(as_of), policy[name]).alias("cutoff"),
+                "n_expired",
+                "n_kept",
             )
         )
     return reduce(DataFrame.unionByName, parts)

@@ -253,10 +253,10 @@ def elo_trend_for_player(trends: DataFrame, user, n_days: int, as_of) -> DataFra
 
 def first_touch_features(matches: DataFrame) -> DataFrame:
     """First rating before and last rating after of each player over the whole history."""
-    at = moment("completed_at", "match_id")
+    sides = both_sides(matches)
+    at = moment(sides, "completed_at", "match_id")
     return (
-        both_sides(matches)
-        .groupBy("user_id")
+        sides.groupBy("user_id")
         .agg(
             F.min_by("elo_before", at).alias("elo_start"),
             F.max_by("elo_after", at).alias("elo_end"),

@@ -60,7 +60,8 @@ def fact_session_rows(sessions: DataFrame, key: bytes) -> DataFrame:
 def load_fact_sessions(
     sessions: DataFrame, existing: DataFrame | None, key: bytes
 ) -> tuple[DataFrame, DataFrame]:
-    """Session rows to append, and one row of loaded and skipped counts."""
+    """Session rows to append, and one row of counts: inserted, duplicates (of stored rows or
+    within the batch) and skipped (without a date)."""
     rows = fact_session_rows(sessions, key)
     return _load(rows, existing, "session_hash", "started_at")
 
@@ -88,7 +89,7 @@ def fact_match_rows(matches: DataFrame, key: bytes) -> DataFrame:
 def load_fact_matches(
     matches: DataFrame, existing: DataFrame | None, key: bytes
 ) -> tuple[DataFrame, DataFrame]:
-    """Match rows to append, and one row of loaded and skipped counts."""
+    """Match rows to append, and one row of the same counts."""
     return _load(fact_match_rows(matches, key), existing, "match_hash", "completed_at")
 
 
@@ -96,9 +97,13 @@ def _load(rows, existing, key_col, ts_col) -> tuple[DataFrame, DataFrame]:
     dated = rows.where(F.col("date_key").isNotNull())
     if existing is None:
         existing = dated.limit(0)
-    counts = rows.agg(
-        F.count("date_key").alias("loaded"),
-        F.count_if(F.col("date_key").isNull()).alias("skipped"),
+    per_key = rows.groupBy(key_col).agg(F.count("date_key").alias("dated"), F.count_if(F.col("date_key").isNull()).alias("undated"))
+    stored = existing.select(key_col).distinct().withColumn("stored", F.lit(1))
+    fresh = (F.col("dated") > 0) & F.col("stored").isNull()
+    counts = per_key.join(stored, key_col, "left").agg(
+        F.count_if(fresh).alias("inserted"),
+        (F.coalesce(F.sum("dated"), F.lit(0)) - F.count_if(fresh)).alias("duplicates"),
+        F.coalesce(F.sum("undated"), F.lit(0)).alias("skipped"),
     )
     return insert_ignore(dated, existing, [key_col], [F.col(ts_col)]), counts
 

@@ -14,7 +14,7 @@ from playmetry.functions.scoring import elo_update, lookup, risk_level, session_
 from playmetry.functions.text import toxicity_keywords
 from playmetry.functions.vocab import LESSONS, TIER_XP
 from playmetry.operators.ranking import calendar_streaks
-from playmetry.scale import moment, spread
+from playmetry.scale import moment
 from playmetry.streaming.enrich import enrich_sessions
 
 SESSIONS_AS_OF = "2001-08-01"
@@ -222,11 +222,11 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
     """Current rating, wins and losses of each player."""
     from playmetry.operators.frames import both_sides
 
+    sides = both_sides(matches(spark, folder))
     return (
-        both_sides(matches(spark, folder))
-        .groupBy("user_id")
+        sides.groupBy("user_id")
         .agg(
-            F.max_by("elo_after", moment("completed_at", "match_id")).alias("elo_rating"),
+            F.max_by("elo_after", moment(sides, "completed_at", "match_id")).alias("elo_rating"),
             F.sum("is_win").alias("wins"),
             F.sum(F.lit(1) - F.col("is_win")).alias("losses"),
         )
@@ -286,7 +286,7 @@ def chat(spark: SparkSession, folder: str) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Texts for rules that are heavy per row."""
-    return spread(table(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars"))
+    return table(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars")
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -471,7 +471,8 @@ def boards(spark: SparkSession, folder: str) -> DataFrame:
         return F.when(k % 4 == 0, wrong).otherwise(plain).cast("int")
 
     cells = F.sequence(F.lit(0), F.lit(80))
-    return spread(table(spark, folder, "part").select("p_partkey")).select(
+    # The rules are heavy per row and a key is 8 bytes, so the keys are dealt out first.
+    return table(spark, folder, "part").select("p_partkey").repartition("p_partkey").select(
         F.col("p_partkey").alias("puzzle_id"),
         F.transform(cells, shown).alias("board"),
         F.transform(cells, solution).alias("solution"),

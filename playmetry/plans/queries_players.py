@@ -306,6 +306,14 @@ register(
     "elo_trends",
     "SELECT * FROM trends",
 )(lambda spark, d: metrics.elo_trends(b.matches(spark, d)))
+# Times cut to the day: the match number decides between matches of one time.
+register(
+    "elo_trends_ties",
+    """WITH s AS (SELECT *, CAST(completed_at AS DATE) AS date FROM sides)
+       SELECT date, user_id, count(*) AS matches_played, CAST(sum(is_win) AS BIGINT) AS wins, CAST(count(*) - sum(is_win) AS BIGINT) AS losses,
+              first(elo_before ORDER BY match_id) AS elo_start, last(elo_after ORDER BY match_id) AS elo_end,
+              last(elo_after ORDER BY match_id) - first(elo_before ORDER BY match_id) AS elo_delta FROM s GROUP BY 1, 2""",
+)(lambda spark, d: metrics.elo_trends(b.matches(spark, d).withColumn("completed_at", F.date_trunc("day", "completed_at"))))
 
 
 def _breakdown_sql(column: str) -> str:
@@ -499,7 +507,9 @@ register(
               count(*) FILTER (WHERE started_at >= DATE '2001-08-01' - 365) AS n_kept FROM plain_sessions
        UNION ALL SELECT 'anomaly_reports_daily', DATE '2001-08-01' - 180, count(*) FILTER (WHERE d < DATE '2001-08-01' - 180),
               count(*) FILTER (WHERE d >= DATE '2001-08-01' - 180)
-              FROM (SELECT DISTINCT CAST(completed_at AS DATE) AS d FROM plain_sessions WHERE completed_at IS NOT NULL)""",
+              FROM (SELECT DISTINCT CAST(completed_at AS DATE) AS d FROM plain_sessions WHERE completed_at IS NOT NULL)
+       UNION ALL SELECT 'fact_game_session', DATE '2001-08-01' - 730, count(*) FILTER (WHERE date_key < 19990802),
+              count(*) FILTER (WHERE date_key >= 19990802) FROM session_facts""",
 )(
     lambda spark, d: metrics.retention_purge_plan(
         {
@@ -508,6 +518,7 @@ register(
                 b.plain_sessions(spark, d).where("completed_at IS NOT NULL").select(F.to_date("completed_at").alias("date")).distinct(),
                 "date",
             ),
+            "fact_game_session": (b.session_facts(spark, d), "date_key"),
         },
         vocab.RETENTION_DAYS,
         AS_OF,
@@ -712,7 +723,7 @@ register("calendar_streaks", "SELECT user_id, current_streak, longest_streak, la
 TOXIC = "{} <> 'clean'".format(category_sql("text"))
 register(
     "mute_after_warnings",
-    f"""WITH m AS (SELECT room_id, user_id, seq, {strip_sql('substr(text, 1, 500)')} AS text FROM chat WHERE {strip_sql('text')} <> ''),
+    f"""WITH m AS (SELECT room_id, user_id, seq, {strip_sql('text')} AS text FROM chat WHERE {strip_sql('text')} <> ''),
              t AS (SELECT room_id, user_id, seq, {TOXIC} AS is_toxic FROM m),
              r AS (SELECT *, coalesce(sum(CAST(is_toxic AS INTEGER)) OVER (PARTITION BY room_id, user_id ORDER BY seq), 0) AS running FROM t)
         SELECT room_id, user_id, seq, is_toxic, CAST(least(running, 3) AS INTEGER) AS warnings,

@@ -178,11 +178,10 @@ register(
 register(
     "toxicity_keywords",
     f"SELECT doc_id, cat AS category, cat <> 'clean' AS is_toxic, CASE WHEN cat <> 'clean' THEN 1.0 ELSE 0.95 END AS confidence "
-    f"FROM (SELECT doc_id, {o.category_sql('text')} AS cat FROM documents WHERE {o.strip_sql('text')} <> '')",
+    f"FROM (SELECT doc_id, {o.category_sql('text')} AS cat FROM documents)",
     "confidence",
 )(
     lambda spark, d: b.documents(spark, d)
-    .where(F.col("text").rlike(r"[^\s\p{Z}]"))
     .select("doc_id", text.toxicity_keywords(F.col("text")).alias("t"))
     .select("doc_id", "t.*")
 )
@@ -231,7 +230,7 @@ register(
     f"SELECT room_id, seq, md5({o.strip_sql('substr(text, 1, 500)')}) AS digest FROM chat WHERE {o.strip_sql('text')} <> ''",
 )(
     lambda spark, d: b.chat(spark, d)
-    .select("room_id", "seq", text.message_prep(F.col("text")).alias("t"))
+    .select("room_id", "seq", text.message_prep(F.col("text"), 500).alias("t"))
     .where("t IS NOT NULL")
     .select("room_id", "seq", F.md5(F.encode("t", "UTF-8")).alias("digest"))
 )
@@ -338,25 +337,62 @@ def _erase_ids(spark, d):
 
 
 def _private_tables(spark, d):
+    """Every table that erasure touches, from the bindings."""
+    sessions, matches = b.plain_sessions(spark, d), b.matches(spark, d)
+    own = lambda name, df: df.select(F.col(name).alias("user_id"))
+    hashed = lambda name: ids.pseudonymise(F.col(name), KEY)
     return {
-        "game_sessions": b.plain_sessions(spark, d),
-        "multiplayer_matches": b.matches(spark, d),
+        "feature_store": b.orders(spark, d).select(F.col("o_custkey").alias("entity_id")),
+        "ab_test_result": own("o_custkey", b.orders(spark, d).where("o_orderstatus = 'F'")),
+        "game_sessions": sessions,
+        "streaks": own("id", b.people(spark, d)),
+        "daily_puzzle_attempts": own("user_id", sessions.where("status = 'completed'")),
+        "lesson_progress": own("user_id", b.events(spark, d).where("event_type = 'signup'")),
         "friendships": b.friendships(spark, d),
+        "player_ratings": own("winner_id", matches),
+        "multiplayer_matches": matches,
+        "activity_feed": own("user_id", b.events(spark, d)),
+        "notifications": own("user_id", b.events(spark, d).where("event_type = 'click'")),
         "users": b.people(spark, d),
-        "fact_game_session": b.plain_sessions(spark, d).select(
-            ids.pseudonymise(F.col("user_id"), KEY).alias("user_hash"), "difficulty"
-        ),
+        "fact_game_session": sessions.select(hashed("user_id").alias("user_hash"), "difficulty"),
+        "fact_match": matches.select(hashed("winner_id").alias("winner_hash"), hashed("loser_id").alias("loser_hash")),
+        "dim_user": b.people(spark, d).select(hashed("id").alias("user_hash")),
     }
 
 
 GONE = "(SELECT id FROM users WHERE NOT is_active)"
+#: (table, id column, source in SQL) of every erasure target.
+ERASED = [
+    ("feature_store", "entity_id", "(SELECT o_custkey AS k FROM orders)"),
+    ("ab_test_result", "user_id", "(SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F')"),
+    ("game_sessions", "user_id", "(SELECT user_id AS k FROM plain_sessions)"),
+    ("streaks", "user_id", "(SELECT id AS k FROM users)"),
+    ("daily_puzzle_attempts", "user_id", "(SELECT user_id AS k FROM plain_sessions WHERE status = 'completed')"),
+    ("lesson_progress", "user_id", "(SELECT user_id AS k FROM events WHERE event_type = 'signup')"),
+    ("friendships", "requester_id", "(SELECT requester_id AS k, addressee_id AS l FROM friendships)"),
+    ("friendships", "addressee_id", "(SELECT addressee_id AS k, requester_id AS l FROM friendships)"),
+    ("player_ratings", "user_id", "(SELECT winner_id AS k FROM matches)"),
+    ("multiplayer_matches", "winner_id", "(SELECT winner_id AS k, loser_id AS l FROM matches)"),
+    ("multiplayer_matches", "loser_id", "(SELECT loser_id AS k, winner_id AS l FROM matches)"),
+    ("activity_feed", "user_id", "(SELECT user_id AS k FROM events)"),
+    ("notifications", "user_id", "(SELECT user_id AS k FROM events WHERE event_type = 'click')"),
+    ("users", "id", "(SELECT id AS k FROM users)"),
+    ("fact_game_session", "user_hash", "(SELECT user_id AS k FROM plain_sessions)"),
+    ("fact_match", "winner_hash", "(SELECT winner_id AS k, loser_id AS l FROM matches)"),
+    ("fact_match", "loser_hash", "(SELECT loser_id AS k, winner_id AS l FROM matches)"),
+    ("dim_user", "user_hash", "(SELECT id AS k FROM users)"),
+]
+ERASE_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {s} AS s WHERE k NOT IN {GONE}" + (f" AND l NOT IN {GONE}" if " AS l " in s else "")
+    for i, (t, _, s) in enumerate(ERASED)
+    if t not in {x for x, _, _ in ERASED[:i]}
+)
+DRY_RUN_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows FROM {s} AS s WHERE k IN {GONE}" for t, c, s in ERASED
+)
 register(
     "erase_users",
-    f"""SELECT 'game_sessions' AS table_name, count(*) AS n_rows FROM plain_sessions WHERE user_id NOT IN {GONE}
-        UNION ALL SELECT 'multiplayer_matches', count(*) FROM matches WHERE winner_id NOT IN {GONE} AND loser_id NOT IN {GONE}
-        UNION ALL SELECT 'friendships', count(*) FROM friendships WHERE requester_id NOT IN {GONE} AND addressee_id NOT IN {GONE}
-        UNION ALL SELECT 'users', count(*) FROM users WHERE is_active
-        UNION ALL SELECT 'fact_game_session', count(*) FROM plain_sessions WHERE user_id NOT IN {GONE}""",
+    ERASE_SQL,
 )(lambda spark, d: _row_counts(privacy.erase_users(_private_tables(spark, d), _erase_ids(spark, d), KEY)))
 
 
@@ -374,19 +410,14 @@ register(
     "erase_sessions",
     f"SELECT id, user_id, status FROM plain_sessions WHERE user_id NOT IN {GONE}",
 )(
-    lambda spark, d: privacy.erase_users({"game_sessions": b.plain_sessions(spark, d)}, _erase_ids(spark, d), KEY)[
-        "game_sessions"
-    ].select("id", "user_id", "status")
+    lambda spark, d: privacy.erase_users(
+        {"game_sessions": b.plain_sessions(spark, d)}, _erase_ids(spark, d), KEY,
+        absent={t for t, _ in privacy.SOURCE_TARGETS + privacy.WAREHOUSE_TARGETS} - {"game_sessions"},
+    )["game_sessions"].select("id", "user_id", "status")
 )
 register(
     "erasure_dry_run",
-    f"""SELECT 'game_sessions' AS table_name, 'user_id' AS column_name, count(*) AS n_rows FROM plain_sessions WHERE user_id IN {GONE}
-        UNION ALL SELECT 'multiplayer_matches', 'winner_id', count(*) FROM matches WHERE winner_id IN {GONE}
-        UNION ALL SELECT 'multiplayer_matches', 'loser_id', count(*) FROM matches WHERE loser_id IN {GONE}
-        UNION ALL SELECT 'friendships', 'requester_id', count(*) FROM friendships WHERE requester_id IN {GONE}
-        UNION ALL SELECT 'friendships', 'addressee_id', count(*) FROM friendships WHERE addressee_id IN {GONE}
-        UNION ALL SELECT 'users', 'id', count(*) FROM users WHERE NOT is_active
-        UNION ALL SELECT 'fact_game_session', 'user_hash', count(*) FROM plain_sessions WHERE user_id IN {GONE}""",
+    DRY_RUN_SQL,
 )(lambda spark, d: privacy.erasure_dry_run(_private_tables(spark, d), _erase_ids(spark, d), KEY))
 register(
     "resync_guard",
@@ -408,6 +439,29 @@ register(
         b.SESSIONS_AS_OF,
     )["game_sessions"]
 )
+register(
+    "retention_apply_facts",
+    "SELECT date_key, difficulty_key, count(*) AS n FROM session_facts WHERE date_key >= 19990802 GROUP BY 1, 2",
+)(
+    lambda spark, d: privacy.retention_apply(
+        {"fact_game_session": (b.session_facts(spark, d), "date_key")}, vocab.RETENTION_DAYS, b.SESSIONS_AS_OF
+    )["fact_game_session"]
+    .groupBy("date_key", "difficulty_key")
+    .agg(F.count(F.lit(1)).alias("n"))
+)
+register(
+    "retention_apply_daily",
+    """SELECT CAST(ts AS DATE) AS date, count(DISTINCT user_id) AS dau FROM events GROUP BY 1
+       HAVING CAST(ts AS DATE) >= DATE '2024-07-15' - 180""",
+)(
+    lambda spark, d: privacy.retention_apply(
+        {"daily_active_users": (
+            b.events(spark, d).groupBy(F.to_date("ts").alias("date")).agg(F.count_distinct("user_id").alias("dau")), "date"
+        )},
+        vocab.RETENTION_DAYS,
+        "2024-07-15",
+    )["daily_active_users"]
+)
 
 # --- drift, gates, registry ----------------------------------------------------
 
@@ -424,10 +478,10 @@ def _measured(spark, d):
     """Accuracy per language model as two service-level metrics."""
     from playmetry.operators.metrics import model_metrics
 
-    names = {"en": "difficulty-classifier", "fr": "churn-predictor", "de": "skill-clustering"}
-    acc = model_metrics(b.predictions(spark, d)).where(F.col("model").isin(list(names)))
+    names = {"en": "difficulty-classifier", "fr": "churn-predictor", "de": "skill-clustering", "es": "adaptive-regression"}
+    acc = model_metrics(b.predictions(spark, d))
     name = scoring.lookup(F.col("model"), names)
-    metric = scoring.lookup(F.col("model"), {"en": "test_accuracy", "fr": "test_f1", "de": "silhouette_score"})
+    metric = scoring.lookup(F.col("model"), {"en": "test_accuracy", "fr": "test_f1", "de": "silhouette_score", "es": "test_r2"})
     return acc.select(
         name.alias("model_id"),
         metric.alias("metric"),
@@ -446,14 +500,14 @@ SLA_SQL = f"""
                 ELSE coalesce(CASE WHEN s.comparison = 'gte' THEN m.value >= s.threshold ELSE m.value <= s.threshold END, FALSE) END AS passed,
            s.full_only AS skipped,
            CASE WHEN s.full_only THEN 'full check only'
-                WHEN s.model_id NOT IN ('difficulty-classifier', 'churn-predictor', 'skill-clustering') THEN 'not evaluated'
+                WHEN s.model_id NOT IN ('difficulty-classifier', 'churn-predictor', 'skill-clustering', 'adaptive-regression') THEN 'not evaluated'
                 WHEN s.model_id = 'skill-clustering' THEN 'training failed'
                 WHEN m.value IS NULL THEN 'missing metric ' || s.metric END AS reason
     FROM (VALUES {_SLA_ROWS}) AS s(model_id, metric, threshold, comparison, full_only)
-    LEFT JOIN (SELECT CASE model WHEN 'en' THEN 'difficulty-classifier' ELSE 'churn-predictor' END AS model_id,
-                      CASE model WHEN 'en' THEN 'test_accuracy' ELSE 'test_f1' END AS metric,
+    LEFT JOIN (SELECT CASE model WHEN 'en' THEN 'difficulty-classifier' WHEN 'fr' THEN 'churn-predictor' ELSE 'adaptive-regression' END AS model_id,
+                      CASE model WHEN 'en' THEN 'test_accuracy' WHEN 'fr' THEN 'test_f1' ELSE 'test_r2' END AS metric,
                       round(count(*) FILTER (WHERE predicted = actual) / nullif(count(actual), 0)::DOUBLE, 4) AS value
-               FROM predictions WHERE model IN ('en', 'fr') GROUP BY model) m ON m.model_id = s.model_id AND m.metric = s.metric"""
+               FROM predictions WHERE model IN ('en', 'fr', 'es') GROUP BY model) m ON m.model_id = s.model_id AND m.metric = s.metric"""
 register("sla_check", SLA_SQL, "value threshold")(lambda spark, d: ex.sla_check(_measured(spark, d), ex.sla_table(spark)))
 register(
     "promotion_gate",
@@ -501,7 +555,7 @@ register(
     """WITH log AS (SELECT o_custkey AS name, o_orderpriority AS version, o_orderstatus AS s, o_orderdate AS ts, o_orderkey AS id FROM orders
                     WHERE (o_custkey, o_orderpriority) IN (SELECT (o_custkey, o_orderpriority) FROM orders WHERE o_orderstatus = 'P')),
             born AS (SELECT name, first(version ORDER BY ts, id) AS v FROM log WHERE s = 'P' GROUP BY 1),
-            applied AS (SELECT l.*, CASE WHEN s = 'F' OR (s = 'P' AND version = v) THEN 'production' ELSE 'staging' END AS stage
+            applied AS (SELECT l.*, CASE WHEN s = 'F' OR (s = 'P' AND version = v) THEN 'production' WHEN s = 'O' THEN 'staging' ELSE 'development' END AS stage
                         FROM log l JOIN born USING (name)),
             own AS (SELECT name, version, last(stage ORDER BY ts, id) AS stage, max((ts, id)) AS moment FROM applied GROUP BY 1, 2),
             prod AS (SELECT name, version, (ts, id) AS moment FROM applied WHERE stage = 'production'),

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -92,14 +93,17 @@ def ordered_positions(
     )
 
 
-def moment(ts: str, unique: str) -> Column:
-    """Total order by time, equal times by a hash of `unique`, as one number.
+def moment(df: DataFrame, ts: str, unique: str) -> Column:
+    """Total order by time, equal times by `unique`.
 
     First and last by a struct would make Spark sort every task's rows before it can
-    combine them; a number keeps `min_by` and `max_by` in the hash aggregate.
+    combine them; a number made of time and a whole-number key keeps `min_by` and `max_by`
+    in the hash aggregate. Keys of other kinds need the struct.
     """
-    micros = F.unix_micros(F.col(ts)).cast("decimal(16,0)")
-    return micros * F.lit(Decimal(10**20)) + F.xxhash64(F.col(unique)).cast("decimal(19,0)")
+    if not isinstance(df.schema[unique].dataType, IntegralType):
+        return F.struct(F.col(ts), F.col(unique))
+    micros = F.unix_micros(F.col(ts)).cast("decimal(18,0)")
+    return micros * F.lit(Decimal(10**19)) + F.col(unique).cast("decimal(19,0)")
 
 
 def exact_quantiles(
@@ -183,16 +187,3 @@ def exact_quantiles(
         frac = F.max(F.when(mine, F.col("__q.frac")))
         aggs.append((lo + F.when(frac > 0, (hi - lo) * frac).otherwise(F.lit(0.0))).alias(name))
     return exploded.groupBy(*keys).agg(*aggs)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for rules that are heavy per row, when the input is small.
-
-    A table of less than one file split per core may arrive in a single task. Only such a
-    table is redistributed; a large one has enough splits and is left where it is.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return df.repartition(cores) if size < cores * split else df

@@ -42,7 +42,13 @@ def latency_quantiles(
     by: Sequence[str] = ("service",),
     accuracy: int = 10_000,
 ) -> DataFrame:
-    """p50, p95 and p99 in a sliding window, from a sketch of bounded size."""
+    """p50, p95 and p99 in a sliding window: values of rank ceil(p * n).
+
+    In batch they are exact at every size. A stream has to bound its state and takes them
+    from a sketch, off by at most 1 / `accuracy` of the ranks.
+    """
+    if not df.isStreaming:
+        return _exact_latency(df, win, slide, by)
     grouped = df.groupBy(F.window("ts", win, slide).alias("w"), *by)
     sketch = F.percentile_approx("latency_ms", [0.5, 0.95, 0.99], accuracy)
     return grouped.agg(sketch.alias("q"), _n().alias("requests")).select(
@@ -53,6 +59,19 @@ def latency_quantiles(
     )
 
 
+def _exact_latency(df: DataFrame, win: str, slide: str, by: Sequence[str]) -> DataFrame:
+    """Values are counted per pane of `slide` first, so a window adds up counts, not requests;
+    ranks run over the distinct values of a (window, key)."""
+    pane = df.where(F.col("latency_ms").isNotNull()).groupBy(F.window("ts", slide).alias("p"), *by, "latency_ms").agg(_n().alias("n"))
+    counted = pane.groupBy(F.window("p.start", win, slide).alias("w"), *by, "latency_ms").agg(F.sum("n").alias("n"))
+    keys = ["w", *by]
+    ordered = Window.partitionBy(*keys).orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("upto", F.sum("n").over(ordered)).withColumn("requests", F.sum("n").over(Window.partitionBy(*keys)))
+    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("requests")), F.col("latency_ms")))
+    found = ranked.groupBy(*keys).agg(F.max("requests").alias("requests"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    return found.select(F.col("w.end").alias("window_end"), *by, "requests", "p50", "p95", "p99")
+
+
 def sustained_alert(windows: DataFrame, by: Sequence[str], step_secs: int, hold_secs: int) -> DataFrame:
     """Alerts whose condition held at every evaluation for the whole hold time.
 

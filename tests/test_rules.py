@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from playmetry.functions import ids, scoring, text
 from playmetry.operators import experiments as ex
-from playmetry.operators import features, joins, metrics, quality, ranking
+from playmetry.operators import features, frames, joins, metrics, quality, ranking
 from playmetry.streaming.enrich import enrich_sessions
 
 
@@ -190,6 +190,28 @@ def test_mute(spark, rows):
     }
 
 
+def test_mute_reads_whole_messages(spark):
+    chat = [("r", "a", 1, "word " * 200 + "idiot"), ("r", "a", 2, "word " * 200)]
+    got = ranking.mute_after_warnings(spark.createDataFrame(chat, "room_id string, user_id string, seq long, text string"))
+    assert {r["seq"]: r["fate"] for r in got.collect()} == {1: "blocked", 2: "delivered"}
+
+
+def test_page_limits(spark):
+    for number, size in ((0, 5), (1, 0), (1, 101)):
+        with pytest.raises(ValueError):
+            frames.page(spark.range(3), [F.col("id")], number, size)
+
+
+def test_first_and_last_at_one_time(spark):
+    """Whole-number and text keys decide between matches of one time, by their order."""
+    for kind in ("long", "string"):
+        rows = [(i, 1, 2, 100 + i, 101 + i, 5, 5) for i in (3, 20, 100)]
+        frame = spark.createDataFrame(rows, "match_id long, winner_id int, loser_id int, winner_elo_before int, winner_elo_after int, loser_elo_before int, loser_elo_after int")
+        frame = frame.withColumn("match_id", F.col("match_id").cast(kind)).withColumn("completed_at", F.lit("2026-01-01").cast("timestamp"))
+        got = {r["user_id"]: (r["elo_start"], r["elo_end"]) for r in ranking.first_touch_features(frame).collect()}
+        assert got[1] == ((103, 201) if kind == "long" else (200, 104))
+
+
 def test_pseudonym_is_hmac(spark):
     for key in (b"k", b"x" * 100):
         got = spark.createDataFrame([("user-1",), (None,)], "v string").select(ids.pseudonymise(F.col("v"), key)).collect()

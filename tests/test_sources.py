@@ -105,10 +105,10 @@ def test_fact_load_counts(spark):
     frame = spark.createDataFrame(data, schema)
     added, counts = warehouse.load_fact_sessions(frame, None, b"k")
     row = added.first()
-    assert tuple(counts.first()) == (1, 1)
+    assert tuple(counts.first()) == (1, 0, 1)
     assert (row["difficulty_key"], row["status"], row["errors_count"], row["puzzle_hash"]) == ("medium", "completed", 0, None)
-    again, _ = warehouse.load_fact_sessions(frame, added, b"k")
-    assert again.count() == 0
+    again, counts = warehouse.load_fact_sessions(frame, added, b"k")
+    assert again.count() == 0 and tuple(counts.first()) == (0, 1, 1)
 
 
 def test_erasure(spark, rows):
@@ -118,9 +118,12 @@ def test_erasure(spark, rows):
         "other": spark.createDataFrame([("a",)], "user_id string"),
     }
     wanted = spark.createDataFrame([("a",), ("a",)], "id string")
-    plan = rows(privacy.erasure_dry_run(tables, wanted, b"k"))
+    rest = {t for t, _ in privacy.SOURCE_TARGETS + privacy.WAREHOUSE_TARGETS} - set(tables)
+    with pytest.raises(ValueError, match="streaks.user_id"):
+        privacy.erase_users(tables, wanted, b"k", absent=rest - {"streaks"})
+    plan = rows(privacy.erasure_dry_run(tables, wanted, b"k", rest))
     assert plan == [("friendships", "addressee_id", 0), ("friendships", "requester_id", 1), ("users", "id", 1)]
-    kept = privacy.erase_users(tables, wanted, b"k")
+    kept = privacy.erase_users(tables, wanted, b"k", rest)
     assert rows(kept["friendships"]) == [("b", "c"), ("c", "d")] and rows(kept["users"]) == [("b",)]
     assert kept["other"].count() == 1
     audit = privacy.erasure_audit(wanted, "2026-01-01", "2026-01-02", b"k")
@@ -128,6 +131,26 @@ def test_erasure(spark, rows):
     assert rows(privacy.resync_guard(tables["users"], audit, b"k", "id")) == [("b",)]
 
 
+def test_erasure_write(spark, rows, tmp_path):
+    """A date of erased users alone goes, one with others keeps these, the rest is not touched."""
+    path = str(tmp_path / "sessions")
+    data = [("u1", "2026-01-01"), ("u1", "2026-01-02"), ("u2", "2026-01-02"), ("u2", "2026-01-03"), ("u1", None), ("u2", None)]
+    spark.createDataFrame(data, "user_id string, day string").write.partitionBy("day").parquet(path)
+    before = spark.read.parquet(path)
+    rest = {t for t, _ in privacy.SOURCE_TARGETS + privacy.WAREHOUSE_TARGETS} - {"game_sessions"}
+    kept = privacy.erase_users({"game_sessions": before}, spark.createDataFrame([("u1",)], "id string"), b"k", rest)["game_sessions"]
+    privacy.rewrite_erased(before, kept, path, "day")
+    assert rows(spark.read.parquet(path).selectExpr("user_id", "string(day)")) == [("u2", "2026-01-02"), ("u2", "2026-01-03"), ("u2", None)]
+    assert not (tmp_path / "sessions" / "day=2026-01-01").exists() and len(list(tmp_path.iterdir())) == 1
+
+
+def test_retention_keys(spark, rows):
+    facts = spark.createDataFrame([(20260101,), (20260301,), (None,)], "date_key int")
+    kept = privacy.retention_apply({"fact_match": (facts, "date_key")}, {"fact_match": 30}, "2026-03-10")["fact_match"]
+    assert rows(kept) == [(20260301,), (None,)]
+    assert metrics.retention_purge_plan({"fact_match": (facts, "date_key")}, {"fact_match": 30}, "2026-03-10").first()["n_expired"] == 1
+
+
 def test_retention(spark, rows):
     frame = spark.createDataFrame([("2026-01-01",), ("2026-03-01",), (None,)], "d string").withColumn("d", F.to_date("d"))
     kept = privacy.retention_apply({"t": (frame, "d")}, {"t": 30}, "2026-03-10")["t"]
