@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +13,6 @@ from playmetry.functions import vocab
 from playmetry.functions.scoring import cluster_difficulties, lookup, win_rate
 from playmetry.operators.frames import recommend_recent_puzzles, top_per_key
 from playmetry.scale import ordered_positions
-from playmetry.session import durable
 
 DEFAULT_RATING = 1200
 
@@ -192,46 +195,72 @@ def reconnect_or_forfeit(
 
 
 def match_fifo(
-    queue: DataFrame, bucket: Column, chunk_rows: int = 200_000
+    queue: DataFrame, bucket: Column, chunk_rows: int = 200_000, on_pass: Callable[[int, int], None] | None = None
 ) -> DataFrame:
     """Pairs of the waiting queue: an arrival is matched with the longest-waiting other
     player of its difficulty, or waits.
 
     `bucket` is an ascending time bucket of `enqueued_at` used to number the arrivals.
     Each difficulty is cut into chunks of `chunk_rows` arrivals that run in parallel from
-    an empty queue. A chunk whose predecessor left somebody waiting is run again with
-    that start until no chunk's start changes; usually almost nobody is left waiting.
+    an empty queue. Then, per difficulty, the first chunk whose predecessor left somebody
+    waiting is run again with that start, and so on down the chunks, so a chunk runs twice
+    at most. A rerun usually leaves what the first run left, and then the chunks after it
+    stand. One count per chunk comes to the driver. `on_pass(number, chunks)` is told how many
+    chunks each pass ran.
     """
-    numbered = ordered_positions(
-        queue.select("difficulty", "entry_id", "user_id", "enqueued_at"),
-        ["difficulty"],
-        bucket,
-        [F.col("enqueued_at"), F.col("entry_id")],
-    ).withColumn("chunk", F.floor((F.col("position") - 1) / chunk_rows).cast("long"))
-    numbered = durable(numbered.select("difficulty", "chunk", "position", "entry_id", "user_id"))
-    starts = numbered.limit(0)
-    seen = None
+    numbered = (
+        ordered_positions(
+            queue.select("difficulty", "entry_id", "user_id", "enqueued_at"),
+            ["difficulty"],
+            bucket,
+            [F.col("enqueued_at"), F.col("entry_id")],
+        )
+        .withColumn("chunk", F.floor((F.col("position") - 1) / chunk_rows).cast("long"))
+        .select("difficulty", "chunk", "position", "entry_id", "user_id")
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    tell = on_pass or (lambda number, chunks: None)
+
+    def among(cells: set) -> Column:
+        """Rows of these (difficulty, chunk) cells, one per difficulty at most."""
+        return reduce(lambda a, b: a | b, [F.col("difficulty").eqNullSafe(F.lit(d)) & (F.col("chunk") == c) for d, c in cells])
+
+    def left_by(run: DataFrame) -> dict:
+        """Who each chunk leaves waiting, as a hash; chunks that leave nobody have none."""
+        mark = F.when(F.col("kind") == "waiting", F.xxhash64("position", "first_entry", "first_user").cast("decimal(38,0)"))
+        rows = run.groupBy("difficulty", "chunk").agg(F.sum(mark).alias("left")).collect()
+        return {(r["difficulty"], r["chunk"]): r["left"] for r in rows}
+
+    run = numbered.groupBy("difficulty", "chunk").applyInPandas(_pair_chunk, _PAIR_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
+    left = left_by(run)
+    tell(1, len(left))
+    started: dict = {}  # what each chunk was started with, where that was not an empty queue
+    passes = 1
     while True:
+        due: dict = {}
+        for d, c in sorted(left, key=lambda k: (str(k[0]), k[1])):
+            if c and d not in due and left.get((d, c - 1)) != started.get((d, c)):
+                due[d] = c
+        if not due:
+            break
+        cells = {(d, c) for d, c in due.items()}
         # Entries still waiting from the chunk before keep their earlier position.
-        fed = numbered.unionByName(starts)
-        run = durable(fed.groupBy("difficulty", "chunk").applyInPandas(_pair_chunk, _PAIR_SCHEMA))
-        left = run.where("kind = 'waiting'").select(
+        starts = run.where("kind = 'waiting'").where(among({(d, c - 1) for d, c in cells})).select(
             "difficulty",
             (F.col("chunk") + 1).alias("chunk"),
-            F.col("position"),
+            "position",
             F.col("first_entry").alias("entry_id"),
             F.col("first_user").alias("user_id"),
         )
-        last_chunk = numbered.groupBy("difficulty").agg(F.max("chunk").alias("__last"))
-        left = left.join(last_chunk, "difficulty").where("chunk <= __last").drop("__last")
-        signature = left.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("difficulty", "chunk", "entry_id").cast("decimal(38,0)"))
-        ).first()
-        if seen is not None and tuple(signature) == seen:
-            break
-        if seen is None and signature[0] == 0:
-            break
-        seen, starts = tuple(signature), left
+        fed = numbered.where(among(cells)).unionByName(starts)
+        again = fed.groupBy("difficulty", "chunk").applyInPandas(_pair_chunk, _PAIR_SCHEMA)
+        again = again.persist(StorageLevel.MEMORY_AND_DISK)
+        for d, c in cells:
+            started[(d, c)] = left.get((d, c - 1))
+        left |= left_by(again)
+        run = run.where(~among(cells)).unionByName(again)
+        passes += 1
+        tell(passes, len(cells))
     return run.where("kind = 'pair'").select(
         "difficulty", "first_entry", "first_user", "second_entry", "second_user"
     )

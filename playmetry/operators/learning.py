@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -26,8 +30,6 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playmetry.session import durable
-
 SKILL_LABELS = ["Expert", "Advanced", "Intermediate", "Casual", "Beginner"]
 
 
@@ -202,52 +204,65 @@ def fit_difficulty_regressor(
     return model, metrics
 
 
-def reconstruction_anomaly(
-    df: DataFrame, features: list[str], k: int = 3, sigma: float = 2.0, key: str = "id"
-) -> DataFrame:
-    """Error of rebuilding each row from its `k` main components, and whether it is above
-    mean + `sigma` deviations of the held-out rows.
-
-    The components are fitted on the training rows; fitting sums a features x features
-    matrix, so it does not grow with the rows. The feature table is written once to the
-    checkpoint folder, because fitting and scoring read it several times.
-    """
-    df = durable(df)
-    held_out = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(100)) < 20
-    vector = df.withColumn("__raw", F.array(*[F.col(f).cast("double") for f in features])).withColumn(
-        "__x", array_to_vector("__raw")
-    )
-    means = vector.where(~held_out).agg(*[F.avg(f).alias(f) for f in features]).first()
-    centred = vector.withColumn(
-        "__raw", F.array(*[F.col(f).cast("double") - F.lit(float(means[f] or 0.0)) for f in features])
-    ).withColumn("__x", array_to_vector("__raw"))
-    model = PCA(k=k, inputCol="__x", outputCol="__z").fit(centred.where(~held_out))
-    parts = model.pc.toArray()  # features x k
-    z = vector_to_array("__z")
-
-    def rebuilt(i: int) -> Column:
-        total = F.lit(0.0)
-        for j in range(k):
-            total = total + F.lit(float(parts[i][j])) * z[j]
-        return total
+@dataclass
+class Reconstruction:
+    """Means and main components (features x k) of the training rows, and the error limit."""
+
+    features: list[str]
+    means: list[float]
+    parts: list[list[float]]
+    threshold: float | None = None
+
+
+def _held_out(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(100)) < 20
 
+
+def fit_reconstruction(df: DataFrame, features: list[str], k: int = 3, sigma: float = 2.0, key: str = "id") -> Reconstruction:
+    """Components from the training rows; the limit is mean + `sigma` deviations of the
+    errors of held-out rows. Fitting sums a features x features matrix, so what reaches the
+    driver does not grow with the rows. The features are kept in memory and on disk meanwhile."""
+    kept = df.select(key, *[F.col(f).cast("double").alias(f) for f in features]).persist(StorageLevel.MEMORY_AND_DISK)
+    train = kept.where(~_held_out(key))
+    means = train.agg(*[F.avg(f).alias(f) for f in features]).first()
+    model = Reconstruction(list(features), [float(means[f] or 0.0) for f in features], [])
+    centred = train.select(array_to_vector(F.array(*[F.col(f) - F.lit(m) for f, m in zip(features, model.means)])).alias("__x"))
+    model.parts = PCA(k=k, inputCol="__x", outputCol="__z").fit(centred).pc.toArray().tolist()
+    error = apply_reconstruction(kept.where(_held_out(key)), model)
+    model.threshold = error.agg(F.avg("reconstruction_error") + F.lit(sigma) * F.stddev_pop("reconstruction_error")).first()[0]
+    kept.unpersist()
+    return model
+
+
+def apply_reconstruction(df: DataFrame, model: Reconstruction) -> DataFrame:
+    """All columns with reconstruction_error (mean square per feature), threshold,
+    anomaly_score and is_anomalous: plain expressions over the given numbers."""
+    x = [F.col(f).cast("double") - F.lit(m) for f, m in zip(model.features, model.means)]
+    k = len(model.parts[0])
+    z = [reduce(lambda a, b: a + b, [F.lit(float(model.parts[i][j])) * x[i] for i in range(len(x))]) for j in range(k)]
+    made = df.withColumn("__x", F.array(*x)).withColumn("__z", F.array(*z))
     error = F.lit(0.0)
-    for i in range(len(features)):
-        gap = F.col("__raw")[i] - rebuilt(i)
+    for i in range(len(x)):
+        gap = F.col("__x")[i] - reduce(lambda a, b: a + b, [F.lit(float(model.parts[i][j])) * F.col("__z")[j] for j in range(k)])
         error = error + gap * gap
-    scored = model.transform(centred).withColumn("reconstruction_error", error / len(features))
-    limit = scored.where(held_out).agg(
-        F.avg("reconstruction_error") + F.lit(sigma) * F.stddev_pop("reconstruction_error")
-    )
+    scored = made.withColumn("reconstruction_error", error / len(x)).drop("__x", "__z")
+    limit = F.lit(model.threshold).cast("double")
     return (
-        scored.withColumn("held_out", held_out)
-        .drop("__raw", "__x", "__z")
-        .withColumn("threshold", limit.scalar())
-        .withColumn("anomaly_score", F.col("reconstruction_error") / F.nullif(F.col("threshold"), F.lit(0.0)))
-        .withColumn("is_anomalous", F.col("reconstruction_error") > F.col("threshold"))
+        scored.withColumn("threshold", limit)
+        .withColumn("anomaly_score", F.col("reconstruction_error") / F.nullif(limit, F.lit(0.0)))
+        .withColumn("is_anomalous", F.col("reconstruction_error") > limit)
     )
 
 
+def reconstruction_anomaly(
+    df: DataFrame, features: list[str], k: int = 3, sigma: float = 2.0, key: str = "id"
+) -> DataFrame:
+    """Fit and apply: error of rebuilding each row from its `k` main components, and whether
+    it is above the limit of the held-out rows."""
+    model = fit_reconstruction(df, features, k, sigma, key)
+    return apply_reconstruction(df, model).withColumn("held_out", _held_out(key))
+
+
 def detection_rates(scored: DataFrame, truth: str) -> DataFrame:
     """Share of rows over the threshold, for true anomalies and for the rest."""
     return scored.groupBy(F.col(truth).alias("truth")).agg(

@@ -65,26 +65,28 @@ def filtered_search(
     return top_k_cosine(kept, query, k)
 
 
-def items_for_users(
-    users: DataFrame,
-    items: DataFrame,
-    seen: DataFrame,
-    k: int,
-    user_blocks: int = 1,
-    item_blocks: int = 8,
-) -> DataFrame:
-    """Exact nearest `k` unseen items of every user.
+#: Bytes that the vectors of one block of users or items may take in a task.
+CELL_BYTES = 32 << 20
+
 
-    Users and items are hashed into blocks; each (user block, item block) cell is one
-    task that multiplies two matrices and keeps `k` items per user. Only those leave the
-    task, and a last rank joins the cells. Seen pairs go straight to their one cell, so
-    they are removed before anything is cut. Choose the block counts so that a block
-    (rows x dimensions x 8 bytes) fits a task; nothing is sent to the driver.
+def items_for_users(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """Exact nearest `k` unseen items of every user in `users`, a given list of asks.
+
+    Users and items are hashed into blocks of about `cell_bytes`, so the number of blocks
+    follows from the row counts and the result does not depend on it; each (user block, item
+    block) cell is one task that multiplies two matrices and keeps `k` items per user. Only
+    those leave the task, and a last rank joins the cells. Seen pairs go straight to their
+    one cell, so they are removed before anything is cut. The work is users x items.
     """
 
+    def blocks(df: DataFrame) -> int:
+        n, width = df.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+        return max(1, -(-n * (width or 1) * 8 // cell_bytes))
+
     def block(col: Column, n: int) -> Column:
         return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
 
+    user_blocks, item_blocks = blocks(users), blocks(items)
     vec = F.col("embedding").cast("array<double>")
     none = F.lit(None).cast("long")
     asks = users.select(
@@ -117,34 +119,31 @@ def _best_in_cell(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame
         return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
     def best(left: pd.DataFrame, offers: pd.DataFrame) -> pd.DataFrame:
-        asks = left[left["item_id"].isna()]
-        empty = pd.DataFrame({"user_id": [], "item_id": [], "score": []}).astype(
-            {"user_id": "int64", "item_id": "int64", "score": "float64"}
-        )
+        asks, had = left[left["item_id"].isna()], left[left["item_id"].notna()]
+        columns = ["user_id", "item_id", "score"]
         if asks.empty or offers.empty:
-            return empty
-        users = asks["user_id"].to_numpy()
-        ids = offers["item_id"].to_numpy()
+            return pd.DataFrame({c: [] for c in columns}).astype({"user_id": "int64", "item_id": "int64", "score": "float64"})
+        users, ids = asks["user_id"].to_numpy(), offers["item_id"].to_numpy()
         by_id = np.argsort(ids)
-        ids = ids[by_id]
-        item_matrix = unit(offers["v"])[by_id].T
-        had = left[left["item_id"].notna()]
-        seen_of = had.groupby("user_id")["item_id"].agg(list).to_dict() if len(had) else {}
+        ids, item_matrix = ids[by_id], unit(offers["v"])[by_id].T
+        # Places of the seen pairs in the matrix of scores; users and items may repeat.
+        places = had[["user_id", "item_id"]].merge(pd.DataFrame({"user_id": users, "row": np.arange(len(users))}), on="user_id")
+        places = places.astype({"item_id": "int64"}).merge(pd.DataFrame({"item_id": ids, "col": np.arange(len(ids))}), on="item_id").sort_values("row")
+        rows_at, cols_at = places["row"].to_numpy(), places["col"].to_numpy()
         out = []
         for start in range(0, len(users), 256):
-            some = users[start : start + 256]
             scores = np.round(unit(asks["v"].iloc[start : start + 256]) @ item_matrix, SCORE_DIGITS)
-            for row, user in enumerate(some):
-                line = scores[row]
-                known = seen_of.get(user)
-                if known:
-                    line = line.copy()
-                    line[np.isin(ids, np.asarray(known, dtype="int64"))] = -np.inf
-                # Stable on descending score: equal scores keep ascending id.
-                top = np.argsort(-line, kind="stable")[:k]
-                top = top[np.isfinite(line[top])]
-                out.append(pd.DataFrame({"user_id": user, "item_id": ids[top], "score": line[top]}))
-        return pd.concat(out) if out else empty
+            a, b = np.searchsorted(rows_at, [start, start + 256])
+            scores[rows_at[a:b] - start, cols_at[a:b]] = -np.inf
+            least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k] if k < scores.shape[1] else np.full(len(scores), -np.inf)
+            row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            value = scores[row, col]
+            order = np.lexsort((ids[col], -value, row))
+            row, col, value = row[order], col[order], value[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            top = place < k
+            out.append(pd.DataFrame({"user_id": users[start + row[top]], "item_id": ids[col[top]], "score": value[top]}))
+        return pd.concat(out)
 
     return best
 

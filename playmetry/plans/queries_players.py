@@ -232,7 +232,7 @@ FIFO_SQL = """
       FROM st s JOIN q ON q.difficulty = s.difficulty AND q.rn = s.rn + 1)
     SELECT difficulty, first_entry, first_user, second_entry, second_user FROM st WHERE first_entry IS NOT NULL"""
 register("match_fifo", FIFO_SQL)(
-    lambda spark, d: joins.match_fifo(b.queue_events(spark, d), F.to_date("enqueued_at"), chunk_rows=200_000)
+    lambda spark, d: joins.match_fifo(b.queue_events(spark, d), F.date_trunc("minute", "enqueued_at"), chunk_rows=700)
 )
 
 register(

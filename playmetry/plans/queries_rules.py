@@ -639,12 +639,39 @@ def _reconstructed(spark, d):
 register("reconstruction_anomaly")(
     lambda spark, d: _reconstructed(spark, d).select("id", "reconstruction_error", "threshold", "anomaly_score", "is_anomalous")
 )
-register("anomaly_ratio")(
-    lambda spark, d: _reconstructed(spark, d)
+# A fitted model as given: means and two components over three features.
+_GIVEN = learning.Reconstruction(["f0", "f4", "f7"], [0.3, 0.1, 0.5], [[0.8, 0.1], [0.6, -0.2], [0.0, 0.9]], 0.02)
+_X = [f"({f} - {m})" for f, m in zip(_GIVEN.features, _GIVEN.means)]
+_Z = ["(" + " + ".join(f"{p[j]} * {x}" for x, p in zip(_X, _GIVEN.parts)) + ")" for j in range(2)]
+_GAPS = " + ".join(f"pow({x} - ({p[0]} * {_Z[0]} + {p[1]} * {_Z[1]}), 2)" for x, p in zip(_X, _GIVEN.parts))
+_APPLIED = f"(SELECT id, status, ({_GAPS}) / 3 AS reconstruction_error FROM enriched)"
+
+
+def _applied(spark, d):
+    features = _session_features(spark, d).select("id", "status", "f.*")
+    return learning.apply_reconstruction(features, _GIVEN)
+
+
+register(
+    "reconstruction_apply",
+    f"SELECT id, reconstruction_error, reconstruction_error / 0.02 AS anomaly_score, reconstruction_error > 0.02 AS is_anomalous FROM {_APPLIED}",
+    "reconstruction_error anomaly_score",
+)(lambda spark, d: _applied(spark, d).select("id", "reconstruction_error", "anomaly_score", "is_anomalous"))
+register(
+    "anomaly_ratio",
+    f"SELECT id, reconstruction_error / 0.02 AS ratio, reconstruction_error > 0.02 AS flagged FROM {_APPLIED}",
+    "ratio",
+)(
+    lambda spark, d: _applied(spark, d)
     .select("id", scoring.anomaly_ratio(F.col("reconstruction_error"), F.col("threshold")).alias("r"))
     .select("id", "r.*")
 )
-register("detection_rates")(lambda spark, d: learning.detection_rates(_reconstructed(spark, d), "status"))
+register(
+    "detection_rates",
+    f"""SELECT status AS truth, count(*) AS n, avg(CASE WHEN reconstruction_error > 0.02 THEN 1.0 ELSE 0.0 END) AS flagged_share
+        FROM {_APPLIED} GROUP BY 1""",
+    "flagged_share",
+)(lambda spark, d: learning.detection_rates(_applied(spark, d), "status"))
 _CENTERS = [[60.0, 0.1], [150.0, 0.3], [240.0, 0.6]]
 _DIST = "sqrt((avg_solve_time_easy - {0})^2 + (hint_rate - {1})^2)"
 register(
@@ -708,8 +735,7 @@ register(
         b.vectors(spark, d),
         _seen_items(spark, d),
         5,
-        user_blocks=2,
-        item_blocks=4,
+        cell_bytes=1 << 17,
     )
 )
 
@@ -845,3 +871,7 @@ STREAK_SQL = f"""
            fr AS freeze_count, fu AS freezes_used, br AS breaks, ms AS milestones
     FROM st QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1"""
 register("streaks_stateful", STREAK_SQL)(lambda spark, d: stateful.streaks_stateful(b.events(spark, d)))
+# Order dates span seven years.
+register("streaks_of_orders", STREAK_SQL.replace("epoch_us(ts) // 1000 AS t FROM events", "epoch_us(started_at) // 1000 AS t FROM plain_sessions"))(
+    lambda spark, d: stateful.streaks_stateful(b.plain_sessions(spark, d).select("user_id", F.col("started_at").alias("ts")))
+)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from playmetry.functions import vocab
-from playmetry.session import durable
 
 HOUR_MS = 3_600_000
 DAY_MS = 24 * HOUR_MS
@@ -28,111 +28,63 @@ STREAK_FIELDS = [
     ("breaks", "int"),
     ("freezes_used", "int"),
 ]
-_STREAK_TYPE = "struct<" + ",".join(f"{n}:{t}" for n, t in STREAK_FIELDS) + ">"
 
 
-def _streak_start(initial_freeze: bool, first_ms: Column) -> Column:
-    """State after the very first play. Without an initial freeze the first grant has to be
-    earned: the grant clock starts at that play."""
-    grant = F.lit(None) if initial_freeze else first_ms
-    values = [F.lit(1), F.lit(1), first_ms, F.lit(0), grant, F.array(), F.lit(0), F.lit(0)]
-    return F.struct(*[v.cast(t).alias(n) for v, (n, t) in zip(values, STREAK_FIELDS)])
-
-
-def _streak_step(initial_freeze: bool):
-    """One play as a column function (state, time in ms) -> state."""
-
-    def step(s: Column, t: Column) -> Column:
-        grant = (s["freeze_count"] < 1) & (
-            s["last_grant_ms"].isNull() | (t - s["last_grant_ms"] >= GRANT_GAP_MS)
-        )
-        held = F.when(grant, F.least(s["freeze_count"] + 1, F.lit(1))).otherwise(s["freeze_count"])
-        granted_at = F.when(grant, t).otherwise(s["last_grant_ms"])
-        gap = t - s["last_ms"]
-        next_day = F.floor(t / DAY_MS) - F.floor(s["last_ms"] / DAY_MS) == 1
-        again = gap < MIN_GAP_MS
-        extend = (gap <= MAX_GAP_MS) | next_day
-        saved = ~extend & (held > 0)
-        longer = s["current_streak"] + 1
-        reached = F.array_max(
-            F.filter(
-                F.array(*[F.lit(m) for m in vocab.STREAK_MILESTONES]),
-                lambda m: (longer >= m) & ~F.array_contains(s["milestones"], m),
-            )
-        )
-        awarded = F.when(reached.isNull(), s["milestones"]).otherwise(
-            F.concat(s["milestones"], F.array(reached))
-        )
-        grows = extend | saved
-        values = [
-            F.when(again, s["current_streak"]).when(grows, longer).otherwise(1),
-            F.when(again | ~grows, s["longest_streak"]).otherwise(F.greatest(s["longest_streak"], longer)),
-            F.when(again, s["last_ms"]).otherwise(t),
-            F.when(again | ~saved, held).otherwise(held - 1),
-            granted_at,
-            F.when(again | ~grows, s["milestones"]).otherwise(awarded),
-            s["breaks"] + F.when(~again & ~grows, 1).otherwise(0),
-            s["freezes_used"] + F.when(~again & saved, 1).otherwise(0),
-        ]
-        stepped = F.struct(*[v.cast(ty).alias(n) for v, (n, ty) in zip(values, STREAK_FIELDS)])
-        return F.when(s["last_ms"].isNull(), _streak_start(initial_freeze, t)).otherwise(stepped)
-
-    return step
-
-
-def streaks_stateful(plays: DataFrame, initial_freeze: bool = True, period: str = "month") -> DataFrame:
+def streaks_stateful(plays: DataFrame, initial_freeze: bool = True) -> DataFrame:
     """Streak state of every user after all plays (user_id, ts), by the full rule.
 
-    The rule needs a user's plays in order, so history is folded one calendar `period`
-    at a time: a period's distinct play times of a user are folded onto the state left by
-    the period before, inside one native expression. Only a period's times of one user
-    meet in a row; take a shorter period for users with very many plays. States are
-    written to the checkpoint folder after each period.
+    The rule needs a user's plays in order: one shuffle by user, a sort inside the
+    partitions (which spills), and one pass that folds the plays as they stream by. Only the
+    state of the current user is held, whatever the number of plays. A play without a time
+    is left out, a user without any has no row.
     """
-    times = plays.select(
-        "user_id", F.unix_millis("ts").alias("__ms"), F.date_trunc(period, "ts").alias("__period")
-    ).distinct()
-    # One value per calendar period.
-    periods = [r[0] for r in times.select("__period").distinct().orderBy("__period").collect()]
-    start = F.expr(f"named_struct({','.join(repr(n) + ', cast(null as ' + t + ')' for n, t in STREAK_FIELDS)})")
-    state: DataFrame | None = None
-    for moment in periods:
-        part = (
-            times.where(F.col("__period") == F.lit(moment))
-            .groupBy("user_id")
-            .agg(F.array_sort(F.collect_list("__ms")).alias("__times"))
-        )
-        if state is None:
-            joined = part.withColumn("state", start)
-        else:
-            joined = state.join(part, "user_id", "full_outer")
-        before = F.coalesce(F.col("state"), start)
-        after = F.aggregate(
-            F.coalesce("__times", F.array().cast("array<bigint>")), before, _streak_step(initial_freeze)
-        )
-        state = joined.select("user_id", after.alias("state"))
-        if len(periods) > 1:
-            state = durable(state)
-    if state is None:
-        state = times.select("user_id").withColumn("state", start)
-    return streak_columns(state)
-
-
-def streak_columns(state: DataFrame) -> DataFrame:
-    return state.select(
+    ordered = (
+        plays.where(F.col("ts").isNotNull())
+        .select("user_id", F.unix_millis("ts").alias("ms"))
+        .repartition("user_id")
+        .sortWithinPartitions("user_id", "ms")
+    )
+    user = plays.schema["user_id"].dataType
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, begun = None, None, False
+        for batch in batches:
+            ready = []
+            for who, ms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if begun and who != now:
+                    ready.append((now, state))
+                    state = None
+                now, begun = who, True
+                state = streak_transition(state, ms, initial_freeze)
+            yield _streak_batch(ready, batch.schema.field(0).type)
+            kind = batch.schema.field(0).type
+        if begun:
+            yield _streak_batch([(now, state)], kind)
+
+    fields = ", ".join(f"{n} {t}" for n, t in STREAK_FIELDS)
+    folded = ordered.mapInArrow(fold, f"user_id {user.simpleString()}, {fields}")
+    return folded.select(
         "user_id",
-        F.col("state.current_streak").alias("current_streak"),
-        F.col("state.longest_streak").alias("longest_streak"),
-        F.timestamp_millis(F.col("state.last_ms")).alias("last_played"),
-        F.col("state.freeze_count").alias("freeze_count"),
-        F.col("state.freezes_used").alias("freezes_used"),
-        F.col("state.breaks").alias("breaks"),
-        F.array_join(F.col("state.milestones").cast("array<string>"), ",").alias("milestones"),
+        "current_streak",
+        "longest_streak",
+        F.timestamp_millis("last_ms").alias("last_played"),
+        "freeze_count",
+        "freezes_used",
+        "breaks",
+        F.array_join(F.col("milestones").cast("array<string>"), ",").alias("milestones"),
     )
 
 
+def _streak_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "array<int>": pa.list_(pa.int32())}
+    columns = [pa.array([who for who, _ in rows], kind)]
+    columns += [pa.array([state[i] for _, state in rows], kinds[t]) for i, (_, t) in enumerate(STREAK_FIELDS)]
+    return pa.RecordBatch.from_arrays(columns, names=["user_id", *(n for n, _ in STREAK_FIELDS)])
+
+
 def streak_transition(state: tuple | None, ms: int, initial_freeze: bool = True) -> tuple:
-    """One play on a state tuple (fields as in STREAK_FIELDS); the streaming form of the rule."""
+    """One play on a state tuple (fields as in STREAK_FIELDS). Without an initial freeze the first
+    grant has to be earned: the grant clock starts at the first play."""
     if state is None:
         return (1, 1, ms, 0, None if initial_freeze else ms, [], 0, 0)
     current, longest, last, freeze, granted, milestones, breaks, used = state

@@ -74,14 +74,16 @@ def brute_pairs(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("users", "chunk"), [(40, 5), (3, 7), (2, 4), (40, 10_000)])
+@pytest.mark.parametrize(("users", "chunk"), [(40, 25), (3, 17), (2, 20), (40, 10_000)])
 def test_match_fifo(spark, users, chunk):
     rng = random.Random(users)
     hot = lambda: 0 if rng.random() < 0.34 else rng.randrange(users)
     rows = [(rng.choice(["easy", "easy", "hard"]), i, hot(), BASE + dt.timedelta(minutes=rng.randrange(4000))) for i in range(160)]
     frame = spark.createDataFrame(rows, "difficulty string, entry_id long, user_id long, enqueued_at timestamp")
-    got = joins.match_fifo(frame, F.date_trunc("hour", "enqueued_at"), chunk_rows=chunk)
+    ran = []
+    got = joins.match_fifo(frame, F.date_trunc("hour", "enqueued_at"), chunk_rows=chunk, on_pass=lambda number, chunks: ran.append(chunks))
     assert sorted(tuple(r) for r in got.collect()) == brute_pairs(rows)
+    assert sum(ran) <= 2 * ran[0]  # every chunk runs twice at most
 
 
 def test_match_fifo_nobody_waits(spark):
@@ -109,8 +111,8 @@ def test_rolling_blocks(spark):
             assert g["mean_ms"] == pytest.approx(sum(r[3] for r in window) / len(window))
 
 
-@pytest.mark.parametrize(("ub", "ib"), [(1, 1), (2, 3), (3, 1)])
-def test_items_for_users(spark, ub, ib):
+@pytest.mark.parametrize("cell_bytes", [1 << 25, 1000, 400])
+def test_items_for_users(spark, cell_bytes):
     rng = np.random.default_rng(4)
     items = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(80)]
     users = [(int(1000 + i), [float(x) for x in rng.normal(size=6)]) for i in range(12)]
@@ -121,8 +123,7 @@ def test_items_for_users(spark, ub, ib):
         spark.createDataFrame(items, "id long, embedding array<double>"),
         spark.createDataFrame(seen, "user_id long, item_id long"),
         5,
-        user_blocks=ub,
-        item_blocks=ib,
+        cell_bytes=cell_bytes,
     ).collect()
     for user, u in users:
         best = sorted(

@@ -208,8 +208,8 @@ def test_weekly_grant_and_milestones(spark):
     assert row["milestones"] == "7,30" and row["current_streak"] == 31
 
 
-@pytest.mark.parametrize("period", ["month", "day", "week"])
-def test_streak_fold_equals_transitions(spark, period):
+@pytest.mark.parametrize("rows_in_batch", [10_000, 7])
+def test_streak_fold_equals_transitions(spark, rows_in_batch):
     rng = random.Random(11)
     rows = []
     for user in range(5):
@@ -218,9 +218,14 @@ def test_streak_fold_equals_transitions(spark, period):
             t += dt.timedelta(hours=rng.choice([0.5, 5, 22.9, 23, 24, 25, 25.1, 30, 49]))
             rows.append((user, t))
     frame = spark.createDataFrame(rows, "user_id long, ts timestamp")
-    if period == "day":
-        frame = frame.where("ts < '2026-01-12'")
-    got = {r["user_id"]: r for r in stateful.streaks_stateful(frame, period=period).collect()}
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(setting)
+    spark.conf.set(setting, rows_in_batch)
+    folded = stateful.streaks_stateful(frame)
+    got = {r["user_id"]: r for r in folded.collect()}
+    spark.conf.set(setting, held)
+    plan = folded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and len(got) == 5
     for user, g in got.items():
         state = None
         for r in sorted(frame.where(F.col("user_id") == user).select(F.unix_millis("ts")).collect()):
