@@ -46,22 +46,24 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return fs.globStatus(jvm_path) is not None and len(fs.globStatus(jvm_path)) > 0
 
 
+def event_lines(lines: DataFrame, kind: str, keep_corrupt: bool = False) -> DataFrame:
+    """Typed rows of JSON lines (one text column, `value`). Blank lines vanish, invalid ones
+    are dropped or, with `keep_corrupt`, kept in `_corrupt_record`."""
+    schema = T.StructType([*KINDS[kind].fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    some = lines.where(F.trim("value") != "")
+    rows = some.select(F.from_json("value", schema, options).alias("e")).select("e.*")
+    return rows if keep_corrupt else rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
 def read_event_jsonl(
     spark: SparkSession, folder: str, kind: str, day: date | str, keep_corrupt: bool = False
 ) -> DataFrame:
-    """One day's event lines. Blank lines vanish, invalid ones are dropped or, with
-    `keep_corrupt`, kept in `_corrupt_record`; an absent file gives no rows."""
-    schema = T.StructType([*KINDS[kind].fields, T.StructField(CORRUPT, T.StringType())])
+    """`event_lines` of one day's file; an absent file gives no rows."""
     path = f"{folder}/{kind}/{day}.jsonl"
-    if not _path_exists(spark, path):
-        rows = spark.createDataFrame([], schema)
-    else:
-        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-        lines = spark.read.text(path).where(F.trim("value") != "")
-        rows = lines.select(F.from_json("value", schema, options).alias("e")).select("e.*")
-    if keep_corrupt:
-        return rows
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    there = _path_exists(spark, path)
+    lines = spark.read.text(path) if there else spark.createDataFrame([], "value string")
+    return event_lines(lines, kind, keep_corrupt)
 
 
 def corrupt_count(rows: DataFrame) -> DataFrame:
@@ -116,9 +118,14 @@ def decode_json_column(df: DataFrame, col: str, schema: str, out: str | None = N
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """One id per line; blanks and lines starting with `#` are ignored."""
+    """`id_list` of a text file."""
+    return id_list(spark.read.text(path))
+
+
+def id_list(lines: DataFrame) -> DataFrame:
+    """One id per line of `value`; blanks and lines starting with `#` are ignored."""
     line = F.trim("value")
-    return spark.read.text(path).where((line != "") & ~line.startswith("#")).select(line.alias("id"))
+    return lines.where((line != "") & ~line.startswith("#")).select(line.alias("id"))
 
 
 def event_stream_source(
@@ -167,13 +174,13 @@ def event_stream_sink(
 
 
 def expire_event_partitions(spark: SparkSession, folder: str, cutoff: date | str) -> DataFrame:
-    """Event files whose name is a date before `cutoff`; other names are left alone."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select("path")
-    )
+    """`expired_files` below a folder."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return expired_files(found.select("path"), cutoff)
+
+
+def expired_files(files: DataFrame, cutoff: date | str) -> DataFrame:
+    """Of a column `path`, event files named by a date before `cutoff`; other names are left alone."""
     name = F.regexp_extract("path", r"/(\d{4}-\d{2}-\d{2})\.jsonl$", 1)
     return (
         files.withColumn("date", F.try_to_date(F.nullif(name, F.lit("")), "yyyy-MM-dd"))
