@@ -267,8 +267,9 @@ def classification_report(df: DataFrame, label: str = "actual", prediction: str
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve from mean ranks: one row (auc, positives, negatives).
 
-    Rows are counted per score first. Ranks inside a score bucket are summed per bucket;
-    only the bucket sums (about a thousand for scores in 0..1) meet in one ordered window.
+    Rows are counted per score first. Ranks inside a score bucket about one percent wide are
+    summed per bucket; only the bucket sums meet in one ordered window. Any double falls
+    into one of less than 300,000 buckets, so margins and log-odds do as well as shares.
     """
     # Rows without a score or label weigh nothing. A filter would be pushed down and have
     # the score computed twice.
@@ -279,7 +280,10 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
             F.count_if(counts).alias("n"),
             F.sum(F.when(counts, F.col(label).cast("long")).otherwise(0)).alias("pos"),
         )
-        .withColumn("b", F.floor(F.col("s") * 1024).cast("long"))
+        .withColumn(
+            "b",
+            F.when(F.col("s") == 0, F.lit(0)).otherwise(F.signum("s") * (F.floor(F.log2(F.abs("s")) * 64) + 100_000)).cast("long"),
+        )
     )
     inside = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("n").over(inside), F.lit(0))
@@ -347,5 +351,5 @@ def write_feature_version(
     return after, lineage
 
 
-def feature_lineage_of(lineage: DataFrame, wanted_id: str) -> DataFrame:
+def feature_lineage_of(lineage: DataFrame, wanted_id: str | Column) -> DataFrame:
     return lineage.where(F.col("feature_id") == wanted_id).orderBy("computed_at", "id")

@@ -68,7 +68,8 @@ def fit_difficulty_classifier(
     folds: int = 5,
 ):
     """Random forest chosen by cross-validation; accuracy, macro F1 and importances on the test part."""
-    train, test = stratified_split(df, label, key)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)  # folds and grid points read it again
+    train, test = stratified_split(kept, label, key)
     indexer = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc")
     assembler = VectorAssembler(inputCols=features, outputCol="vector")
     forest = RandomForestClassifier(featuresCol="vector", labelCol="label", seed=42)
@@ -90,6 +91,7 @@ def fit_difficulty_classifier(
         "test_f1_macro": _macro_f1(predicted, "label"),
         "feature_importances": dict(zip(features, best.bestModel.featureImportances.toArray().tolist())),
     }
+    kept.unpersist()
     return model, metrics
 
 
@@ -103,7 +105,8 @@ def fit_churn_model(
     folds: int = 3,
 ):
     """Standardised logistic regression over L2 (mix 0) and L1 (mix 1); AUC, F1, coefficients."""
-    train, test = stratified_split(df, label, key)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)  # folds and grid points read it again
+    train, test = stratified_split(kept, label, key)
     regression = LogisticRegression(featuresCol="scaled", labelCol=label)
     grid = (
         ParamGridBuilder()
@@ -132,6 +135,7 @@ def fit_churn_model(
         "test_f1": f1.evaluate(predicted),
         "coefficients": dict(zip(features, model.stages[-1].bestModel.coefficients.toArray().tolist())),
     }
+    kept.unpersist()
     return model, metrics
 
 
@@ -146,7 +150,7 @@ def fit_skill_clusters(
             StandardScaler(inputCol="vector", outputCol="scaled", withMean=True),
         ]
     ).fit(df)
-    scaled = prepared.transform(df)
+    scaled = prepared.transform(df).persist(StorageLevel.MEMORY_AND_DISK)  # every k reads it again
     silhouette = ClusteringEvaluator(featuresCol="scaled", metricName="silhouette")
 
     def fit(n: int):
@@ -169,6 +173,7 @@ def fit_skill_clusters(
         "elbow_inertias": inertia,
         "silhouette_scores": scores,
     }
+    scaled.unpersist()
     return (prepared, model), label_map, metrics
 
 
@@ -189,7 +194,8 @@ def fit_difficulty_regressor(
     df: DataFrame, features: list[str], label: str = "target", key: str = "user_id", rounds: int = 30
 ):
     """Gradient-boosted trees; RMSE, MAE and R2 on the test part."""
-    train, test = stratified_split(df, label, key)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)  # folds and grid points read it again
+    train, test = stratified_split(kept, label, key)
     model = Pipeline(
         stages=[
             VectorAssembler(inputCols=features, outputCol="vector"),
@@ -201,6 +207,7 @@ def fit_difficulty_regressor(
         f"test_{name}": RegressionEvaluator(labelCol=label, metricName=name).evaluate(predicted)
         for name in ("rmse", "mae", "r2")
     }
+    kept.unpersist()
     return model, metrics
 
 
@@ -272,7 +279,8 @@ def detection_rates(scored: DataFrame, truth: str) -> DataFrame:
 
 def text_toxicity_model(df: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", dim: int = 1 << 14):
     """Word-hash TF-IDF and logistic regression; accuracy, F1, precision, recall of the toxic class."""
-    train, test = stratified_split(df, label, key)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)  # folds and grid points read it again
+    train, test = stratified_split(kept, label, key)
     model = Pipeline(
         stages=[
             Tokenizer(inputCol=text, outputCol="__words"),
@@ -294,4 +302,5 @@ def text_toxicity_model(df: DataFrame, text: str = "text", label: str = "toxic",
         "precision": of_toxic("precisionByLabel"),
         "recall": of_toxic("recallByLabel"),
     }
+    kept.unpersist()
     return model, metrics

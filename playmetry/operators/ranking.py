@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from playmetry.functions.scoring import win_rate
 from playmetry.functions.text import message_prep, toxicity_keywords
@@ -94,13 +95,16 @@ def friends_leaderboard(friendships: DataFrame, users: DataFrame, ratings: DataF
             F.coalesce("losses", zero).alias("losses"),
         )
     )
-    # A popular player's board is numbered per rating band, not in one task.
+    # A popular player's board is numbered per rating and stretch of ids, not in one task:
+    # everybody without a rating has the same one.
+    numeric = isinstance(board.schema["member_id"].dataType, IntegralType)
     ranked = ordered_positions(
         board,
         ["user_id"],
-        -F.floor(F.col("elo_rating") / 25),
+        -F.col("elo_rating"),
         [F.col("elo_rating").desc(), F.col("member_id").asc()],
         "rank",
+        fine=F.floor(F.col("member_id") / 256) if numeric else F.substring("member_id", 1, 2),
     )
     return ranked.select(
         "user_id",

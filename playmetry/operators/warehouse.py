@@ -127,13 +127,9 @@ def orphan_keys(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str) ->
 def star_join(
     fact: DataFrame, users: DataFrame, puzzles: DataFrame, dates: DataFrame, difficulties: DataFrame
 ) -> DataFrame:
-    """Fact rows with their dimension attributes; the optimizer picks how each side moves.
-
-    Only the six difficulty levels are broadcast by hand: their number is fixed.
-    """
+    """Fact rows with their dimension attributes; the optimizer picks how each side moves."""
     return (
-        fact.join(F.broadcast(difficulties.select("difficulty_key", "display_name", "sort_order")),
-                  "difficulty_key", "left")
+        fact.join(difficulties.select("difficulty_key", "display_name", "sort_order"), "difficulty_key", "left")
         .join(dates.select("date_key", "month_name", "is_weekend"), "date_key", "left")
         .join(users.select("user_hash", "skill_segment"), "user_hash", "left")
         .join(puzzles.select("puzzle_hash", "clue_count"), "puzzle_hash", "left")

@@ -618,7 +618,7 @@ register("feature_lineage", LINEAGE_SQL)(lambda spark, d: _versions(spark, d)[1]
 
 def _one_lineage(spark, d):
     lineage = _versions(spark, d)[1]
-    wanted = lineage.agg(F.min("feature_id")).first()[0]
+    wanted = lineage.agg(F.min("feature_id")).scalar()
     return ex.feature_lineage_of(lineage, wanted).drop("id")
 
 
