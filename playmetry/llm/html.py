@@ -50,32 +50,36 @@ WORDS = re.compile(r"[a-z]+")
 class Node:
     __slots__ = ("tag", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "outside", "parent")
 
-    def __init__(self, tag: str, parent: Node | None, outside: bool):
+    def __init__(self, tag: str, parent: Node | None, outside: int):
         self.tag, self.parent, self.outside = tag, parent, outside
         self.parts: list = []  # texts and nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def marked_outside(tag: str, attributes: str) -> bool:
-    """Is this element a menu, header, footer, sidebar, notice, advert, form or comment part by its name?"""
+#: How an element was told to be outside: by its tag, or by the words in its attributes alone.
+BY_TAG, BY_WORDS = 1, 2
+
+
+def marked_outside(tag: str, attributes: str) -> int:
+    """Is this element a menu, header, footer, sidebar, notice, advert, form or comment part?"""
     if tag in OUTSIDE:
-        return True
+        return BY_TAG
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return BY_TAG
         if name in ("class", "id", "role") and not OUTSIDE_WORDS.isdisjoint(WORDS.findall(value)):
-            return True
-    return False
+            return BY_WORDS
+    return 0
 
 
 def parse(page: str) -> Node:
     """A tree of the page, forgiving about tags that are never closed or never opened."""
-    root = node = Node("html", None, False)
+    root = node = Node("html", None, 0)
     at = 0
     for m in MARKUP.finditer(page):
         if m.start() > at:
@@ -116,7 +120,12 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up.tag == "p":
                 node = up.parent
-        child = Node(tag, node, marked_outside(tag, m[4]) or tag == "header" and not within_article(node))
+        child = Node(tag, node, marked_outside(tag, m[4]) or int(tag == "header" and not within_article(node)))
+        if tag in ("article", "main"):  # what wraps the article is no side part, whatever its name says
+            up = node
+            while up is not None:
+                up.outside = 0 if up.outside == BY_WORDS else up.outside
+                up = up.parent
         node.parts.append(child)
         if not (m[4].endswith("/") and tag in INLINE):
             node = child

@@ -15,6 +15,11 @@ def test_parts_around_the_article():
     assert main_text(PAGE) == "Title here One & two bold, it's long text of the article with many words. Second paragraph has a link too. item one item two"
 
 
+def test_names_on_what_wraps_the_article():
+    page = '<body><div class="layout no-sidebar"><div class="ad">Buy</div><article><header><h1>T</h1></header><p>Text here.</p><footer>f</footer></article></div></body>'
+    assert main_text(page) == "T Text here."
+
+
 def test_edges(llm):
     pages = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "plain"), (5, "u", "<p>a<p>b"), (6, "u", "<div" * 10), (1, "u", PAGE), (7, "u", "<div>" * 3000 + "deep"), (8, "u", "<p>" + "long " * 100_000 + "</p>"), (9, "u", "<nav>menu</nav>")]
     frame = llm.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 text")
