@@ -456,23 +456,32 @@ def histogram_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def boards(spark: SparkSession, folder: str) -> DataFrame:
-    """Board, original puzzle and solution per part: a shifted Latin pattern with blanks;
-    every fourth board gets a wrong first cell."""
+    """Board and solution per part. Blanks and wrong cells follow the digits of a checksum of
+    the part's name, so boards differ row by row: every fourth one may conflict, every
+    sixteenth is full, every thirty-second is full and right."""
     k = F.col("p_partkey").cast("int")
 
     def solution(i: Column) -> Column:
         r = F.floor(i / 9)
         return ((3 * (r % 3) + F.floor(r / 3) + i % 9 + k) % 9 + 1).cast("int")
 
+    def digit(i: Column) -> Column:
+        return F.conv(F.substring("h", i % 32 + 1, F.lit(1)), 16, 10).cast("int")
+
     def shown(i: Column) -> Column:
-        blank = (i * 7 + k * 3 + i * i) % 11 < 5
-        plain = F.when(blank, 0).otherwise(solution(i))
-        wrong = F.when(i == 0, solution(i) % 9 + 1).when(i == 1, solution(i)).otherwise(plain)
-        return F.when(k % 4 == 0, wrong).otherwise(plain).cast("int")
+        blank = (digit(i) + F.floor(i / 32) * 5) % 16 < 7
+        return (
+            F.when(k % 32 == 0, solution(i))
+            .when((k % 4 == 0) & (digit(i * 5) == 15), solution(i) % 9 + 1)
+            .when((k % 16 != 0) & blank, 0)
+            .otherwise(solution(i))
+            .cast("int")
+        )
 
     cells = F.sequence(F.lit(0), F.lit(80))
-    # The rules are heavy per row and a key is 8 bytes, so the keys are dealt out first.
-    return table(spark, folder, "part").select("p_partkey").repartition("p_partkey").select(
+    named = F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit("-"), F.col("p_name"))).alias("h")
+    # The rules are heavy per row and a key with its digits is small, so they are dealt out first.
+    return table(spark, folder, "part").select("p_partkey", named).repartition("p_partkey").select(
         F.col("p_partkey").alias("puzzle_id"),
         F.transform(cells, shown).alias("board"),
         F.transform(cells, solution).alias("solution"),

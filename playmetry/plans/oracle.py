@@ -274,10 +274,11 @@ VIEWS: dict[str, str] = {
     "boards": """
       SELECT p_partkey AS puzzle_id, CAST(i AS INTEGER) AS idx, CAST(i // 9 AS INTEGER) AS r, CAST(i % 9 AS INTEGER) AS c,
              CAST((i // 27) * 3 + (i % 9) // 3 AS INTEGER) AS box, CAST(sol AS INTEGER) AS sol,
-             CAST(CASE WHEN k % 4 = 0 AND i = 0 THEN sol % 9 + 1
-                  WHEN k % 4 = 0 AND i = 1 THEN sol
-                  WHEN (i * 7 + k * 3 + i * i) % 11 < 5 THEN 0 ELSE sol END AS INTEGER) AS v
-      FROM (SELECT p_partkey, p_partkey AS k, i,
+             CAST(CASE WHEN k % 32 = 0 THEN sol
+                  WHEN k % 4 = 0 AND instr('0123456789abcdef', substr(h, i * 5 % 32 + 1, 1)) = 16 THEN sol % 9 + 1
+                  WHEN k % 16 <> 0 AND (instr('0123456789abcdef', substr(h, i % 32 + 1, 1)) - 1 + i // 32 * 5) % 16 < 7 THEN 0
+                  ELSE sol END AS INTEGER) AS v
+      FROM (SELECT p_partkey, p_partkey AS k, md5(p_partkey || '-' || p_name) AS h, i,
                    (3 * ((i // 9) % 3) + (i // 9) // 3 + i % 9 + p_partkey) % 9 + 1 AS sol
             FROM part, unnest(range(81)) AS t(i))""",
     "cands": """

@@ -12,8 +12,11 @@ from playmetry.plans import binding as b
 
 @pytest.fixture(scope="module")
 def boards(spark, sf):
-    # More boards than parts of one kind: clue counts follow from extra blanks by row.
-    base = b.boards(spark, sf)
+    # Shifted Latin patterns with regular blanks; clue counts follow from extra blanks by row.
+    solved = "((3 * ((i div 9) % 3) + (i div 9) div 3 + i % 9 + k) % 9 + 1)"
+    shown = f"CASE WHEN k % 4 = 0 AND i = 0 THEN {solved} % 9 + 1 WHEN k % 4 = 0 AND i = 1 THEN {solved} WHEN (i * 7 + k * 3 + i * i) % 11 < 5 THEN 0 ELSE {solved} END"
+    keys = b.table(spark, sf, "part").selectExpr("p_partkey AS puzzle_id", "int(p_partkey) AS k")
+    base = keys.selectExpr("puzzle_id", f"transform(sequence(0, 80), i -> int({shown})) AS board")
     cells = F.sequence(F.lit(0), F.lit(80))
     cut = (F.col("puzzle_id") % 5) * 6
     thinner = base.withColumn(
