@@ -169,19 +169,43 @@ def rolling_model_metrics(predictions: DataFrame, bucket: Column, n: int = 1000)
     spread = placed.withColumn("__own", block).withColumn(
         "__block", F.explode(F.array_distinct(F.array(block, next_block)))
     )
-    w = Window.partitionBy("model", "__block").orderBy("place").rowsBetween(-(n - 1), 0)
-    labelled = F.sum(F.col("actual").isNotNull().cast("int")).over(w)
-    right = F.sum(F.coalesce((F.col("predicted") == F.col("actual")).cast("int"), F.lit(0))).over(w)
-    rolled = spread.select(
+    # Sums over a window are differences of running sums. Its maximum is that of two runs in
+    # stretches of n places: up to the row in its own, and from the window's start on in the one before.
+    w = Window.partitionBy("model", "__block").orderBy("place")
+    stretch = Window.partitionBy("model", "__block", "__stretch")
+    upto = (Window.unboundedPreceding, 0)
+    summed = {
+        "latency": F.col("latency_ms"),
+        "latencies": F.col("latency_ms").isNotNull().cast("int"),
+        "confidence": F.col("confidence"),
+        "confidences": F.col("confidence").isNotNull().cast("int"),
+        "labelled": F.col("actual").isNotNull().cast("int"),
+        "right": F.coalesce((F.col("predicted") == F.col("actual")).cast("int"), F.lit(0)),
+    }
+    running = spread.withColumn("__stretch", F.floor((F.col("place") - 1) / n)).select(
         "prediction_id",
         "model",
         "place",
+        "__block",
         (F.col("__own") == F.col("__block")).alias("__keep"),
-        F.count(F.lit(1)).over(w).alias("window_rows"),
-        F.avg("latency_ms").over(w).alias("mean_ms"),
-        F.max("latency_ms").over(w).alias("max_ms"),
-        F.avg("confidence").over(w).alias("mean_confidence"),
-        (right / F.nullif(labelled, F.lit(0))).alias("accuracy"),
+        F.max("latency_ms").over(stretch.orderBy("place").rowsBetween(*upto)).alias("__front"),
+        F.max("latency_ms").over(stretch.orderBy(F.col("place").desc()).rowsBetween(*upto)).alias("__back"),
+        *[F.coalesce(F.sum(v).over(w.rowsBetween(*upto)), F.lit(0)).alias(f"__{name}") for name, v in summed.items()],
+    )
+
+    def total(name: str) -> Column:
+        return F.col(f"__{name}") - F.coalesce(F.lag(f"__{name}", n).over(w), F.lit(0))
+
+    rolled = running.select(
+        "prediction_id",
+        "model",
+        "place",
+        "__keep",
+        F.least("place", F.lit(n)).cast("long").alias("window_rows"),
+        (total("latency") / F.nullif(total("latencies"), F.lit(0))).alias("mean_ms"),
+        F.greatest("__front", F.lag("__back", n - 1).over(w)).alias("max_ms"),
+        (total("confidence") / F.nullif(total("confidences"), F.lit(0))).alias("mean_confidence"),
+        (total("right") / F.nullif(total("labelled"), F.lit(0))).alias("accuracy"),
     )
     return rolled.where("__keep").drop("__keep")
 
