@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,17 +147,47 @@ def _best_in_cell(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame
     return best
 
 
+def hashed_words(dim: int):
+    """Unit vector of the word counts of a text: a word (split at ASCII white space, lower case)
+    falls into the bucket that the first four bytes of its MD5 give. Without words: zeros."""
+
+    def buckets(words: list[bytes], known: dict[bytes, int]) -> list[int]:
+        for w in words:
+            if w not in known:
+                known[w] = int.from_bytes(hashlib.md5(w).digest()[:4], "big") % dim
+        return [known[w] for w in words]
+
+    def run(texts: pd.Series) -> pd.Series:
+        known: dict[bytes, int] = {}
+        out = []
+        for text in texts:
+            counts = np.bincount(buckets((text or "").lower().encode().split(), known), minlength=dim).astype(float)
+            norm = np.sqrt((counts * counts).sum())
+            out.append((counts / norm if norm else counts).astype(np.float32))
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<float>")
+
+
 def embed_text(df: DataFrame, col: str, dim: int = 384, embedder=None, out: str = "embedding") -> DataFrame:
     """Unit vector of a text column. The default hashes words; pass a `pandas_udf` from
     string to array<float> as `embedder` to use a sentence model."""
-    if embedder is not None:
-        return df.withColumn(out, embedder(F.col(col)))
-    words = Tokenizer(inputCol=col, outputCol="__words").transform(
-        df.withColumn(col, F.coalesce(col, F.lit("")))
-    )
-    counted = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=dim).transform(words)
-    unit = Normalizer(inputCol="__tf", outputCol="__unit", p=2.0).transform(counted)
-    return unit.withColumn(out, vector_to_array("__unit", "float32")).drop("__words", "__tf", "__unit")
+    return df.withColumn(out, (embedder or hashed_words(dim))(F.col(col)))
+
+
+def search_by_technique(
+    items: DataFrame, techniques: Sequence[str], k: int, difficulty: str | None = None, dim: int = 384, embedder=None
+) -> DataFrame:
+    """Nearest `k` items (id, embedding, difficulty) to the descriptor of a puzzle with the given
+    techniques, of one difficulty if that is given. The descriptor is one row, embedded like
+    the items were, and read as a scalar subquery."""
+    spark = items.sparkSession
+    text = "Sudoku puzzle" + (f": difficulty={difficulty}" if difficulty else "") + f", techniques={', '.join(techniques)}"
+    asked = embed_text(spark.createDataFrame([(text,)], "text string"), "text", dim, embedder, "__asked").select("__asked")
+    pool = items if difficulty is None else items.where(F.col("difficulty") == difficulty)
+    scored = pool.withColumn("__q", asked.scalar()).withColumn("score", F.round(cosine(F.col("embedding"), F.col("__q")), SCORE_DIGITS))
+    found = scored.where(F.col("score").isNotNull()).drop("embedding", "__q")
+    return found.orderBy(F.col("score").desc(), "id").limit(k)
 
 
 def aggregate_profile_vector(sessions: DataFrame, dim: int = 384, embedder=None) -> DataFrame:

@@ -647,17 +647,15 @@ def _profile(spark, d):
 
 
 register("user_profile", PROFILE_SQL, "hint_usage_rate")(_profile)
-register(
-    "user_text",
-    f"""SELECT user_id, 'Player profile: skill_level=' || skill_level || ', preferred_difficulty=' || preferred_difficulty
+USER_TEXT_SQL = f"""SELECT user_id, 'Player profile: skill_level=' || skill_level || ', preferred_difficulty=' || preferred_difficulty
           || '. session_count=' || session_count || coalesce('. avg solve times: ' || nullif(
              (SELECT string_agg(difficulty || ' ' || printf('%.1f', ms / 60000.0::DOUBLE) || 'min', ', ' ORDER BY list_position({vocab.DIFFICULTY_ORDER}, difficulty))
               FROM (SELECT user_id AS uid, difficulty, avg(time_elapsed_ms) FILTER (WHERE status = 'completed') AS ms FROM sessions GROUP BY 1, 2)
               WHERE ms IS NOT NULL AND uid = p.user_id), ''), '')
           || '. hint usage rate: ' || printf('%.2f', hint_usage_rate) || '. improvement trend: ' || improvement_trend
           || '. most played: ' || preferred_difficulty || '.' AS text
-        FROM ({PROFILE_SQL}) p""",
-)(lambda spark, d: ft.profile_text(ft.user_profile(b.sessions(spark, d))))
+        FROM ({PROFILE_SQL}) p"""
+register("user_text", USER_TEXT_SQL)(lambda spark, d: ft.profile_text(ft.user_profile(b.sessions(spark, d))))
 
 # --- ranks ---------------------------------------------------------------------
 

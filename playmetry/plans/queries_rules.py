@@ -11,7 +11,7 @@ from playmetry.operators import learning, privacy, vectors
 from playmetry.operators.metrics import class_distribution
 from playmetry.plans import binding as b
 from playmetry.plans import oracle as o
-from playmetry.plans.queries_players import WEEKLY_SQL
+from playmetry.plans.queries_players import USER_TEXT_SQL, WEEKLY_SQL
 from playmetry.plans.queries_tables import SHARES, UNION_SQL, level_shares
 from playmetry.plans.registry import register
 from playmetry.streaming import stateful, windows
@@ -748,16 +748,45 @@ def _seen_items(spark, d):
     )
 
 
-register("embed_text")(
-    lambda spark, d: vectors.embed_text(b.documents(spark, d).select("doc_id", "text"), "text", 64).select(
-        "doc_id",
-        F.size("embedding").alias("dim"),
-        F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("norm"),
-    )
+def _vector_sql(source: str, key: str, text: str, dim: int) -> str:
+    """Non-zero entries of word-hash vectors."""
+    return rf"""
+        SELECT {key}, CAST(bucket AS INTEGER) AS bucket,
+               CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS value
+        FROM (SELECT {key}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {dim} AS bucket, CAST(count(*) AS DOUBLE) AS n
+              FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[^\x20\x09-\x0D]+')) AS w FROM {source}) GROUP BY 1, 2)"""
+
+
+def _entries(df, key: str):
+    return df.select(key, F.posexplode("embedding").alias("bucket", "v")).where("v > 0").select(key, "bucket", F.col("v").cast("double").alias("value"))
+
+
+register("embed_text", _vector_sql("documents", "doc_id", "text", 64), "value")(
+    lambda spark, d: _entries(vectors.embed_text(b.documents(spark, d).select("doc_id", "text"), "text", 64), "doc_id")
 )
-register("aggregate_profile_vector")(
-    lambda spark, d: vectors.aggregate_profile_vector(b.sessions(spark, d), 64).select(
-        "user_id", F.size("embedding").alias("dim")
+register("aggregate_profile_vector", _vector_sql(f"({USER_TEXT_SQL}) AS profiles", "user_id", "text", 64), "value")(
+    lambda spark, d: _entries(vectors.aggregate_profile_vector(b.sessions(spark, d), 64), "user_id")
+)
+_ASKED = "Sudoku puzzle: difficulty=easy, techniques=the, of, and"
+register(
+    "search_by_technique",
+    f"""WITH docs AS (SELECT doc_id AS id, text, CASE WHEN doc_id % 2 = 0 THEN 'easy' ELSE 'hard' END AS difficulty FROM documents
+                      UNION ALL SELECT -1, '{_ASKED}', 'asked'),
+             v AS (SELECT id, bucket, value FROM ({_vector_sql('docs', 'id', 'text', 64)})),
+             s AS (SELECT a.id, sum(a.value * q.value) / sqrt(any_value(n.na)) / sqrt(any_value(n2.na)) AS score
+                   FROM v a JOIN v q ON q.bucket = a.bucket AND q.id = -1 JOIN (SELECT id, sum(value * value) AS na FROM v GROUP BY 1) n ON n.id = a.id
+                   JOIN (SELECT id, sum(value * value) AS na FROM v GROUP BY 1) n2 ON n2.id = -1 GROUP BY a.id)
+        SELECT id, difficulty, score FROM s JOIN docs USING (id) WHERE difficulty = 'easy' ORDER BY round(score, 9) DESC, id LIMIT 10""",
+    "score",
+)(
+    lambda spark, d: vectors.search_by_technique(
+        vectors.embed_text(b.documents(spark, d).select(F.col("doc_id").alias("id"), "text"), "text", 64)
+        .withColumn("difficulty", F.when(F.col("id") % 2 == 0, "easy").otherwise("hard"))
+        .drop("text"),
+        ["the", "of", "and"],
+        10,
+        "easy",
+        64,
     )
 )
 
