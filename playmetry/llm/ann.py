@@ -14,8 +14,8 @@ from playmetry.llm.common import settle
 
 #: Bits of a code and of each of its substrings, and the radius that is searched.
 BITS, PART, RADIUS = 128, 8, 55
-#: Rows of a block of the index, queries of a block, and rows that fit the rotation.
-BLOCK, ASK, SAMPLE = 8192, 2048, 20_000
+#: Rows of a block of the index, queries of a block, rows that fit the rotation, and bytes of these.
+BLOCK, ASK, SAMPLE, SAMPLE_BYTES = 8192, 2048, 20_000, 32 << 20
 
 
 @dataclass
@@ -138,7 +138,8 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, <key>, score): the `k` nearest rows found for every query, by cosine.
 
-    Rotations are fitted on at most `sample` vectors, those first by a hash of their key. All
+    Rotations are fitted on at most `sample` vectors and SAMPLE_BYTES, those first by a hash of
+    their key. All
     vectors are indexed, in blocks of about `block` rows by a hash of the key; every block of
     `ask` queries meets every block of the index once. Each pair of blocks looks codes up by
     substrings (`Index.within`) and hands on at most `k` rows per query, so what is shuffled
@@ -158,7 +159,7 @@ def nearest(
     dim = lengths[0].d
     rows = settle(rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")), "vectors")
     asked = usable(queries, key, vector).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
-    fit = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()
+    fit = rows.orderBy(F.xxhash64("id"), "id").limit(min(sample, SAMPLE_BYTES // (8 * max(dim, 1)))).select("v").toPandas()
     rotations = learn_rotations(np.stack(fit["v"].to_numpy()), bits)
     # The cells: how many blocks there are follows from the counts alone.
     n_blocks, n_asks = -(-rows.count() // block), max(1, -(-asked.count() // ask))
