@@ -275,7 +275,7 @@ ANALYSIS_SQL = f"""
         + sum(CASE WHEN one_c THEN (SELECT count(*) FROM cands k WHERE k.puzzle_id = x.puzzle_id AND k.d = x.d AND k.c = x.c AND k.box <> x.box) ELSE 0 END) AS lined
         FROM crossing x GROUP BY 1),
     easy AS (SELECT puzzle_id, count(*) AS n FROM (SELECT puzzle_id, idx FROM hidden UNION SELECT puzzle_id, idx FROM cells WHERE n = 1) GROUP BY 1),
-    fill AS (SELECT e.puzzle_id, count(*) FILTER (WHERE p.v <> 0) / 20.0::DOUBLE AS f
+    fill AS (SELECT e.puzzle_id, count(*) FILTER (WHERE p.v <> 0) AS m, count(*) FILTER (WHERE p.v <> 0) / 20.0::DOUBLE AS f
         FROM boards e JOIN boards p ON p.puzzle_id = e.puzzle_id AND p.idx <> e.idx AND (p.r = e.r OR p.c = e.c OR p.box = e.box)
         WHERE e.v = 0 GROUP BY e.puzzle_id, e.idx),
     tot AS (SELECT b.puzzle_id, count(*) FILTER (WHERE b.v <> 0) AS clues, count(*) FILTER (WHERE b.v = 0) AS empty,
@@ -293,7 +293,7 @@ FEATURES_SQL = f"""
     LEFT JOIN (SELECT puzzle_id, count(*) AS n FROM hidden GROUP BY 1) h ON h.puzzle_id = t.puzzle_id
     LEFT JOIN pairs p ON p.puzzle_id = t.puzzle_id LEFT JOIN reach x ON x.puzzle_id = t.puzzle_id
     LEFT JOIN easy e ON e.puzzle_id = t.puzzle_id
-    LEFT JOIN (SELECT puzzle_id, avg(f) AS f FROM fill GROUP BY 1) f ON f.puzzle_id = t.puzzle_id"""
+    LEFT JOIN (SELECT puzzle_id, CAST(sum(m) AS DOUBLE) / 20.0::DOUBLE / count(*) AS f FROM fill GROUP BY 1) f ON f.puzzle_id = t.puzzle_id"""
 register("puzzle_features", FEATURES_SQL, " ".join(bd.FEATURES))(lambda spark, d: bd.puzzle_features(b.boards(spark, d)))
 WEIGHTS = {name: 0.1 * (i + 1) for i, name in enumerate(bd.FEATURES)}
 _W = {name: f"CAST({abs(value)!r} AS DOUBLE)" for name, value in WEIGHTS.items()}
