@@ -466,7 +466,7 @@ def boards(spark: SparkSession, folder: str) -> DataFrame:
         return ((3 * (r % 3) + F.floor(r / 3) + i % 9 + k) % 9 + 1).cast("int")
 
     def digit(i: Column) -> Column:
-        return F.conv(F.substring("h", i % 32 + 1, F.lit(1)), 16, 10).cast("int")
+        return F.col("digits")[i % 32]
 
     def shown(i: Column) -> Column:
         blank = (digit(i) + F.floor(i / 32) * 5) % 16 < 7
@@ -479,9 +479,12 @@ def boards(spark: SparkSession, folder: str) -> DataFrame:
         )
 
     cells = F.sequence(F.lit(0), F.lit(80))
-    named = F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit("-"), F.col("p_name"))).alias("h")
-    # The rules are heavy per row and a key with its digits is small, so they are dealt out first.
-    return table(spark, folder, "part").select("p_partkey", named).repartition("p_partkey").select(
+    checksum = F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit("-"), F.col("p_name")))
+    named = F.transform(F.split(checksum, ""), lambda c: F.conv(c, 16, 10).cast("int")).alias("digits")
+    # The rules are heavy per row and a key with its digits is small, so they are dealt out to
+    # all cores first; without a number adaptive execution would gather them again.
+    cores = spark.sparkContext.defaultParallelism
+    return table(spark, folder, "part").select("p_partkey", named).repartition(cores, "p_partkey").select(
         F.col("p_partkey").alias("puzzle_id"),
         F.transform(cells, shown).alias("board"),
         F.transform(cells, solution).alias("solution"),
