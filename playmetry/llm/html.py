@@ -35,46 +35,78 @@ CLOSES = {
 #: Elements inside which a new block closes an open paragraph no further.
 SCOPE = frozenset("body div article section main td th li blockquote figure aside nav header footer form".split())
 #: Elements that are never part of the article.
-OUTSIDE = frozenset("head nav footer aside form button select input fieldset menu dialog".split())
-#: Words in id, class or role that mark a part as no article text.
-OUTSIDE_WORDS = frozenset(
-    """ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer
-    masthead menu modal nav navbar navigation newsletter notice notices paywall popup privacy promo promoted related
-    replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget
-    banner complementary contentinfo navigation search""".split()
+OUTSIDE = frozenset("head nav footer aside button select input menu dialog".split())
+#: Elements that may wrap a whole page as well as a few controls.
+FORMS = frozenset(["form", "fieldset"])
+#: Words in id, class or role that name a side part: parts of readers and links to other pages,
+ASIDE_READERS = frozenset("comment comments disqus replies reply respond related".split())
+#: parts that are no article text wherever they stand,
+ASIDE_ALWAYS = frozenset("ad ads advert advertisement adverts consent cookie cookies modal paywall popup promoted sidebar sponsor sponsored".split())
+#: and parts that a section of an article may be named like.
+ASIDE_MAYBE = frozenset(
+    """banner breadcrumb breadcrumbs complementary contentinfo footer masthead menu nav navbar navigation newsletter notice notices
+    privacy promo search share sharing signup social subscribe toolbar widget""".split()
 )
-ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Words that turn a name into a setting of what it is given to: no-sidebar, has-ads, comments-open.
+SETTINGS = frozenset("no not non without with has have hide show open closed enabled disabled status free".split())
+#: What follows `related` where it means other pages.
+RELATED = frozenset("related article articles block box container content entries items links list more news pages post posts products reading section stories topics videos widget wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z]+")
+#: A part with fewer plain characters than this for each of its controls is a control itself.
+CONTROL_CHARS = 100
 
 
 class Node:
-    __slots__ = ("tag", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "outside", "parent")
+    __slots__ = ("tag", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "outside", "parent", "controls", "plain", "linked", "held")
 
     def __init__(self, tag: str, parent: Node | None, outside: int):
         self.tag, self.parent, self.outside = tag, parent, outside
         self.parts: list = []  # texts and nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.controls = 0  # inputs right in this node
+        self.plain = self.linked = self.held = 0  # characters out of and in links, and controls, of the subtree
 
 
-#: How an element was told to be outside: by its tag, or by the words in its attributes alone.
-BY_TAG, BY_WORDS = 1, 2
+#: How an element was told to be outside: by its tag for certain; the others until `judge` has
+#: seen how much text it holds.
+BY_TAG, BY_FORM, BY_NAME, BY_SURE_NAME, BY_READERS = 1, 2, 3, 4, 5
+
+
+def named_outside(tag: str, kind: str, value: str) -> int:
+    """What a class, id or role says about a part."""
+    found = 0
+    for name in value.split():
+        words = WORDS.findall(name)
+        if not SETTINGS.isdisjoint(words):
+            continue
+        kinds = set(words)
+        anchor = tag == "section" and kind == "id"  # an id that a table of contents points to
+        if kinds & (ASIDE_READERS - {"related"}) or "related" in kinds and not anchor and kinds <= RELATED:
+            return BY_READERS
+        if kinds & ASIDE_ALWAYS and not anchor or kind == "role" and kinds & ASIDE_MAYBE:
+            found = BY_SURE_NAME
+        elif not found and kinds & (ASIDE_MAYBE | ASIDE_ALWAYS | ASIDE_READERS):
+            found = BY_NAME
+    return found
 
 
 def marked_outside(tag: str, attributes: str) -> int:
     """Is this element a menu, header, footer, sidebar, notice, advert, form or comment part?"""
     if tag in OUTSIDE:
         return BY_TAG
+    found = BY_FORM if tag in FORMS else 0
     if not attributes or tag in ("html", "body", "article", "main"):
-        return 0
+        return found
     for name, *values in ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
         name = name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "hidden" or name == "aria-hidden" and "".join(values).lower() == "true":
             return BY_TAG
-        if name in ("class", "id", "role") and not OUTSIDE_WORDS.isdisjoint(WORDS.findall(value)):
-            return BY_WORDS
-    return 0
+        if name in ("class", "id", "role") and tag not in HEADINGS:
+            found = max(found, named_outside(tag, name, "".join(values).lower()))
+    return found
 
 
 def parse(page: str) -> Node:
@@ -86,6 +118,7 @@ def parse(page: str) -> Node:
             node.parts.append(html.unescape(page[at : m.start()]))
         at = m.end()
         if m[3] is None:
+            node.controls += (m[1] or "").lower() in ("textarea", "select")
             continue
         tag = m[3].lower()
         if m[2]:
@@ -104,6 +137,7 @@ def parse(page: str) -> Node:
                 continue
         if tag in VOID:
             node.tags += tag != "wbr"
+            node.controls += tag == "input"
             if tag in ("br", "hr"):
                 node.parts.append("\n")
             continue
@@ -124,7 +158,7 @@ def parse(page: str) -> Node:
         if tag in ("article", "main"):  # what wraps the article is no side part, whatever its name says
             up = node
             while up is not None:
-                up.outside = 0 if up.outside == BY_WORDS else up.outside
+                up.outside = up.outside if up.outside == BY_TAG else 0
                 up = up.parent
         node.parts.append(child)
         if not (m[4].endswith("/") and tag in INLINE):
@@ -142,6 +176,92 @@ def within_article(node: Node | None) -> bool:
     return False
 
 
+def measure(root: Node, aside: tuple[int, ...]) -> list[Node]:
+    """Plain and linked characters and controls of every subtree, without parts of these marks; parents before children."""
+    nodes, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        nodes.append(node)
+        stack.extend(p for p in node.parts if not isinstance(p, str) and p.outside not in aside)
+    for node in reversed(nodes):
+        node.plain, node.linked, node.held = 0, 0, node.controls
+        for p in node.parts:
+            if isinstance(p, str):
+                node.plain += len(p) - sum(map(p.count, " \t\n\r"))
+            elif p.outside not in aside:
+                node.plain, node.linked, node.held = node.plain + p.plain, node.linked + p.linked, node.held + p.held
+            else:
+                node.held += p.tag in ("button", "select")
+        if node.tag == "a":
+            node.plain, node.linked = 0, node.plain + node.linked
+    return nodes
+
+
+def links_or_control(node: Node) -> bool:
+    """Is this mostly links, or a few words around controls?"""
+    return node.plain <= node.linked or node.plain < CONTROL_CHARS * node.held
+
+
+def judge(root: Node) -> None:
+    """Clear the marks of parts that hold too much of the page's plain text to stand aside.
+
+    A named part or a form stands aside while it holds the minor share, and where the only
+    article stands beside it. What readers wrote may well be longer than the article, so
+    such a part has to hold nine tenths, or the page's title, to be taken for a wrapper.
+    Where names that a section may have mark most of the page, only parts of links and
+    controls stand aside.
+    """
+    nodes = measure(root, (BY_TAG,))
+    for node in nodes:
+        if node.outside >= BY_SURE_NAME and wraps(node, root):
+            node.outside = 0
+    nodes = measure(root, (BY_TAG, BY_SURE_NAME, BY_READERS))
+    for node in nodes:
+        if node.outside and wraps(node, root):
+            node.outside = 0
+    left = [n for n in nodes if n.outside]
+    tops, below = [], set()
+    for node in nodes:  # parents come first
+        if node.parent in below or node.outside:
+            below.add(node)
+            if node.parent not in below:
+                tops.append(node)
+    if 2 * sum(n.plain for n in tops) > root.plain:
+        for node in left:
+            if not links_or_control(node):
+                node.outside = 0
+
+
+def wraps(node: Node, root: Node) -> bool:
+    """Does this marked part hold the article, rather than stand beside it?"""
+    if 2 * node.plain <= root.plain:
+        return False
+    nearly_all = 10 * node.plain >= 9 * root.plain
+    if nearly_all and node.outside < BY_SURE_NAME:
+        return True
+    if not holds(node, ("article", "main")) and holds(root, ("article", "main"), node):
+        return False
+    return nearly_all or node.outside != BY_READERS or holds(node, ("h1", "article", "main")) and not holds(root, ("h1", "article", "main"), node)
+
+
+def holds(root: Node, tags: tuple[str, ...], but: Node | None = None) -> bool:
+    """Is one of these elements below `root`, neither in `but` nor in a side part?"""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in tags and node is not root:
+            return True
+        stack.extend(p for p in node.parts if not isinstance(p, str) and p is not but and p.outside not in (BY_TAG, BY_SURE_NAME, BY_READERS))
+    return False
+
+
+def readmit(node: Node) -> None:
+    """Inside the article, a name or a form alone sets nothing aside: only links and controls stay out."""
+    for part in measure(node, (BY_TAG, BY_SURE_NAME, BY_READERS)):
+        if part.outside and not links_or_control(part):
+            part.outside = 0
+
+
 def inside(root: Node) -> list[Node]:
     """Nodes that may hold article text, parents before children."""
     out, stack = [], [root]
@@ -214,7 +334,9 @@ def blocks_of(node: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     """Text of the densest part of a page.
 
-    Parts that their element or name marks as no article are set aside first. Of the rest,
+    Parts that their element or name marks as no article are set aside first, named ones and
+    forms only while they hold the minor share of the plain text (`judge`) and, inside the
+    article, only where they are links or controls or surely no text of it. Of the rest,
     the subtree whose children have the largest sum of densities is the article. The least
     density on its path up to the body is the threshold: a parent that is as dense as that,
     and whose other children all are, only wraps the article and takes its place.
@@ -222,6 +344,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    judge(root)
     nodes = weigh(root)
     best = max(nodes, key=lambda n: n.total)
     if not best.total:
@@ -239,6 +362,7 @@ def main_text(page: str | None) -> str:
         loose = any(isinstance(p, str) and p.strip() for p in parent.parts)
         if parent.tag in ("article", "main") or chosen.tag not in ("article", "main") and (others or loose) and all(p.density >= threshold for p in others):
             chosen = parent
+    readmit(best if chosen.tag in ("html", "body") else chosen)
     return " ".join(blocks_of(chosen))
 
 

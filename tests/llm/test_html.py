@@ -20,6 +20,29 @@ def test_names_on_what_wraps_the_article():
     assert main_text(page) == "T Text here."
 
 
+BODY = "<h1>Title</h1><p>The first paragraph of the text has many words in it.</p><p>The second paragraph of it has as many words, or more.</p>"
+TEXT = "Title The first paragraph of the text has many words in it. The second paragraph of it has as many words, or more."
+
+
+def test_wrappers_without_an_article_element():
+    for wrapper in ('div class="content no-sidebar"', 'div class="has-ads"', 'div class="widget"', 'div id="modal"', 'div role="search"', 'div class="comments"', 'form id="aspnetForm"', 'div style="overflow: hidden"'):
+        page = f'<body><div class="menu"><a href=1>one</a> <a href=2>two</a></div><{wrapper}>{BODY}<button>Go</button></{wrapper.split()[0]}><div class="cookie-notice">We use cookies.</div></body>'
+        assert main_text(page) == TEXT, wrapper
+
+
+def test_names_of_sections():
+    for tag in ("article", "div"):
+        more = '<section id="privacy"><p>Privacy is a section.</p></section><h2 id="related-work">Related work</h2><div class="notice-text"><p>Notice this.</p></div><form>Text in a form.</form>'
+        side = '<div class="share"><a href=1>Share it</a></div><div class="newsletter">Sign up <input><button>Go</button></div><div class="ad">Buy</div><div class="comments"><p>I am a reader.</p></div>'
+        page = f"<body><div class='cookies'>We use cookies.</div><{tag}>{BODY}{more}{side}</{tag}></body>"
+        assert main_text(page) == TEXT + " Privacy is a section. Related work Notice this. Text in a form.", tag
+
+
+def test_names_on_most_parts():
+    page = "<body><div>" + "".join(f'<div class="builder-widget"><p>Paragraph {k} of the text is a widget.</p></div>' for k in range(5)) + '<div class="menu"><a href=1>one</a></div></div></body>'
+    assert main_text(page) == " ".join(f"Paragraph {k} of the text is a widget." for k in range(5))
+
+
 def test_edges(llm):
     pages = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "plain"), (5, "u", "<p>a<p>b"), (6, "u", "<div" * 10), (1, "u", PAGE), (7, "u", "<div>" * 3000 + "deep"), (8, "u", "<p>" + "long " * 100_000 + "</p>"), (9, "u", "<nav>menu</nav>")]
     frame = llm.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 text")
