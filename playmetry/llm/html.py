@@ -11,16 +11,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: One piece of markup: a comment, a raw-text element as a whole, a declaration, or a tag.
+#: One piece of markup: a comment, a declaration, or a tag.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title|select|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    re.S,
 )
+#: Elements whose content is no markup, and what ends each.
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I) for tag in ("script", "style", "noscript", "textarea", "title")}
+#: An end of the tag by '/>', as far as the slash is no part of a value.
+CLOSED = re.compile(r"(?:\A|[\s\"'])/\Z")
+#: Elements that '/>' closes, as it does all inside the first two.
+FOREIGN = frozenset(["svg", "math"])
+INNER = FOREIGN | {"select"}
+CLOSABLE = FOREIGN | {"iframe", "template", "object", "canvas", "select"}
+#: Elements of foreign content that may hold other elements.
+HOLDERS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: Elements that end foreign content and lists of options left open.
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 article section main div ul ol dl table blockquote pre form nav header footer aside figure body".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that do not begin a new block.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
+    """a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img
+    object canvas svg iframe template select math semantics mrow mfrac msqrt mroot mstyle merror mpadded mphantom mi mn mo ms mtext mspace
+    msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction""".split()
 )
 #: Elements that a new element of the first kind closes, as far as one of the second kind.
 CLOSES = {
@@ -33,9 +46,9 @@ CLOSES = {
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
 #: Elements inside which a new block closes an open paragraph no further.
-SCOPE = frozenset("body div article section main td th li blockquote figure aside nav header footer form".split())
+SCOPE = frozenset("body div article section main td th li blockquote figure aside nav header footer form object template svg math foreignobject".split())
 #: Elements that are never part of the article.
-OUTSIDE = frozenset("head nav footer aside button select input menu dialog".split())
+OUTSIDE = frozenset("head nav footer aside button select input menu dialog svg template iframe annotation annotation-xml".split())
 #: Elements that may wrap a whole page as well as a few controls.
 FORMS = frozenset(["form", "fieldset"])
 #: Words in id, class or role that name a side part: parts of readers and links to other pages,
@@ -112,24 +125,35 @@ def marked_outside(tag: str, attributes: str) -> int:
 def parse(page: str) -> Node:
     """A tree of the page, forgiving about tags that are never closed or never opened."""
     root = node = Node("html", None, 0)
-    at = 0
-    for m in MARKUP.finditer(page):
+    at, inner = 0, None  # inner: the last svg, math or select element that is open
+    while m := MARKUP.search(page, at):
         if m.start() > at:
             node.parts.append(html.unescape(page[at : m.start()]))
         at = m.end()
-        if m[3] is None:
-            node.controls += (m[1] or "").lower() in ("textarea", "select")
+        if m[2] is None:
             continue
-        tag = m[3].lower()
-        if m[2]:
+        tag = m[2].lower()
+        if not m[1] and tag in RAW and (inner is None or inner.tag == "select"):
+            at = RAW[tag].search(page, at).end()
+            node.controls += tag == "textarea"
+            continue
+        if m[1]:
             up = node
             while up is not root and up.tag != tag:
                 up = up.parent
             if up is not root:
                 node = up.parent
+                inner = inner and inner_part(node)
             elif tag == "p":
                 node.parts.append("\n")
             continue
+        if inner and tag in BLOCKS and not (inner.tag == "select" and tag == "div"):
+            up = node
+            while up is not inner and up.tag not in HOLDERS:
+                up = up.parent
+            if up is inner:
+                node = inner.parent
+                inner = inner_part(node)
         if tag in ("html", "body"):
             while tag == "body" and node.tag == "head":
                 node = node.parent
@@ -154,20 +178,29 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up.tag == "p":
                 node = up.parent
-        child = Node(tag, node, marked_outside(tag, m[4]) or int(tag == "header" and not within_article(node)))
+        inner = inner and inner_part(node)
+        child = Node(tag, node, marked_outside(tag, m[3]) or int(tag == "header" and not within_article(node)))
         if tag in ("article", "main"):  # what wraps the article is no side part, whatever its name says
             up = node
             while up is not None:
                 up.outside = up.outside if up.outside == BY_TAG else 0
                 up = up.parent
         node.parts.append(child)
-        if not (m[4].endswith("/") and tag in INLINE):
+        if not (m[3].endswith("/") and tag in INLINE - CLOSABLE or (tag in CLOSABLE or inner and inner.tag in FOREIGN) and CLOSED.search(m[3])):
             node = child
+            inner = child if tag in INNER else inner
     if at < len(page):
         node.parts.append(html.unescape(page[at:]))
     return root
 
 
+def inner_part(node: Node | None) -> Node | None:
+    """The svg, math or select element that holds this node."""
+    while node is not None and node.tag not in INNER:
+        node = node.parent
+    return node
+
+
 def within_article(node: Node | None) -> bool:
     while node is not None:
         if node.tag in ("article", "main"):

@@ -43,6 +43,14 @@ def test_names_on_most_parts():
     assert main_text(page) == " ".join(f"Paragraph {k} of the text is a widget." for k in range(5))
 
 
+def test_elements_closed_otherwise():
+    for tag in ("<svg class='i' viewBox='0 0 1 1'/>", "<math/>", "<iframe src='x'/>", "<svg><path d='M0'/>", "<ul><li><svg><li><svg><g></ul>", "<p><select><option>one", "<svg><foreignObject><div>Label</div></foreignObject></svg>", "<svg><title>Icon</title><g><circle/></g></svg>", "<select><option>one", "<div><template><i>t</div>", "<!-->", "<svg><style/></svg>", "<title-bar></title-bar>", "<select-box></select-box>", "<svg-icon></svg-icon>", "<script-x></script-x>", "<script>'</scripts><p>'</script >"):
+        for page in (f"<body>{tag}{BODY}</body>", f"<body><article>{tag}{BODY}</article></body>", f"<article>{BODY}{tag}</article>"):
+            assert main_text(page) == TEXT, page
+    page = f"<article>{BODY}<p>So <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> and <object data=x><param><i>a fall</i>back</object> and <canvas>a drawing</canvas><svg><text>none</text></svg> hold.</p><title-bar>Bar</title-bar></article>"
+    assert main_text(page) == TEXT + " So x=12 and a fallback and a drawing hold. Bar"
+
+
 def test_edges(llm):
     pages = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "plain"), (5, "u", "<p>a<p>b"), (6, "u", "<div" * 10), (1, "u", PAGE), (7, "u", "<div>" * 3000 + "deep"), (8, "u", "<p>" + "long " * 100_000 + "</p>"), (9, "u", "<nav>menu</nav>")]
     frame = llm.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 text")
