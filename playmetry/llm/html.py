@@ -72,20 +72,23 @@ CONTROL_CHARS = 100
 
 
 class Node:
-    __slots__ = ("tag", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "outside", "parent", "controls", "plain", "linked", "held")
+    __slots__ = ("tag", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "outside", "parent", "controls", "voids", "plain", "linked", "held")
 
     def __init__(self, tag: str, parent: Node | None, outside: int):
         self.tag, self.parent, self.outside = tag, parent, outside
         self.parts: list = []  # texts and nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.controls = 0  # inputs right in this node
+        self.controls = self.voids = 0  # inputs and all void elements right in this node
         self.plain = self.linked = self.held = 0  # characters out of and in links, and controls, of the subtree
 
 
 #: How an element was told to be outside: by its tag for certain; the others until `judge` has
 #: seen how much text it holds.
 BY_TAG, BY_FORM, BY_NAME, BY_SURE_NAME, BY_READERS = 1, 2, 3, 4, 5
+#: Links beside the text that `main_text` found to be less dense than its threshold.
+BY_DENSITY = 6
+SURE = (BY_TAG, BY_SURE_NAME, BY_READERS, BY_DENSITY)
 
 
 def named_outside(tag: str, kind: str, value: str) -> int:
@@ -111,14 +114,17 @@ def marked_outside(tag: str, attributes: str) -> int:
     if tag in OUTSIDE:
         return BY_TAG
     found = BY_FORM if tag in FORMS else 0
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return found
     for name, *values in ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and "".join(values).lower() == "true":
             return BY_TAG
         if name in ("class", "id", "role") and tag not in HEADINGS:
-            found = max(found, named_outside(tag, name, "".join(values).lower()))
+            names = "".join(values).lower()
+            if tag == "article":  # a comment may be one; other names are of its subject
+                names = " ".join(n for n in names.split() if not ASIDE_READERS.isdisjoint(WORDS.findall(n)[:1]) and named_outside(tag, name, n) == BY_READERS)
+            found = max(found, named_outside(tag, name, names))
     return found
 
 
@@ -160,7 +166,7 @@ def parse(page: str) -> Node:
             if tag == "html":
                 continue
         if tag in VOID:
-            node.tags += tag != "wbr"
+            node.voids += tag != "wbr"
             node.controls += tag == "input"
             if tag in ("br", "hr"):
                 node.parts.append("\n")
@@ -180,11 +186,6 @@ def parse(page: str) -> Node:
                 node = up.parent
         inner = inner and inner_part(node)
         child = Node(tag, node, marked_outside(tag, m[3]) or int(tag == "header" and not within_article(node)))
-        if tag in ("article", "main"):  # what wraps the article is no side part, whatever its name says
-            up = node
-            while up is not None:
-                up.outside = up.outside if up.outside == BY_TAG else 0
-                up = up.parent
         node.parts.append(child)
         if not (m[3].endswith("/") and tag in INLINE - CLOSABLE or (tag in CLOSABLE or inner and inner.tag in FOREIGN) and CLOSED.search(m[3])):
             node = child
@@ -248,7 +249,7 @@ def judge(root: Node) -> None:
     for node in nodes:
         if node.outside >= BY_SURE_NAME and wraps(node, root):
             node.outside = 0
-    nodes = measure(root, (BY_TAG, BY_SURE_NAME, BY_READERS))
+    nodes = measure(root, SURE)
     for node in nodes:
         if node.outside and wraps(node, root):
             node.outside = 0
@@ -284,13 +285,49 @@ def holds(root: Node, tags: tuple[str, ...], but: Node | None = None) -> bool:
         node = stack.pop()
         if node.tag in tags and node is not root:
             return True
-        stack.extend(p for p in node.parts if not isinstance(p, str) and p is not but and p.outside not in (BY_TAG, BY_SURE_NAME, BY_READERS))
+        stack.extend(p for p in node.parts if not isinstance(p, str) and p is not but and p.outside not in SURE)
     return False
 
 
+def densest(root: Node) -> Node:
+    """The node with the largest sum of densities.
+
+    If the longest article or main element is in a marked part, it is tried without the
+    marks around it; these go if it holds the densest text then. What readers wrote and
+    links to related pages are no such articles.
+    """
+    pick = lambda: max(weigh(root), key=lambda n: n.total)
+    found, marked, around = None, {}, []
+    for node in measure(root, (BY_TAG, BY_READERS)):
+        marked[node] = marked.get(node.parent, [])
+        if node.outside:
+            marked[node] = [*marked[node], node]
+        if marked[node] and node.tag in ("article", "main") and (found is None or node.plain > found.plain):
+            found, around = node, marked[node]
+    if found is None:
+        return pick()
+    marks = [n.outside for n in around]
+    for n in around:
+        n.outside = 0
+    best = up = pick()
+    while up is not None and up is not found:
+        up = up.parent
+    if up is found:
+        return best
+    for n, mark in zip(around, marks):
+        n.outside = mark
+    return pick()
+
+
+def only_links(node: Node, threshold: float) -> bool:
+    """Is this a block of links below the threshold, and no title?"""
+    sparse = node.density < threshold and node.link_tags > 1 and 2 * node.link_chars >= node.chars
+    return sparse and node.tag not in HEADINGS and node.tag not in ("header", "hgroup") and not holds(node, ("h1",))
+
+
 def readmit(node: Node) -> None:
     """Inside the article, a name or a form alone sets nothing aside: only links and controls stay out."""
-    for part in measure(node, (BY_TAG, BY_SURE_NAME, BY_READERS)):
+    for part in measure(node, SURE):
         if part.outside and not links_or_control(part):
             part.outside = 0
 
@@ -308,6 +345,9 @@ def inside(root: Node) -> list[Node]:
 def weigh(root: Node) -> list[Node]:
     """Composite density of every node, and the sum over its children."""
     nodes = inside(root)
+    for node in nodes:
+        node.chars = node.link_chars = node.link_tags = 0
+        node.tags, node.density, node.total = node.voids, 0.0, 0.0
     for node in reversed(nodes):
         for p in node.parts:
             if isinstance(p, str):
@@ -372,14 +412,15 @@ def main_text(page: str | None) -> str:
     article, only where they are links or controls or surely no text of it. Of the rest,
     the subtree whose children have the largest sum of densities is the article. The least
     density on its path up to the body is the threshold: a parent that is as dense as that,
-    and whose other children all are, only wraps the article and takes its place.
+    and whose other children all are, only wraps the article and takes its place. An article
+    or main element around the text takes its place whatever its density; blocks of links
+    below the threshold that it holds beside the text are left out.
     """
     if not page:
         return ""
     root = parse(page)
     judge(root)
-    nodes = weigh(root)
-    best = max(nodes, key=lambda n: n.total)
+    best = densest(root)
     if not best.total:
         return ""
     path, up = [], best
@@ -388,12 +429,16 @@ def main_text(page: str | None) -> str:
         up = up.parent
     threshold = min(n.density for n in path)
     chosen = best
-    for parent in path[1:]:
+    for k, parent in enumerate(path[1:], 1):
         if parent.tag in ("html", "body") and chosen.tag in ("article", "main"):
             break
-        others = [p for p in parent.parts if not isinstance(p, str) and not p.outside and p is not chosen and p.chars]
+        others = [p for p in parent.parts if not isinstance(p, str) and not p.outside and p is not path[k - 1] and p.chars]
         loose = any(isinstance(p, str) and p.strip() for p in parent.parts)
         if parent.tag in ("article", "main") or chosen.tag not in ("article", "main") and (others or loose) and all(p.density >= threshold for p in others):
+            for child, above in zip(path[path.index(chosen) : k], path[path.index(chosen) + 1 : k + 1]):
+                for p in above.parts:
+                    if not isinstance(p, str) and p is not child and not p.outside and only_links(p, threshold):
+                        p.outside = BY_DENSITY
             chosen = parent
     readmit(best if chosen.tag in ("html", "body") else chosen)
     return " ".join(blocks_of(chosen))

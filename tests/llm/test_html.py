@@ -51,6 +51,21 @@ def test_elements_closed_otherwise():
     assert main_text(page) == TEXT + " So x=12 and a fallback and a drawing hold. Bar"
 
 
+def test_beside_the_text_of_an_article_or_main_element():
+    comment = '<li class="comment"><article class="comment-body"><p>I am a reader and have a lot of words to say about the text.</p></article></li>'
+    links = '<div class="more"><ul><li><a href=1>One more story</a></li><li><a href=2>Another story</a></li></ul></div>'
+    for page in (
+        f'<body><main><article>{BODY}</article><div id="comments">{comment * 5}</div></main></body>',
+        f'<body><main><article>{BODY}</article>{comment * 5}</main></body>',
+        f'<body><main><article>{BODY}</article><div class="related"><article><p>A page about the same, and the first words of it.</p></article></div></main></body>',
+        f'<body><main><article class="post tag-comments comments-open">{BODY}</article>{links}</main></body>',
+        f'<body><main><div class="text">{BODY}</div>{links}</main></body>',
+        f'<body><article><h1><a href=0>Title</a></h1><div class="text">{BODY[14:]}</div>{links}</article></body>',
+        f'<body><div class="widget"><article>{BODY}</article></div>' + "".join(f"<div><b>{k}</b> A teaser of another page is here <i>now</i>.</div>" for k in range(4)) + "</body>",
+    ):
+        assert main_text(page) == TEXT, page
+
+
 def test_edges(llm):
     pages = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "plain"), (5, "u", "<p>a<p>b"), (6, "u", "<div" * 10), (1, "u", PAGE), (7, "u", "<div>" * 3000 + "deep"), (8, "u", "<p>" + "long " * 100_000 + "</p>"), (9, "u", "<nav>menu</nav>")]
     frame = llm.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 text")
