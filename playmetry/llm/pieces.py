@@ -10,6 +10,7 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -319,29 +320,34 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", o
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_pieces, n_byte_pieces, pieces_hash (of the ids), lossless (decoding gives the text).
+    """Per row: key, pieces, n_pieces, n_byte_pieces, pieces_hash (of the ids), lossless (decoding gives the text).
 
-    Encodes and decodes in one pass, without carrying the ids between processes. A null text
-    has no pieces, a null hash, and counts as lossless.
+    What `encode` gives is what `decode` reads. A null text has null pieces, 0 of
+    them, a null hash, and counts as lossless.
     """
-    texts, is_byte = vocabulary.texts, np.isin(np.arange(len(vocabulary.texts)), vocabulary.byte_ids)
+    is_byte = np.isin(np.arange(len(vocabulary.texts)), vocabulary.byte_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(vocabulary)
         for batch in batches:
-            keys, source = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ids = encode_batch(lattices, keys, source, seed)
-            hashes = [None if t is None else np.uint64(xxh3_64_intdigest(i.astype("<i4").tobytes())).astype(np.int64) for i, t in zip(ids, source)]
+            lists, source, decoded = batch.column(1), batch.column(2), batch.column(3)
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4")
+            spelled = np.concatenate([[0], np.cumsum(is_byte[values])]).astype(np.int64)
+            null = source.is_null().to_pylist()
+            hashes = [None if n else np.uint64(xxh3_64_intdigest(values[a:b].tobytes())).astype(np.int64) for n, a, b in zip(null, ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([int(is_byte[i].sum()) for i in ids], pa.int64()),
+                    lists,
+                    pa.array(np.diff(ends)),
+                    pa.array(np.diff(spelled[ends])),
                     pa.array(hashes, pa.int64()),
-                    pa.array([t is None or decode_ids(texts, i.tolist()) == t for i, t in zip(ids, source)]),
+                    pa.array([x == y for x, y in zip(source.to_pylist(), decoded.to_pylist())], pa.bool_()),
                 ],
-                names=[key, "n_pieces", "n_byte_pieces", "pieces_hash", "lossless"],
+                names=[key, "pieces", "n_pieces", "n_byte_pieces", "pieces_hash", "lossless"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, n_pieces long, n_byte_pieces long, pieces_hash long, lossless boolean")
+    coded = encode(docs.select(key, F.col(text).alias("__source")), vocabulary, seed, key, "__source", "__coded")
+    both = decode(coded, vocabulary, "__coded", "__decoded").select(key, "__coded", "__source", "__decoded")
+    return both.mapInArrow(run, f"`{key}` {kind}, pieces array<int>, n_pieces long, n_byte_pieces long, pieces_hash long, lossless boolean")

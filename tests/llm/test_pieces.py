@@ -59,3 +59,14 @@ def test_frames(llm, documents):
     trip = p.round_trip(docs, VOCABULARY).collect()
     assert all(r.lossless for r in trip) and sorted(r.n_pieces for r in trip)[:2] == [0, 0]
     assert p.encode(docs.limit(0), VOCABULARY).count() == 0
+
+
+def test_round_trip_returns_the_pieces(llm, documents):
+    docs = documents("the anea thing", None, "", "日本 😀 z ▁", ids=[1, 2, 3, None])
+    coded = {r.doc_id: r.pieces for r in p.encode(docs, VOCABULARY).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in p.round_trip(docs, VOCABULARY).collect():
+        assert r.pieces == coded[r.doc_id] and r.lossless and r.n_pieces == len(r.pieces or [])
+        assert r.n_byte_pieces == sum(i in VOCABULARY.byte_ids for i in r.pieces or [])
+        assert (r.pieces is None) == (r.pieces_hash is None) == (texts[r.doc_id] is None)
+        assert r.pieces is None or p.decode_ids(VOCABULARY.texts, r.pieces) == texts[r.doc_id]
