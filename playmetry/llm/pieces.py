@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,8 +20,8 @@ from playmetry.llm.common import mix64
 
 #: Place of the vocabulary file on the driver; executors get its pieces with the task.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Runs without a space or line break longer than this are cut into parts of this length;
-#: no piece crosses such a cut.
+#: Runs without a space or line break longer than this are not kept as lattices: forward sums
+#: are carried from block to block of this length, and edges are found again block by block.
 RUN = 1 << 16
 #: Lattice nodes that a task keeps for words it has seen, before it starts anew.
 KEPT_NODES = 1 << 22
@@ -83,6 +84,7 @@ class Trie:
         self.bits = int(len(names)).bit_length() + 3
         self.table = np.full((1 << self.bits) + 64, -1, np.int64)
         self.state = np.zeros(len(self.table), np.int64)
+        self.longest = max(map(len, pieces), default=1)
         self.probes = 1
         for slot, key, state in zip(self._slots(keys).tolist(), keys.tolist(), range(1, len(names) + 1)):
             probes = 1
@@ -140,14 +142,10 @@ class Lattices:
             self._add(list(islice(self.known, before, None)))
         return which
 
-    def _add(self, words: list[str]) -> None:
-        lengths = np.array([len(w) for w in words], np.int32)
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-        start = np.cumsum(lengths, dtype=np.int32) - lengths
-        last = np.repeat(start + lengths, lengths)  # end of the word each character is in
-        node = np.arange(len(codes), dtype=np.int32) + np.repeat(np.arange(len(words), dtype=np.int32), lengths)  # one node more than characters
+    def _edges(self, codes: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Every piece that starts at a character and ends by `last` of it: place, length, piece, weight."""
         at, state, step = np.arange(len(codes), dtype=np.int32), np.zeros(len(codes), np.int64), 0
-        froms, tos, ids = [], [], []
+        froms, steps, ids = [], [], []
         single = np.zeros(len(codes), bool)
         while len(at):
             state = self.trie.step(state, codes[at + step])
@@ -156,22 +154,82 @@ class Lattices:
             step += 1
             piece = self.trie.ends[state]
             found = piece >= 0
-            begin = node[at[found]]
             if step == 1:
                 single[at[found]] = True
-            froms.append(begin)
-            tos.append(begin + step)
+            froms.append(at[found])
+            steps.append(np.full(len(froms[-1]), step, np.int32))
             ids.append(piece[found])
             more = at + step < last[at]
             at, state = at[more], state[more]
-        bare = np.flatnonzero(~single)  # characters that only bytes can spell: piece -1 - code point
-        froms.append(node[bare])
-        tos.append(node[bare] + 1)
+        bare = np.flatnonzero(~single).astype(np.int32)  # characters that only bytes can spell: piece -1 - code point
+        froms.append(bare)
+        steps.append(np.ones(len(bare), np.int32))
         ids.append(-1 - codes[bare])
-        origin, to, piece = map(np.concatenate, (froms, tos, ids))
+        origin, length, piece = map(np.concatenate, (froms, steps, ids))
         spelled = np.where(piece < 0, -1 - piece, 0)
         n_bytes = 1 + (spelled > 0x7F) + (spelled > 0x7FF) + (spelled > 0xFFFF)
         weight = np.where(piece >= 0, self.vocabulary.weights[np.maximum(piece, 0)], n_bytes * self.vocabulary.weights[self.vocabulary.byte_ids[0]])
+        return origin, length, piece, weight
+
+    def _block(self, codes: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Edges of a long word into its nodes a + 1 to b, by node: origin, node, piece, weight."""
+        low = max(0, a + 1 - self.trie.longest)
+        part = codes[low:b].astype(np.int64)
+        origin, length, piece, weight = self._edges(part, np.full(len(part), len(part), np.int32))
+        origin = origin + np.int64(low)
+        to = origin + length
+        order = np.flatnonzero(to > a)
+        order = order[np.argsort(to[order], kind="stable")]
+        return origin[order], to[order], piece[order], weight[order]
+
+    def sample_long(self, word: str, seed: np.uint64) -> np.ndarray:
+        """One segmentation of a word of any length, by the same law as `sample`.
+
+        No piece is lost between blocks: an edge reaches back as far as the longest piece.
+        What grows with the word is one number for each character.
+        """
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(codes)
+        forward = np.zeros(n + 1)
+        for a in range(0, n, RUN):
+            origin, to, _, weight = self._block(codes, a, min(n, a + RUN))
+            low = int(origin.min())
+            sums = forward[low : a + 1].tolist()  # of the nodes from `low` on
+            origins, weights = (origin - low).tolist(), weight.tolist()
+            cuts = np.flatnonzero(np.diff(to, prepend=a, append=n + 1)).tolist()
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                values = [sums[o] + w for o, w in zip(origins[x:y], weights[x:y])]
+                top = max(values)
+                sums.append(top + math.log(sum([math.exp(v - top) for v in values])))
+            forward[low : low + len(sums)] = sums
+        out, node, step = [], n, 0
+        for a in range((n - 1) // RUN * RUN, -1, -RUN):
+            origin, to, piece, weight = self._block(codes, a, min(n, a + RUN))
+            share = np.exp(forward[origin] + weight - forward[to])
+            order = np.lexsort((-share, to))
+            origins, pieces, shares = origin[order].tolist(), piece[order].tolist(), share[order].tolist()
+            first = np.searchsorted(to, np.arange(a + 1, min(n, a + RUN) + 2)).tolist()
+            keys = (np.arange(step, step + min(n, a + RUN) - a, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + seed
+            draws = ((mix64(keys) >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+            begun = step
+            while node > a:
+                edge, end, left = first[node - a - 1], first[node - a] - 1, draws[step - begun]
+                while edge < end and left >= shares[edge]:
+                    left -= shares[edge]
+                    edge += 1
+                out.append(pieces[edge])
+                node, step = origins[edge], step + 1
+        return np.array(out[::-1], np.int64)
+
+    def _add(self, words: list[str]) -> None:
+        lengths = np.array([len(w) for w in words], np.int32)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        start = np.cumsum(lengths, dtype=np.int32) - lengths
+        last = np.repeat(start + lengths, lengths)  # end of the word each character is in
+        node = np.arange(len(codes), dtype=np.int32) + np.repeat(np.arange(len(words), dtype=np.int32), lengths)  # one node more than characters
+        origin, step, piece, weight = self._edges(codes, last)
+        origin = node[origin]
+        to = origin + step
         total = int(lengths.sum()) + len(words)
         begin = start + np.arange(len(words), dtype=np.int32)
         depth = np.arange(total, dtype=np.int32) - np.repeat(begin, lengths + 1)
@@ -234,10 +292,7 @@ PARTS = re.compile(r" *[^ \n]+| +|\n")
 
 def parts_of(text: str) -> list[str]:
     """Words with the spaces before them, single line breaks, spaces at an end; one more space goes first."""
-    found = PARTS.findall(" " + text) if text else []
-    if found and max(map(len, found)) > RUN:
-        found = [w[k : k + RUN] for w in found for k in range(0, len(w), RUN)]
-    return found
+    return PARTS.findall(" " + text) if text else []
 
 
 def spell(pieces: np.ndarray, counts: np.ndarray, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,11 +314,20 @@ def encode_batch(lattices: Lattices, keys: list, texts: list, seed: int) -> list
     """Piece ids of every text, sampled under (seed, key, place in the text)."""
     words = [parts_of(t or "") for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
-    which = lattices.numbers([w for ws in words for w in ws])
+    every = [w for ws in words for w in ws]
+    long = {k: w for k, w in enumerate(every) if len(w) > RUN}
+    for k in long:
+        every[k] = "\n"  # its pieces give way to those of the long word
+    which = lattices.numbers(every)
     own = np.array([xxh3_64_intdigest(str(k), seed) for k in keys], np.uint64)
     place = (np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint64)
     seeds = mix64(np.repeat(own, sizes) + mix64(place))
     pieces, counts = lattices.sample(which, seeds)
+    if long:
+        drawn = np.split(pieces, np.cumsum(counts)[:-1])
+        for k, w in long.items():
+            drawn[k] = lattices.sample_long(w, seeds[k])
+        pieces, counts = np.concatenate(drawn), np.array([len(d) for d in drawn], np.int64)
     pieces, counts = spell(pieces, counts, lattices.vocabulary.byte_ids)
     total = np.bincount(np.repeat(np.arange(len(texts)), sizes), counts, len(texts)).astype(np.int64)
     return np.split(pieces, np.cumsum(total)[:-1]) if len(texts) else []
@@ -280,7 +344,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, seed: int = 1, key: str = "d
     The chance of a segmentation is the product of its pieces' weights, over all
     segmentations of the text. Forward filtering sums them up to every character,
     backward sampling draws the pieces from the end; both go word by word, since no piece
-    crosses one. The draws depend on seed, key and place alone, so reruns and other
+    crosses one, and a word of any length is one lattice. The draws depend on seed, key and place alone, so reruns and other
     partitions give the same ids; rows with one key and text get the same ids, and a null key
     counts as the text `None`. Characters without a piece are spelled in bytes, and so is
     U+2581, which stands for a space in pieces. Null texts give null, empty ones no ids.

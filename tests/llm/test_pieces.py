@@ -70,3 +70,24 @@ def test_round_trip_returns_the_pieces(llm, documents):
         assert r.n_byte_pieces == sum(i in VOCABULARY.byte_ids for i in r.pieces or [])
         assert (r.pieces is None) == (r.pieces_hash is None) == (texts[r.doc_id] is None)
         assert r.pieces is None or p.decode_ids(VOCABULARY.texts, r.pieces) == texts[r.doc_id]
+
+
+def test_long_words_are_one_lattice(monkeypatch):
+    word = " there"
+    every = list(segmentations(word))
+    weight = np.array([math.exp(sum(VOCABULARY.weights[i] for i in s)) for s in every])
+    monkeypatch.setattr(p, "RUN", 4)
+    n = 2_000
+    drawn = Counter(tuple(x.tolist()) for x in p.encode_batch(LATTICES, list(range(n)), [word[1:]] * n, 1))
+    assert set(drawn) <= set(every)
+    for s, share in zip(every, weight / weight.sum()):
+        assert abs(drawn[s] / n - share) < 5 * math.sqrt(share / n) + 2e-3
+
+
+def test_blocks_do_not_change_the_draws(monkeypatch):
+    text = "thereonanen日本😀" * 40 + "a" + " " * 90 + "b\nc"
+    runs = []
+    for run in (1, 5, 64, 90):
+        monkeypatch.setattr(p, "RUN", run)
+        runs.append(p.encode_batch(LATTICES, ["k"], [text], 1)[0].tolist())
+    assert all(r == runs[0] for r in runs) and p.decode_ids(VOCABULARY.texts, runs[0]) == text
