@@ -61,13 +61,21 @@ def latency_quantiles(
 
 def _exact_latency(df: DataFrame, win: str, slide: str, by: Sequence[str]) -> DataFrame:
     """Values are counted per pane of `slide` first, so a window adds up counts, not requests;
-    ranks run over the distinct values of a (window, key)."""
-    pane = df.where(F.col("latency_ms").isNotNull()).groupBy(F.window("ts", slide).alias("p"), *by, "latency_ms").agg(_n().alias("n"))
+    ranks run over the distinct values of a (window, key). A request without a latency counts
+    as a request and has no rank."""
+    pane = df.groupBy(F.window("ts", slide).alias("p"), *by, "latency_ms").agg(_n().alias("n"))
     counted = pane.groupBy(F.window("p.start", win, slide).alias("w"), *by, "latency_ms").agg(F.sum("n").alias("n"))
     keys = ["w", *by]
+    valued = F.when(F.col("latency_ms").isNotNull(), F.col("n")).otherwise(F.lit(0))
     ordered = Window.partitionBy(*keys).orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("n").over(ordered)).withColumn("requests", F.sum("n").over(Window.partitionBy(*keys)))
-    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("requests")), F.col("latency_ms")))
+    whole = Window.partitionBy(*keys)
+    ranked = (
+        counted.withColumn("valued", valued)
+        .withColumn("upto", F.sum("valued").over(ordered))
+        .withColumn("of", F.sum("valued").over(whole))
+        .withColumn("requests", F.sum("n").over(whole))
+    )
+    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("of")), F.col("latency_ms")))
     found = ranked.groupBy(*keys).agg(F.max("requests").alias("requests"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
     return found.select(F.col("w.end").alias("window_end"), *by, "requests", "p50", "p95", "p99")
 

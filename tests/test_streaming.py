@@ -300,3 +300,10 @@ def test_reconnect_stream(spark, tmp_path):
 
 
 SCHEMA2 = "room_id string, user_id string, ts timestamp"
+
+
+def test_latency_quantiles_count_requests_without_a_latency(spark):
+    rows = [("2024-01-01 00:00:10", "a", 5.0), ("2024-01-01 00:00:20", "a", None), ("2024-01-01 00:00:30", "a", 9.0), ("2024-01-01 00:00:40", "b", None)]
+    log = spark.createDataFrame(rows, "t string, service string, latency_ms double").selectExpr("timestamp(t) ts", "service", "latency_ms")
+    got = windows.latency_quantiles(log, "5 minutes", "5 minutes").collect()
+    assert sorted((r.service, r.requests, r.p50, r.p95, r.p99) for r in got) == [("a", 3, 5.0, 9.0, 9.0), ("b", 1, None, None, None)]
