@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playmetry.llm.ann import nearest
+from playmetry.llm.codes import vector_codes
 from playmetry.llm.common import prepared
 from playmetry.llm.html import extract
 from playmetry.llm.language import held_out, identify, learned
+from playmetry.llm.lexical import lexical_search
 from playmetry.llm.lines import learn_lines, quality_rules
 from playmetry.llm.mixing import mix
 from playmetry.llm.nearcopies import near_copies
@@ -199,3 +201,85 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Eight shards of all documents, equal texts together, the largest as small as can be."""
     return shard_texts(table(spark, folder, "documents"), 8)
+
+
+def _codes_sql() -> str:
+    """SQL of the vector codes: each round assigns all parts and then moves the entries."""
+    square = "list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [
+        """WITH v AS (
+        SELECT row_number() OVER () AS r, vec_id, label,
+               list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    )""",
+        "parts AS MATERIALIZED (SELECT r, p, v[(p * len(v)) // 4 + 1:((p + 1) * len(v)) // 4] AS x FROM v, range(4) AS t(p))",
+        "start AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v WHERE vec_id IS NOT NULL QUALIFY e < 256)",
+        "book0 AS MATERIALIZED (SELECT p, e, x AS y FROM parts JOIN start USING (r))",
+    ]
+    for k in range(5):
+        steps.append(
+            f"""near{k} AS MATERIALIZED (
+        SELECT r, p, min({{'d': {square}, 'e': e}}) AS best FROM parts JOIN book{k} USING (p) GROUP BY r, p
+    )"""
+        )
+        if k < 4:
+            steps.append(
+                f"""book{k + 1} AS MATERIALIZED (
+        WITH sums AS (
+            SELECT p, e, i, sum(x[i + 1])::BIGINT AS s, count(*) AS n
+            FROM (SELECT p, best.e AS e, x, unnest(range(len(x))) AS i FROM near{k} JOIN parts USING (r, p)) GROUP BY p, e, i
+        ),
+        moved AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM sums GROUP BY p, e)
+        SELECT p, e, coalesce(m, y) AS y FROM book{k} LEFT JOIN moved USING (p, e)
+    )"""
+            )
+    steps.append("hash AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS h FROM book4)")
+    steps.append(
+        """coded AS (
+        SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near4 GROUP BY r
+    )"""
+    )
+    return ",\n    ".join(steps) + """
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+    FROM v JOIN coded USING (r), hash
+    """
+
+
+@query(_codes_sql())
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Code, error and checksum of the codebooks of every vector."""
+    return vector_codes(table(spark, folder, "embeddings"))
+
+
+@query(
+    r"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+    ),
+    tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) GROUP BY r, term),
+    whole AS (SELECT count(*) AS big_n, sum(len(w))::BIGINT AS big_l FROM docs WHERE len(w) > 0),
+    wanted AS (
+        SELECT DISTINCT item_id, term FROM (
+            SELECT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+    ),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+        FROM tf, whole GROUP BY term, big_n
+    ),
+    scores AS (
+        SELECT item_id, docs.r, doc_id,
+               sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w) * big_n) // big_l))))::BIGINT AS score
+        FROM wanted JOIN weights USING (term) JOIN tf USING (term) JOIN docs ON docs.r = tf.r, whole
+        GROUP BY item_id, docs.r, doc_id
+    ),
+    places AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0)
+    SELECT item_id, place::INTEGER AS rank, doc_id, score FROM places WHERE place <= 10
+    """
+)
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item."""
+    return lexical_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
