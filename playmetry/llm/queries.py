@@ -19,6 +19,7 @@ from playmetry.llm.nearcopies import near_copies
 from playmetry.llm.pieces import load_vocabulary, round_trip
 from playmetry.llm.shards import shard_texts
 from playmetry.llm.substrings import remove_repeats
+from playmetry.llm.suffixes import byte_repeats
 from playmetry.llm.urls import filter_urls, listed_by_label
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,6 +252,38 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vector_codes(table(spark, folder, "embeddings"))
 
 
+@query(
+    r"""
+    WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    hexes AS (SELECT doc_id, regexp_extract_all(lower(hex(b)), '..') AS h FROM t),
+    windows AS (
+        SELECT doc_id, i, md5(array_to_string(h[i:i + 49], '')) AS k
+        FROM hexes, unnest(range(1, greatest(len(h) - 48, 1))) AS r(i)
+    ),
+    firsts AS (SELECT k, min(doc_id) AS first_id FROM windows GROUP BY k),
+    hits AS (SELECT windows.doc_id, i FROM windows JOIN firsts ON windows.k = firsts.k WHERE doc_id > first_id),
+    gone AS (SELECT DISTINCT doc_id, i + o AS pos FROM hits, unnest(range(0, 50)) AS s(o)),
+    edges AS (
+        SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE pos - before > 1 OR before IS NULL) AS spans
+        FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone) GROUP BY doc_id
+    ),
+    bytes AS (SELECT doc_id, pos, h[pos] AS x FROM hexes, unnest(range(1, len(h) + 1)) AS p(pos)),
+    kept AS (
+        SELECT bytes.doc_id, string_agg(x, '' ORDER BY bytes.pos) AS bytes_left
+        FROM bytes LEFT JOIN gone ON bytes.doc_id = gone.doc_id AND bytes.pos = gone.pos
+        WHERE gone.pos IS NULL GROUP BY bytes.doc_id
+    )
+    SELECT t.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed,
+           coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(bytes_left, ''))) AS kept_sha256
+    FROM t LEFT JOIN edges ON t.doc_id = edges.doc_id LEFT JOIN kept ON t.doc_id = kept.doc_id
+    """
+)
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes left of every document once strings of 50 bytes that begin in an earlier one are gone."""
+    left = byte_repeats(table(spark, folder, "documents"), length=50)
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query(
     r"""
     WITH docs AS (

@@ -16,6 +16,7 @@ COLUMNS = {
     "op9_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op10_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op11_vector_codes": "vec_id code error label_error codebooks_sha256",
+    "op12_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op13_lexical_search": "item_id rank doc_id score",
 }
 
