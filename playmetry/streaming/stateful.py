@@ -1,14 +1,12 @@
-"""Per-key state: play streaks, the waiting queue, sustained alerts."""
+"""Play streaks in one sorted pass, and outer joins of two streams."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from playmetry.functions import vocab
 
@@ -104,124 +102,6 @@ def streak_transition(state: tuple | None, ms: int, initial_freeze: bool = True)
     return (current, max(longest, current), ms, freeze, granted, milestones, breaks, used)
 
 
-_STREAK_STATE = ", ".join(f"{n} {t if t != 'array<int>' else 'string'}" for n, t in STREAK_FIELDS)
-
-
-def streaks_stream(plays: DataFrame, initial_freeze: bool = True) -> DataFrame:
-    """Streak state of each user after every micro-batch that holds plays of the user.
-
-    Plays (user_id, ts) have to arrive in order across batches; inside a batch they are
-    sorted. Use output mode `update`.
-    """
-
-    def fold(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        times = sorted({int(v) for batch in batches for v in batch["ms"]})
-        state = None
-        if held.exists:
-            *front, text, breaks, used = held.get
-            state = (*front, [int(x) for x in text.split(",") if x], breaks, used)
-            state = tuple(None if i == 4 and v == -1 else v for i, v in enumerate(state))
-        for ms in times:
-            state = streak_transition(state, ms, initial_freeze)
-        current, longest, last, freeze, granted, milestones, breaks, used = state
-        text = ",".join(map(str, milestones))
-        held.update((current, longest, last, freeze, -1 if granted is None else granted, text, breaks, used))
-        yield pd.DataFrame(
-            {
-                "user_id": [key[0]],
-                "current_streak": [current],
-                "longest_streak": [longest],
-                "last_ms": [last],
-                "freeze_count": [freeze],
-                "freezes_used": [used],
-                "breaks": [breaks],
-                "milestones": [text],
-            }
-        )
-
-    return (
-        plays.select("user_id", F.unix_millis("ts").alias("ms"))
-        .groupBy("user_id")
-        .applyInPandasWithState(
-            fold,
-            "user_id long, current_streak int, longest_streak int, last_ms long, freeze_count int, "
-            "freezes_used int, breaks int, milestones string",
-            _STREAK_STATE,
-            "update",
-            GroupStateTimeout.NoTimeout,
-        )
-    )
-
-
-def match_fifo_stream(queue: DataFrame) -> DataFrame:
-    """Pairs of the waiting queue as they form. Rows are (difficulty, entry_id, user_id, ts,
-    action), action `join` or `cancel`; a cancel removes the user's first waiting entry.
-
-    The state is the waiting list of one difficulty: by the pairing rule all its entries
-    belong to one player.
-    """
-
-    def pair(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "entry_id"])
-        user, entries = (None, []) if not held.exists else (held.get[0], list(held.get[1]))
-        out = []
-        for entry, player, action in zip(rows["entry_id"], rows["user_id"], rows["action"]):
-            if action == "cancel":
-                if entries and player == user:
-                    entries.pop(0)
-            elif entries and player != user:
-                out.append((key[0], entries.pop(0), user, int(entry), int(player)))
-            else:
-                user = int(player)
-                entries.append(int(entry))
-        held.update((-1 if user is None else user, entries))
-        yield pd.DataFrame(
-            out, columns=["difficulty", "first_entry", "first_user", "second_entry", "second_user"]
-        )
-
-    return queue.groupBy("difficulty").applyInPandasWithState(
-        pair,
-        "difficulty string, first_entry long, first_user long, second_entry long, second_user long",
-        "user_id long, entries array<long>",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
-def sustained_alert_stream(evaluations: DataFrame, step_secs: int, hold_secs: int) -> DataFrame:
-    """Alerts of a stream of evaluations (key, at, breached), once per run of breaches.
-
-    State per key: start and last evaluation of the open run, and whether it has fired.
-    """
-
-    def watch(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("at_s")
-        since, last, fired = held.get if held.exists else (-1, -1, False)
-        out = []
-        for at, breached in zip(rows["at_s"], rows["breached"]):
-            at = int(at)
-            if not breached:
-                since, last, fired = -1, -1, False
-                continue
-            if since < 0 or at - last > step_secs:
-                since, fired = at, False
-            last = at
-            if not fired and at - since >= hold_secs:
-                fired = True
-                out.append((key[0], since, since + hold_secs))
-        held.update((since, last, fired))
-        yield pd.DataFrame(out, columns=["key", "since_s", "fired_s"])
-
-    keyed = evaluations.select("key", F.unix_seconds("at").alias("at_s"), "breached")
-    return keyed.groupBy("key").applyInPandasWithState(
-        watch,
-        "key string, since_s long, fired_s long",
-        "since long, last long, fired boolean",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
 def reconnect_stream(disconnects: DataFrame, reconnects: DataFrame, secs: int = 30, delay: str = "1 minute") -> DataFrame:
     """Each disconnect with its reconnect inside `secs`, or NULL once the watermark has passed."""
     gone = disconnects.withWatermark("ts", delay).alias("d")

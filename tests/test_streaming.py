@@ -236,49 +236,6 @@ def test_streak_fold_equals_transitions(spark, rows_in_batch):
         assert g["milestones"] == ",".join(map(str, state[5]))
 
 
-def test_streak_stream_equals_batch(spark, tmp_path):
-    feed = Feed(spark, tmp_path, "user_id long, ts timestamp")
-    rng = random.Random(3)
-    rows = []
-    t = BASE
-    for _ in range(90):
-        t += dt.timedelta(hours=rng.choice([3, 11, 23, 26]))
-        rows.append({"user_id": rng.randrange(2), "ts": t.isoformat() + "Z"})
-    for i in range(0, 90, 30):
-        feed.add(rows[i : i + 30])
-    got = collect(stateful.streaks_stream(feed.stream()), tmp_path, "streaks", "update")
-    last = {}
-    for r in got:
-        if r["user_id"] not in last or r["last_ms"] >= last[r["user_id"]]["last_ms"]:
-            last[r["user_id"]] = r
-    batch = stateful.streaks_stateful(spark.read.schema("user_id long, ts timestamp").json(str(feed.path)))
-    names = ("current_streak", "longest_streak", "freeze_count", "freezes_used", "breaks", "milestones")
-    for b in batch.collect():
-        assert [last[b["user_id"]][n] for n in names] == [b[n] for n in names]
-
-
-def test_fifo_stream(spark, tmp_path):
-    feed = Feed(spark, tmp_path, "difficulty string, entry_id long, user_id long, ts timestamp, action string")
-    rows = [("easy", 1, 1, "join"), ("easy", 2, 1, "join"), ("hard", 3, 2, "join"), ("easy", 4, 3, "join"), ("hard", 5, 2, "cancel"), ("hard", 6, 4, "join"), ("easy", 7, 5, "join"), ("hard", 8, 2, "join")]
-    full = [{"difficulty": d, "entry_id": i, "user_id": u, "ts": (BASE + dt.timedelta(seconds=i)).isoformat() + "Z", "action": a} for d, i, u, a in rows]
-    feed.add(full[:3])
-    feed.add(full[3:])
-    got = collect(stateful.match_fifo_stream(feed.stream()), tmp_path, "fifo")
-    assert sorted(tuple(r) for r in got) == [("easy", 1, 1, 4, 3), ("easy", 2, 1, 7, 5), ("hard", 6, 4, 8, 2)]
-
-
-def test_alert_stream_equals_batch(spark, tmp_path):
-    feed = Feed(spark, tmp_path, "key string, at timestamp, breached boolean")
-    pattern = "0111110111111111001111"
-    rows = [{"key": "a", "at": (BASE + dt.timedelta(minutes=i)).isoformat() + "Z", "breached": c == "1"} for i, c in enumerate(pattern)]
-    for i in range(0, len(rows), 7):
-        feed.add(rows[i : i + 7])
-    got = collect(stateful.sustained_alert_stream(feed.stream(), 60, 300), tmp_path, "alerts")
-    batch = windows.sustained_alert(spark.read.schema("key string, at timestamp, breached boolean").json(str(feed.path)), ["key"], 60, 300)
-    want = sorted((r["key"], int(r["since"].timestamp()), int(r["fired_at"].timestamp())) for r in batch.collect())
-    assert len(want) == 1 and sorted(tuple(r) for r in got) == want
-
-
 def test_reconnect_stream(spark, tmp_path):
     gone, back = Feed(spark, tmp_path / "a", SCHEMA2), Feed(spark, tmp_path / "b", SCHEMA2)
     for feed, secs in ((gone, 10), (back, 40)):
