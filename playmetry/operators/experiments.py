@@ -351,5 +351,43 @@ def write_feature_version(
     return after, lineage
 
 
+def append_feature_versions(
+    new: DataFrame, log: DataFrame, source_table: str, source_filter: str, pipeline: str
+) -> tuple[DataFrame, DataFrame]:
+    """Rows to append to a log of feature versions, and their lineage rows; nothing stored is rewritten.
+
+    The log has the columns of the store and `entry`: `version`, a snapshot under its number,
+    or `demotion`, which says that a version is no longer current and holds its key, number
+    and id alone. Appended are the snapshots of `new` as next versions, numbered as by
+    `write_feature_version`, and one demotion for each current version of a touched entity,
+    so the rows written follow from the rows that are new. `feature_view` gives the store.
+    """
+    touched = new.select(*FEATURE_KEY).distinct()
+    mine = null_safe_join(log, touched, FEATURE_KEY, "left_semi")
+    state = mine.groupBy(*FEATURE_KEY, "feature_version").agg(
+        F.max("id").alias("id"), (F.bool_or("is_current") & ~F.bool_or(F.col("entry") == "demotion")).alias("is_current")
+    )
+    empty = log.drop("entry").limit(0)
+    numbered = empty.unionByName(state, allowMissingColumns=True)
+    after, lineage = write_feature_version(new, numbered, source_table, source_filter, pipeline)
+    base = state.groupBy(*FEATURE_KEY).agg(F.max("feature_version").alias("__base"))
+    added = null_safe_join(after, base, FEATURE_KEY, "left").where(F.col("feature_version") > F.coalesce("__base", F.lit(0)))
+    demoted = state.where("is_current").withColumn("is_current", F.lit(False)).withColumn("entry", F.lit("demotion"))
+    snapshots = added.drop("__base").withColumn("entry", F.lit("version"))
+    return log.limit(0).unionByName(snapshots).unionByName(demoted, allowMissingColumns=True).select(*log.columns), lineage
+
+
+def feature_view(log: DataFrame) -> DataFrame:
+    """The store that a log of versions and demotions stands for: each version once, current
+    unless it was demoted. A version appended twice by a retry counts once."""
+    rest = [c for c in log.columns if c not in (*FEATURE_KEY, "feature_version", "is_current", "entry")]
+    version = F.col("entry") == "version"
+    folded = log.groupBy(*FEATURE_KEY, "feature_version").agg(
+        F.max(F.when(version, F.struct(*rest))).alias("__row"),
+        (F.bool_or(version & F.col("is_current")) & ~F.bool_or(~version)).alias("is_current"),
+    )
+    return folded.where(F.col("__row").isNotNull()).select(*FEATURE_KEY, "feature_version", "is_current", "__row.*").select(*[c for c in log.columns if c != "entry"])
+
+
 def feature_lineage_of(lineage: DataFrame, wanted_id: str | Column) -> DataFrame:
     return lineage.where(F.col("feature_id") == wanted_id).orderBy("computed_at", "id")

@@ -30,14 +30,23 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playmetry.scale import null_safe_join, ordered_positions
+
 SKILL_LABELS = ["Expert", "Advanced", "Intermediate", "Casual", "Beginner"]
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_percent: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows. The side follows from a hash of key and label, so it is the
-    same in every run and on every retry, and near the share in each class."""
-    side = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(label).cast("string")), F.lit(100))
-    return df.where(side >= test_percent), df.where(side < test_percent)
+    """Train and test rows; each class gives exactly round(n * test_percent / 100) rows to the test.
+
+    Which ones follows from a hash of key and label, so every run and retry splits alike. Rows
+    are numbered per class and hash bucket, and only bucket counts are summed per class.
+    """
+    draw = F.xxhash64(F.col(key).cast("string"), F.col(label).cast("string"))
+    placed = ordered_positions(df, [label], F.shiftright(draw, 54), [draw, F.col(key)], "__place")
+    quota = df.groupBy(label).agg(F.round(F.count(F.lit(1)) * test_percent / 100).cast("long").alias("__quota"))
+    sided = null_safe_join(placed, quota, [label])
+    parts = (F.col("__place") > F.col("__quota"), F.col("__place") <= F.col("__quota"))
+    return tuple(sided.where(p).drop("__place", "__quota") for p in parts)
 
 
 def _quality(predictions: DataFrame, label: str, names: dict[str, str]) -> dict[str, float]:
@@ -195,7 +204,8 @@ def fit_difficulty_regressor(
 ):
     """Gradient-boosted trees; RMSE, MAE and R2 on the test part."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)  # folds and grid points read it again
-    train, test = stratified_split(kept, label, key)
+    # A number has no classes: all rows are one.
+    train, test = stratified_split(kept.withColumn("__all", F.lit(1)), "__all", key)
     model = Pipeline(
         stages=[
             VectorAssembler(inputCols=features, outputCol="vector"),

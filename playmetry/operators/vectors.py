@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,6 +148,125 @@ def _best_in_cell(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame
     return best
 
 
+# ---------------------------------------------------------------- large x large, by hashing
+
+#: Hash tables, buckets that a user looks into per table, items aimed at per bucket, rows of a cell side.
+TABLES, PROBES, PER_BUCKET, CELL_ROWS = 8, 4, 32, 4096
+
+
+def _hyperplanes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(dim, tables * bits))
+
+
+def bucketed(vectors: DataFrame, dim: int, tables: int, bits: int, probes: int = 1, seed: int = 7) -> DataFrame:
+    """(id, v, t, bucket): the bucket of every vector in each table, and of the `probes` - 1 most
+    likely neighbouring buckets.
+
+    A bucket is the signs of `bits` random projections. A neighbour differs where projections
+    are nearest to 0: sets of one or two flipped signs go by their sum of squares.
+    """
+    planes = _hyperplanes(dim, tables, bits, seed)
+    ones = [(i,) for i in range(bits)] + [(i, j) for i in range(bits) for j in range(i)]
+    flips = np.zeros((len(ones) + 1, bits))
+    for n, places in enumerate(ones):
+        flips[n + 1, list(places)] = 1
+    masks = (flips @ (2.0 ** np.arange(bits))).astype(np.int64)
+    probes = min(probes, len(masks))
+
+    def place(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+            norms = np.linalg.norm(v, axis=1, keepdims=True)
+            v = np.divide(v, norms, out=np.zeros_like(v), where=norms > 0)
+            for t in range(tables):
+                near = v @ planes[:, t * bits : (t + 1) * bits]
+                bucket = (near > 0) @ (2 ** np.arange(bits, dtype=np.int64))
+                cost = (near**2) @ flips.T
+                chosen = masks[np.argsort(cost, axis=1, kind="stable")[:, :probes]]
+                n = np.repeat(np.arange(batch.num_rows), probes)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.take(pa.array(n)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * dim), pa.array(v[n].ravel())),
+                        pa.array(np.full(len(n), t, np.int32)),
+                        pa.array((bucket[:, None] ^ chosen).ravel()),
+                    ],
+                    names=["id", "v", "t", "bucket"],
+                )
+
+    usable = F.size("embedding") == dim
+    rows = vectors.where(usable).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return rows.mapInArrow(place, "id long, v array<double>, t int, bucket long")
+
+
+def hash_shape(items: DataFrame, per_bucket: int = PER_BUCKET) -> tuple[int, int]:
+    """(components, bits): about `per_bucket` items fall into a bucket, with 20 bits at most."""
+    n, dim = items.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    return dim or 1, int(min(20, max(1, np.ceil(np.log2(max(n / per_bucket, 2))))))
+
+
+def pairs_looked_at(users: DataFrame, items: DataFrame, tables: int = TABLES, probes: int = PROBES, per_bucket: int = PER_BUCKET) -> DataFrame:
+    """One row: (user, item) pairs that meet in a bucket, repeats counted, and all pairs."""
+    dim, bits = hash_shape(items, per_bucket)
+    left, right = (bucketed(df, dim, tables, bits, p).groupBy("t", "bucket").agg(F.count(F.lit(1)).alias(n)) for df, p, n in ((users, probes, "u"), (items, 1, "i")))
+    whole = users.agg(F.count(F.lit(1))).scalar() * items.agg(F.count(F.lit(1))).scalar()
+    return left.join(right, ["t", "bucket"]).agg(F.sum(F.col("u") * F.col("i")).alias("looked_at"), F.max(whole).alias("all_pairs"))
+
+
+def items_for_users_hashed(
+    users: DataFrame, items: DataFrame, seen: DataFrame, k: int, tables: int = TABLES, probes: int = PROBES, per_bucket: int = PER_BUCKET, cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """Nearest `k` unseen items of every user among those that share a bucket with it, for many
+    users and many items: (user_id, item_id, score, rank as in `items_for_users`).
+
+    Random-projection buckets are the source of candidates (`bucketed`: items lie in one
+    bucket per table, users look into `probes`), and candidates are ranked by exact cosines.
+    A bucket is dealt into cells of about `cell_rows` users and items, so a bucket with many
+    equal vectors is many tasks; each cell multiplies two matrices and hands on k items per
+    user and as many more as the user has seen, from which the seen ones are taken out
+    before the cut. Recall is measured in the tests; `items_for_users` is the exact way.
+    """
+    dim, bits = hash_shape(items, per_bucket)
+    had = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("had"))
+    asking = users.join(had, users["id"] == had["user_id"], "left").select(users["id"], "embedding", F.coalesce("had", F.lit(0)).alias("had"))
+    offers, asks = bucketed(items, dim, tables, bits), bucketed(asking, dim, tables, bits, probes)
+    asks = asks.join(asking.select("id", "had"), "id")
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias(name))
+
+    # One row per bucket that both sides have: at most tables * 2^bits, and 20 bits at most.
+    shape = blocks(asks, "ubs").join(blocks(offers, "ibs"), ["t", "bucket"])
+
+    def dealt(df: DataFrame, own: str, other: str, n: str, all_of: str) -> DataFrame:
+        spread = df.join(shape, ["t", "bucket"]).withColumn(own, F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
+        return spread.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(all_of) - 1))).drop("ubs", "ibs")
+
+    cell = ["t", "bucket", "ub", "ib"]
+    left = dealt(asks, "ub", "ib", "ubs", "ibs").groupBy(*cell)
+    right = dealt(offers, "ib", "ub", "ibs", "ubs").groupBy(*cell)
+
+    def best(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(mine) and len(theirs):
+            theirs = theirs.sort_values("id")
+            ids, matrix = theirs["id"].to_numpy(), np.stack(theirs["v"].to_numpy()).T
+            users_, want = mine["id"].to_numpy(), k + mine["had"].to_numpy()
+            for a in range(0, len(users_), 256):
+                scores = np.round(np.stack(mine["v"].iloc[a : a + 256].to_numpy()) @ matrix, SCORE_DIGITS)
+                order = np.argsort(-scores, axis=1, kind="stable")
+                row, place = np.nonzero(np.arange(len(ids))[None, :] < want[a : a + 256, None])
+                col = order[row, place]
+                out.append((users_[a + row], ids[col], scores[row, col]))
+        return pd.DataFrame(dict(zip(("user_id", "item_id", "score"), map(np.concatenate, zip(*out)))))
+
+    found = left.cogroup(right).applyInPandas(best, "user_id long, item_id long, score double")
+    once = found.groupBy("user_id", "item_id").agg(F.max("score").alias("score"))
+    unseen = once.join(seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
+    return top_per_key(unseen, ["user_id"], [F.col("score").desc(), F.col("item_id").asc()], k)
+
+
 def hashed_words(dim: int):
     """Unit vector of the word counts of a text: a word (split at ASCII white space, lower case)
     falls into the bucket that the first four bytes of its MD5 give. Without words: zeros."""

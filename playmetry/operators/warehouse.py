@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playmetry.functions import vocab
 from playmetry.functions.ids import date_key, pseudonymise
 from playmetry.functions.scoring import lookup
+from playmetry.sources.stores import KeyedTable, append_counted
 from playmetry.sources.tables import insert_ignore, upsert_replace
 
 
 def load_dim_user(users: DataFrame, existing: DataFrame | None, key: bytes) -> DataFrame:
     """Pseudonymised users after the upsert."""
-    new = users.select(
+    new = dim_user_rows(users, key)
+    if existing is None:
+        existing = new.limit(0)
+    return upsert_replace(new, existing, ["user_hash"], _first_created())
+
+
+def dim_user_rows(users: DataFrame, key: bytes) -> DataFrame:
+    """Pseudonymised users as the dimension holds them, before the upsert."""
+    return users.select(
         pseudonymise(F.col("id"), key).alias("user_hash"),
         F.col("skill_cluster").alias("skill_segment"),
         date_key(F.col("created_at")).alias("created_date_key"),
         F.coalesce(F.col("is_active"), F.lit(True)).alias("is_active"),
     )
-    if existing is None:
-        existing = new.limit(0)
-    return upsert_replace(new, existing, ["user_hash"], [F.col("created_date_key").asc_nulls_last()])
+
+
+def _first_created() -> list[Column]:
+    return [F.col("created_date_key").asc_nulls_last()]
+
+
+def upsert_dim_user(users: DataFrame, table: KeyedTable, key: bytes) -> list[int]:
+    """The same upsert into a stored table; only the buckets of these users are rewritten."""
+    return table.upsert(dim_user_rows(users, key), _first_created())
 
 
 def load_dim_puzzle(
@@ -93,6 +110,21 @@ def load_fact_matches(
     return _load(fact_match_rows(matches, key), existing, "match_hash", "completed_at")
 
 
+def append_fact_sessions(
+    sessions: DataFrame, stored: DataFrame | None, key: bytes, write: Callable[[DataFrame], None]
+) -> dict[str, int]:
+    """Hands the session rows to append to `write`, which has to run them, and returns the counts
+    that this run observed: one scan of the sessions."""
+    return append_counted(fact_session_rows(sessions, key), stored, "session_hash", "date_key", "started_at", write)
+
+
+def append_fact_matches(
+    matches: DataFrame, stored: DataFrame | None, key: bytes, write: Callable[[DataFrame], None]
+) -> dict[str, int]:
+    """The same for matches."""
+    return append_counted(fact_match_rows(matches, key), stored, "match_hash", "date_key", "completed_at", write)
+
+
 def _load(rows, existing, key_col, ts_col) -> tuple[DataFrame, DataFrame]:
     dated = rows.where(F.col("date_key").isNotNull())
     if existing is None:

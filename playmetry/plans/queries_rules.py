@@ -610,6 +610,25 @@ register(
     f"""SELECT {_FEATURE_ID} AS id, entity_id, feature_group, CAST(feature_version AS INTEGER) AS feature_version, is_current, computed_at
         FROM feature_rows""",
 )(lambda spark, d: _versions(spark, d)[0].select("id", "entity_id", "feature_group", "feature_version", "is_current", "computed_at"))
+
+
+def _version_log(spark, d):
+    """The log after both halves of January were appended."""
+    snaps = b.feature_snapshots(spark, d)
+    first, second = snaps.where("computed_at < '2024-01-16'"), snaps.where("computed_at >= '2024-01-16'")
+    log = first.limit(0).select(
+        F.lit("").alias("id"), "entity_id", "entity_type", "feature_group", F.lit(0).alias("feature_version"), "features",
+        F.lit(True).alias("is_current"), F.lit("").alias("pipeline_name"), "computed_at", F.lit("").alias("entry"),
+    )
+    log = log.unionByName(ex.append_feature_versions(first, log, "events", "first half", "daily")[0])
+    return log.unionByName(ex.append_feature_versions(second, log, "events", "second half", "daily")[0])
+
+
+register(
+    "feature_view",
+    f"""SELECT {_FEATURE_ID} AS id, entity_id, feature_group, CAST(feature_version AS INTEGER) AS feature_version, is_current, computed_at
+        FROM feature_rows""",
+)(lambda spark, d: ex.feature_view(_version_log(spark, d)).select("id", "entity_id", "feature_group", "feature_version", "is_current", "computed_at"))
 LINEAGE_SQL = f"""
     SELECT {_FEATURE_ID} AS feature_id, 'events' AS source_table, 'second half' AS source_filter, row_count, computed_at
     FROM feature_rows WHERE computed_at >= TIMESTAMP '2024-01-16'"""

@@ -23,8 +23,9 @@ def error_rate(
     df: DataFrame, win: str = "5 minutes", slide: str = "1 minute", by: Sequence[str] = (), ts: str = "ts"
 ) -> DataFrame:
     """Failed share of requests in a sliding window: columns `failed` (boolean) and `ts`."""
-    grouped = df.groupBy(F.window(ts, win, slide).alias("w"), *by)
-    counted = grouped.agg(_n().alias("requests"), F.count_if("failed").alias("errors"))
+    # Each request counts once, in its pane; a window adds up panes.
+    panes = df.groupBy(F.window(ts, slide).alias("p"), *by).agg(_n().alias("requests"), F.count_if("failed").alias("errors"))
+    counted = panes.groupBy(F.window("p", win, slide).alias("w"), *by).agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors"))
     return counted.select(
         F.col("w.start").alias("window_start"),
         F.col("w.end").alias("window_end"),
@@ -35,28 +36,38 @@ def error_rate(
     )
 
 
+#: Size of a pane's sketch: quantiles are off by at most this share of the ranks, with odds of 99 %.
+SKETCH_K, SKETCH_ERROR = 1600, 0.0025
+
+
 def latency_quantiles(
-    df: DataFrame,
-    win: str = "5 minutes",
-    slide: str = "1 minute",
-    by: Sequence[str] = ("service",),
-    accuracy: int = 10_000,
+    df: DataFrame, win: str = "5 minutes", slide: str = "1 minute", by: Sequence[str] = ("service",), k: int = SKETCH_K
 ) -> DataFrame:
     """p50, p95 and p99 in a sliding window: values of rank ceil(p * n).
 
-    In batch they are exact at every size. A stream has to bound its state and takes them
-    from a sketch, off by at most 1 / `accuracy` of the ranks.
+    In batch they are exact at every size. A stream has to bound its state: it keeps one
+    sketch per pane of `slide` and merges finished panes into windows, off by at most
+    SKETCH_ERROR of the ranks. A request goes into one sketch, however many windows overlap.
     """
     if not df.isStreaming:
         return _exact_latency(df, win, slide, by)
-    grouped = df.groupBy(F.window("ts", win, slide).alias("w"), *by)
-    sketch = F.percentile_approx("latency_ms", [0.5, 0.95, 0.99], accuracy)
-    return grouped.agg(sketch.alias("q"), _n().alias("requests")).select(
-        F.col("w.end").alias("window_end"),
-        *by,
-        "requests",
-        *[F.col("q")[i].alias(name) for i, name in enumerate(("p50", "p95", "p99"))],
+    return latency_of_panes(latency_panes(df, slide, by, k), win, slide, by, k)
+
+
+def latency_panes(df: DataFrame, slide: str = "1 minute", by: Sequence[str] = ("service",), k: int = SKETCH_K) -> DataFrame:
+    """One mergeable sketch of the latencies per pane: p (the pane), keys, sketch, requests."""
+    grouped = df.groupBy(F.window("ts", slide).alias("p"), *by)
+    return grouped.agg(F.kll_sketch_agg_double("latency_ms", F.lit(k)).alias("sketch"), _n().alias("requests"))
+
+
+def latency_of_panes(panes: DataFrame, win: str = "5 minutes", slide: str = "1 minute", by: Sequence[str] = ("service",), k: int = SKETCH_K) -> DataFrame:
+    """Quantiles of sliding windows from the sketches of their panes, of a stream or a stored table."""
+    merged = panes.groupBy(F.window("p", win, slide).alias("w"), *by).agg(
+        F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"), F.sum("requests").alias("requests")
     )
+    some = F.kll_sketch_get_n_double("sketch") > 0  # a window may hold requests without a latency alone
+    at = lambda p: F.when(some, F.kll_sketch_get_quantile_double("sketch", F.lit(p)))
+    return merged.select(F.col("w.end").alias("window_end"), *by, "requests", at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 def _exact_latency(df: DataFrame, win: str, slide: str, by: Sequence[str]) -> DataFrame:

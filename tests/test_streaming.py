@@ -5,6 +5,7 @@ import json
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,8 +140,30 @@ def test_windows_equal_batch(spark, feed, tmp_path, name):
 
 
 def test_latency_stream(spark, feed, tmp_path):
-    got = collect(windows.latency_quantiles(feed.stream().withWatermark("ts", "10 minutes")), tmp_path, "latency")
-    assert got and all(r["p50"] <= r["p95"] <= r["p99"] for r in got)
+    """Sketched quantiles lie within the stated error of the ranks; requests are exact."""
+    got = {(r.window_end, r.service): r for r in collect(windows.latency_quantiles(feed.stream().withWatermark("ts", "10 minutes"), "10 days", "1 day"), tmp_path, "latency")}
+    log = spark.read.schema(SCHEMA).json(str(feed.path))
+    want = finished(windows.latency_quantiles(log, "10 days", "1 day"), "window_end").collect()
+    assert want and {(r.window_end, r.service) for r in want} <= set(got)
+    for r in want:
+        values = sorted(v[0] for v in log.where((F.col("service") == r.service) & (F.col("ts") < r.window_end) & (F.col("ts") >= r.window_end - dt.timedelta(days=10))).select("latency_ms").collect())
+        mine = got[(r.window_end, r.service)]
+        assert mine.requests == r.requests == len(values)
+        for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+            assert abs(values.index(mine[name]) + 1 - p * len(values)) <= 1 + windows.SKETCH_ERROR * len(values)
+
+
+def test_sketch_error_on_many_rows(spark):
+    log = spark.range(200_000).selectExpr("timestamp_seconds(1767225600 + id % 3600) ts", "'a' service", "cast(pmod(xxhash64(id), 1000003) as double) latency_ms")
+    exact = {r.window_end: r for r in windows.latency_quantiles(log).collect()}
+    panes = windows.latency_panes(log)
+    assert panes.count() == 60  # one sketch a minute, where windows overlap five times
+    values = sorted(r[0] for r in log.select("latency_ms").collect())
+    for r in windows.latency_of_panes(panes).collect():
+        assert r.requests == exact[r.window_end].requests
+        for name in ("p50", "p95", "p99"):
+            apart = np.searchsorted(values, r[name]) - np.searchsorted(values, exact[r.window_end][name])
+            assert abs(apart) <= 0.01 * len(values)
 
 
 def test_dau_stream(spark, feed, tmp_path):
