@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from playmetry.llm.common import mix64, run_hashes, split_words, word_hashes
 
@@ -128,69 +129,129 @@ class Field:
         return labels
 
 
-def fit_field(texts: list[np.ndarray], labels: list[np.ndarray], rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> Field:
-    """Maximum likelihood by gradient ascent; runs of lines are padded to one length and go together."""
-    k = len(FEATURES)
-    field = Field(np.zeros((k, 2)), np.zeros((2, 2)))
-    if not texts:
-        return field
-    longest = max(map(len, texts))
-    x = np.zeros((len(texts), longest, k))
-    y = np.zeros((len(texts), longest), np.int64)
-    there = np.zeros((len(texts), longest), bool)
-    for i, (f, l) in enumerate(zip(texts, labels)):
-        x[i, : len(f)], y[i, : len(f)], there[i, : len(f)] = f, l, True
+#: Lines of a training chain; longer texts are several chains, and every line is in one.
+CHAIN = 256
+
+
+def _chains(texts: list[np.ndarray], labels: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, labels, present) of all lines, chains of like length padded to one length."""
+    cut = [(f[a : a + CHAIN], l[a : a + CHAIN]) for f, l in zip(texts, labels) for a in range(0, len(f), CHAIN)]
+    out = []
+    for low, high in ((0, 8), (8, 32), (32, CHAIN)):
+        mine = [(f, l) for f, l in cut if low < len(f) <= high]
+        if mine:
+            shape = (len(mine), max(len(f) for f, _ in mine))
+            x, y, there = np.zeros((*shape, texts[0].shape[1])), np.zeros(shape, np.int64), np.zeros(shape, bool)
+            for i, (f, l) in enumerate(mine):
+                x[i, : len(f)], y[i, : len(f)], there[i, : len(f)] = f, l, True
+            out.append((x, y, there))
+    return out
+
+
+def likelihood(field: Field, x: np.ndarray, y: np.ndarray, there: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood of labelled chains and its gradient by emission and transition (forward-backward)."""
     truth = np.eye(2)[y] * there[:, :, None]
-    seen_e = np.einsum("ntk,ntl->kl", x, truth)
+    e = x @ field.emission
+    a, z = np.zeros_like(e), np.zeros_like(e)
+    a[:, 0] = e[:, 0]
+    for t in range(1, x.shape[1]):
+        step = np.logaddexp.reduce(a[:, t - 1, :, None] + field.transition[None], axis=1) + e[:, t]
+        a[:, t] = np.where(there[:, t, None], step, a[:, t - 1])
+    for t in range(x.shape[1] - 2, -1, -1):
+        step = np.logaddexp.reduce(field.transition[None] + (e[:, t + 1] + z[:, t + 1])[:, None, :], axis=2)
+        z[:, t] = np.where(there[:, t + 1, None], step, 0.0)
+    whole = np.logaddexp.reduce(a[:, -1], axis=1)
+    chance = np.exp(a + z - whole[:, None, None]) * there[:, :, None]
+    pair = np.exp(a[:, :-1, :, None] + field.transition + (e + z)[:, 1:, None, :] - whole[:, None, None, None]) * there[:, 1:, None, None]
     seen_t = np.einsum("nta,ntb->ab", truth[:, :-1], truth[:, 1:])
-    total = there.sum()
+    value = float((e * truth).sum() + (seen_t * field.transition).sum() - whole.sum())
+    return value, np.einsum("ntk,ntl->kl", x, truth - chance), seen_t - pair.sum((0, 1))
+
+
+def fit_field(texts: list[np.ndarray], labels: list[np.ndarray], rounds: int = 150, rate: float = 0.5, decay: float = 1e-3, start: Field | None = None, steps: bool = True) -> Field:
+    """Maximum likelihood by gradient ascent from `start`; without `steps` the transitions stay as they are."""
+    k = len(FEATURES)
+    field = start or Field(np.zeros((k, 2)), np.zeros((2, 2)))
+    groups = _chains(texts, labels) if texts else []
+    total = sum(int(there.sum()) for _, _, there in groups)
     speed_e, speed_t = np.zeros_like(field.emission), np.zeros_like(field.transition)
-    for _ in range(rounds):
-        e = x @ field.emission
-        a, z = np.zeros_like(e), np.zeros_like(e)
-        a[:, 0] = e[:, 0]
-        for t in range(1, longest):
-            step = np.logaddexp.reduce(a[:, t - 1, :, None] + field.transition[None], axis=1) + e[:, t]
-            a[:, t] = np.where(there[:, t, None], step, a[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            step = np.logaddexp.reduce(field.transition[None] + (e[:, t + 1] + z[:, t + 1])[:, None, :], axis=2)
-            z[:, t] = np.where(there[:, t + 1, None], step, 0.0)
-        whole = np.logaddexp.reduce(a[:, -1], axis=1)[:, None, None]
-        chance = np.exp(a + z - whole) * there[:, :, None]
-        pair = np.exp(a[:, :-1, :, None] + field.transition + (e + z)[:, 1:, None, :] - whole[..., None]) * there[:, 1:, None, None]
-        grad_e = (seen_e - np.einsum("ntk,ntl->kl", x, chance)) / total - decay * field.emission
-        grad_t = (seen_t - pair.sum((0, 1))) / total - decay * field.transition
-        speed_e, speed_t = 0.9 * speed_e + rate * grad_e, 0.9 * speed_t + rate * grad_t
+    for _ in range(rounds if total else 0):
+        grads = [likelihood(field, *g)[1:] for g in groups]
+        grad_e = sum(g for g, _ in grads) / total - decay * field.emission
+        grad_t = sum(g for _, g in grads) / total - decay * field.transition
+        speed_e, speed_t = 0.9 * speed_e + rate * grad_e, 0.9 * speed_t + rate * grad_t * steps
         field = Field(field.emission + speed_e, field.transition + speed_t)
     return field
 
 
-def learn_lines(docs: DataFrame, labels: DataFrame, sample: int = 3000, lines: int = 100, key: str = "doc_id", text: str = "text", good: str = "quality") -> Field:
+def constrained_labels(field: Field, features: np.ndarray, words: np.ndarray, kind: int) -> np.ndarray:
+    """The likeliest labels of a text's lines of which at least half the words lie in lines of `kind`.
+
+    If the likeliest labels break that, all lines lean towards `kind` by the least amount that mends it.
+    """
+    half = words.sum() / 2
+
+    def lean(much: float) -> np.ndarray:
+        tilted = Field(np.vstack([field.emission, much * np.eye(2)[kind]]), field.transition)
+        return tilted.viterbi(np.hstack([features, np.ones((len(features), 1))]))
+
+    enough = lambda labels: words[labels == kind].sum() >= half
+    labels = lean(0.0)
+    if enough(labels):
+        return labels
+    low, high = 0.0, 1.0
+    while not enough(lean(high)):
+        low, high = high, 2 * high
+    for _ in range(12):
+        middle = (low + high) / 2
+        low, high = (low, middle) if enough(lean(middle)) else (middle, high)
+    return lean(high)
+
+
+def field_of_texts(texts: list[np.ndarray], words: list[np.ndarray], good: list[int], turns: int = 4) -> Field:
+    """A field learned from labels of whole texts, as bounds on their lines and not as copies.
+
+    A text labelled 1 has at least half its words in content lines, one labelled 0 at least
+    half in boilerplate. Lines are told apart one by one first (no steps between labels); then
+    the likeliest line labels within the bounds and the fit take turns, so a clean line of a
+    junk text may become content, and steps from label to label are learned from such texts.
+    """
+    kinds = [CONTENT if g else BOILERPLATE for g in good]
+    field = fit_field(texts, [np.full(len(f), k) for f, k in zip(texts, kinds)], rounds=80, steps=False)
+    for _ in range(turns):
+        labels = [constrained_labels(field, f, w, k) for f, w, k in zip(texts, words, kinds)]
+        field = fit_field(texts, labels, rounds=40, start=field)
+    return field
+
+
+def learn_lines(docs: DataFrame, labels: DataFrame, sample: int = 3000, key: str = "doc_id", text: str = "text", good: str = "quality") -> Field:
     """The field, fitted on a bounded sample of labelled texts.
 
-    `sample` rows of `labels` with the least hash of their key are taken, and of each text the
-    features of at most `lines` lines; so at most sample * lines * len(FEATURES) numbers reach
-    the driver. Lines of a text labelled 0 are boilerplate, of one labelled 1 content. With no
-    labels all lines are content.
+    `sample` keys of `labels` with the least hash are taken (of repeated ones the least label)
+    and all lines of one text each, the one of least hash where a key repeats; so the features
+    of `sample` texts reach the driver, one byte each. With no labels all lines are content.
     """
     chosen = (
         labels.where(F.col(key).isNotNull() & F.col(good).isNotNull())
         .groupBy(F.col(key).alias("__key")).agg(F.min(good).cast("int").alias("__good"))
         .orderBy(F.xxhash64("__key"), "__key").limit(sample)
     )
-    texts = docs.join(F.broadcast(chosen), F.col(key) == F.col("__key")).where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col("__key").alias("k"), F.col("__good").alias("good"))
+    texts = docs.join(F.broadcast(chosen), F.col(key) == F.col("__key")).where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col("__key").cast("long").alias("k"), F.col("__good").alias("good"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = character_kinds()
         for batch in batches:
-            rows = [(k, g, look_at(t, kinds).features[:lines].astype(np.uint8).tobytes()) for t, k, g in zip(*[c.to_pylist() for c in batch.columns])]
-            cols = list(zip(*rows)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()))], names=["k", "good", "features"])
-
-    rows = texts.withColumn("k", F.col("k").cast("long")).mapInArrow(run, "k long, good int, features binary").limit(2 * sample).collect()
-    rows = sorted(((r.k, r.good, bytes(r.features)) for r in rows if r.features))
-    found = [np.frombuffer(f, np.uint8).reshape(-1, len(FEATURES)).astype(float) for _, _, f in rows]
-    return fit_field(found, [np.full(len(f), CONTENT if g else BOILERPLATE) for f, (_, g, _) in zip(found, rows)])
+            rows = []
+            for t, k, g in zip(*[c.to_pylist() for c in batch.columns]):
+                seen = look_at(t, kinds)
+                rows.append((k, g, xxh3_64_intdigest(t.encode("utf-8", "replace")) >> 1, seen.line_words.astype(np.int64).tobytes(), seen.features.astype(np.uint8).tobytes()))
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["k", "good", "h", "words", "features"])
+
+    one = texts.mapInArrow(run, "k long, good int, h long, words binary, features binary").groupBy("k").agg(F.min(F.struct("h", "good", "words", "features")).alias("t"))
+    rows = sorted((r.k, r.t.good, bytes(r.t.words), bytes(r.t.features)) for r in one.collect() if r.t.words)  # at most `sample` rows
+    found = [np.frombuffer(f, np.uint8).reshape(-1, len(FEATURES)).astype(float) for *_, f in rows]
+    return field_of_texts(found, [np.frombuffer(w, np.int64) for _, _, w, _ in rows], [g for _, g, _, _ in rows])
 
 
 def repeated_words(hashes: np.ndarray, window: int = 8) -> int:
