@@ -290,13 +290,19 @@ def holds(root: Node, tags: tuple[str, ...], but: Node | None = None) -> bool:
 
 
 def densest(root: Node) -> Node:
-    """The node with the largest sum of densities.
+    """The node with the largest sum of densities, or the only article or main element that it holds.
 
     If the longest article or main element is in a marked part, it is tried without the
     marks around it; these go if it holds the densest text then. What readers wrote and
     links to related pages are no such articles.
     """
-    pick = lambda: max(weigh(root), key=lambda n: n.total)
+    def pick() -> Node:
+        best = max(weigh(root), key=lambda n: n.total)
+        if within_article(best):
+            return best
+        held = [n for n in inside(best) if n.tag in ("article", "main") and n.total and not within_article(n.parent)]
+        return held[0] if len(held) == 1 else best
+
     found, marked, around = None, {}, []
     for node in measure(root, (BY_TAG, BY_READERS)):
         marked[node] = marked.get(node.parent, [])
@@ -342,12 +348,30 @@ def inside(root: Node) -> list[Node]:
     return out
 
 
+def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, body_ratio: float) -> float:
+    """Characters per tag, adjusted by links: chars / tags times the logarithm of
+    (chars / link_chars) * (tags / link_tags) to the base
+    ln(chars / plain_chars * link_chars + body_ratio * chars + e).
+
+    `body_ratio` is the share of link characters in the whole body. Counts of zero are taken
+    as 1, for every node alike, so a single short link leaves a density nearly as it was. A
+    node whose text lies in links as densely as its tags do has density 0.
+    """
+    if not chars:
+        return 0.0
+    plain = max(chars - link_chars, 1)
+    tags, link_chars, link_tags = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(chars / plain * link_chars + body_ratio * chars + math.e)
+    return chars / tags * max(math.log(chars / link_chars * tags / link_tags), 0.0) / math.log(base)
+
+
 def weigh(root: Node) -> list[Node]:
-    """Composite density of every node, and the sum over its children."""
+    """Composite density of every node, and the sum over its children; a block that holds no
+    other block counts as one child."""
     nodes = inside(root)
     for node in nodes:
         node.chars = node.link_chars = node.link_tags = 0
-        node.tags, node.density, node.total = node.voids, 0.0, 0.0
+        node.tags, node.total = node.voids, 0.0
     for node in reversed(nodes):
         for p in node.parts:
             if isinstance(p, str):
@@ -359,21 +383,16 @@ def weigh(root: Node) -> list[Node]:
                 node.link_tags += p.link_tags + (p.tag == "a")
         if node.tag == "a":
             node.link_chars = node.chars
-    body_ratio = root.link_chars / root.chars if root.chars else 0.0
+    body_ratio = max(root.link_chars, 1) / max(root.chars, 1)
     for node in nodes:
-        if not node.chars:
-            continue
-        tags, plain = max(node.tags, 1), max(node.chars - node.link_chars, 1)
-        density = node.chars / tags
-        if node.link_chars:
-            base = math.log(node.chars / plain * node.link_chars + body_ratio * node.chars + math.e)
-            odds = max(node.chars / node.link_chars * tags / max(node.link_tags, 1), 1.0)
-            density *= math.log(odds) / base
-        node.density = density
+        node.density = composite_density(node.chars, node.tags, node.link_chars, node.link_tags, body_ratio)
     for node in nodes:
-        node.total = sum(p.density for p in node.parts if not isinstance(p, str) and not p.outside)
-        if not node.total and any(isinstance(p, str) and p.strip() for p in node.parts):
-            node.total = node.density
+        children = [p for p in node.parts if not isinstance(p, str) and not p.outside]
+        # Formatting inside a block is no part of its own: such a block counts as one.
+        if all(p.tag in INLINE for p in children):
+            node.total = 0.0 if node.tag in INLINE else node.density
+        else:
+            node.total = sum(p.density for p in children)
     return nodes
 
 
@@ -421,7 +440,9 @@ def main_text(page: str | None) -> str:
     root = parse(page)
     judge(root)
     best = densest(root)
-    if not best.total:
+    if not best.total and root.chars > root.link_chars:
+        best = root  # too short for any density
+    elif not best.total:
         return ""
     path, up = [], best
     while up is not None:
