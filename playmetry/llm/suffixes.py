@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
+from zstandard import compress, decompress
 
 from playmetry.llm.common import GOLDEN, join_hot, mix64, settle
 
@@ -20,11 +21,11 @@ GRAM, CROWD = 16, 1 << 16
 #: Bytes of text in a run: grows with the root of the input between these bounds.
 RUN_LEAST, RUN_MOST = 8 << 20, 64 << 20
 #: Bytes of text for each range of the anchor exchange and of the suffix exchange.
-ANCHOR_RANGE, SUFFIX_RANGE = 64 << 20, 32 << 20
+ANCHOR_RANGE, SUFFIX_RANGE = 32 << 20, 8 << 20
 #: Texts (about) and strings of each that choose where ranges begin; they decide balance, not results.
 SAMPLE_TEXTS, SAMPLE_STRINGS = 1000, 32
-#: Windows that are hashed at once.
-BLOCK = 1 << 20
+#: Windows that are hashed at once, and strings whose answers are.
+BLOCK, ANSWERS = 1 << 18, 1 << 15
 
 
 # ---------------------------------------------------------------- anchors
@@ -283,7 +284,7 @@ def first_holders(strings: list[bytes], lcp: np.ndarray, right: np.ndarray, leas
 # ---------------------------------------------------------------- steps between shuffles
 
 _REPLY = "run int, kind int, a binary, b binary, c binary, d binary"
-_EXCHANGE = "range int, run int, base int, shared binary, sizes binary, tails binary, rights binary, least binary, most binary"
+_EXCHANGE = "range int, run int, base int, shared binary, sizes binary, tails binary, rights binary, least binary, spread binary"
 
 
 def _table(columns: dict[str, tuple[list, pa.DataType]]) -> pa.Table:
@@ -386,7 +387,10 @@ def _suffix_blocks(length: int, gram: int, splitters: list[bytes]) -> Callable[[
             for r, (a, b) in enumerate(zip(bounds, bounds[1:])):
                 if a < b:
                     shared, sizes, tails = front_coded(found.strings[a:b])
-                    row = (r, texts.column("run")[0].as_py(), a, shared.tobytes(), sizes.tobytes(), tails, found.right[a:b].astype(np.uint16).tobytes(), least[a:b].tobytes(), most[a:b].tobytes())
+                    row = (
+                        r, texts.column("run")[0].as_py(), a, shared.tobytes(), sizes.tobytes(), compress(tails), found.right[a:b].astype(np.uint16).tobytes(),
+                        compress(least[a:b].tobytes()), compress((most - least)[a:b].tobytes()),
+                    )
                     for c, v in zip(out, row):
                         out[c].append(v)
         return _table({c: (v, pa.int32() if c in ("range", "run", "base") else pa.binary()) for c, v in out.items()})
@@ -400,7 +404,7 @@ def _first_ids(length: int, gram: int) -> Callable[[pa.Table], pa.Table]:
     def step(table: pa.Table) -> pa.Table:
         rows = table.sort_by([("run", "ascending"), ("base", "ascending")])
         shared, sizes, rights = ([np.frombuffer(x, np.uint16) for x in rows.column(c).to_pylist()] for c in ("shared", "sizes", "rights"))
-        streams = [decoded(n, z, t) for n, z, t in zip(shared, sizes, rows.column("tails").to_pylist())]
+        streams = [decoded(n, z, decompress(t)) for n, z, t in zip(shared, sizes, rows.column("tails").to_pylist())]
         lcp, block, strings = [], [], []
         for n, b, s in merge(streams):
             lcp.append(n)
@@ -413,16 +417,17 @@ def _first_ids(length: int, gram: int) -> Callable[[pa.Table], pa.Table]:
         counts = [len(n) for n in shared]
         inside[order] = np.concatenate([np.arange(n) for n in counts])
         where = np.concatenate([[0], np.cumsum(counts)])[block] + inside
-        right, least, most = (np.concatenate(x)[where] for x in (rights, *([np.frombuffer(x, np.int64) for x in rows.column(c).to_pylist()] for c in ("least", "most"))))
-        right = right.astype(np.int64)
+        right = np.concatenate(rights)[where].astype(np.int64)
+        least, spread = (np.concatenate([np.frombuffer(decompress(x), np.int64) for x in rows.column(c).to_pylist()])[where] for c in ("least", "spread"))
+        most = least + spread
         context, first = first_holders(strings, np.array(lcp, np.int64), right, least, length, gram)
         size = np.array([len(s) for s in strings], np.int64)
         # Windows of a string: from the last one's offset to the first one's; a lone window is offset 0.
         low, high = np.where(right > 0, length - right, 0), np.where(right > 0, size - 1 - right, 0)
         offsets = np.arange(first.shape[1])
         parts = []
-        for a in range(0, len(strings), BLOCK // 16):
-            z = slice(a, a + BLOCK // 16)
+        for a in range(0, len(strings), ANSWERS):
+            z = slice(a, a + ANSWERS)
             f = first[context[z]]
             gone = (f < most[z, None]) & (offsets >= low[z, None]) & (offsets <= high[z, None])
             alike = np.zeros_like(gone)
