@@ -471,18 +471,21 @@ def _cut_texts(length: int, gram: int) -> Callable[[pa.Table, pa.Table], pa.Tabl
             times = (found.begins[1:] - found.begins[:-1])[entry]
             holder = np.repeat(found.begins[entry] - (np.cumsum(times) - times), times) + np.arange(times.sum())
             later = run.ids[found.text[holder]] > np.repeat(first, times)
-            at = found.at[holder[later]]
-            marks = np.zeros(len(run.data) + 1, np.int32)
-            np.add.at(marks, at - np.repeat(hi, times)[later], 1)
-            np.add.at(marks, at - np.repeat(lo, times)[later] + length, -1)
-            gone = np.cumsum(marks[:-1]) > 0
-            for k in np.unique(found.text[holder[later]]).tolist():
+            at, text = found.at[holder[later]], found.text[holder[later]]
+            begin, end = at - np.repeat(hi, times)[later], at - np.repeat(lo, times)[later] + length
+            order = np.argsort(text, kind="stable")
+            opens = np.flatnonzero(np.concatenate([[True], text[order][1:] != text[order][:-1]])[: len(text)])
+            for k, mine in zip(text[order][opens].tolist(), np.split(order, opens[1:])):
                 whole = run.text(k)
-                mine = gone[run.ends[k] - len(whole) : run.ends[k]]
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
+                marks = np.zeros(len(whole) + 1, np.int32)
+                low = run.ends[k] - len(whole)
+                np.add.at(marks, begin[mine] - low, 1)
+                np.add.at(marks, end[mine] - low, -1)
+                gone = np.cumsum(marks[:-1], dtype=np.int32) > 0
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 spans = list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist()))
-                kept = np.frombuffer(whole, np.uint8)[~mine].tobytes()
-                out.append((int(run.ids[k]), hashlib.sha256(whole).hexdigest(), int(mine.sum()), [{"first": a, "last": b} for a, b in spans], kept, hashlib.sha256(kept).hexdigest()))
+                kept = np.frombuffer(whole, np.uint8)[~gone].tobytes()
+                out.append((int(run.ids[k]), hashlib.sha256(whole).hexdigest(), int(gone.sum()), [{"first": a, "last": b} for a, b in spans], kept, hashlib.sha256(kept).hexdigest()))
         cols = list(zip(*out)) or [()] * 6
         span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         kinds = (pa.int64(), pa.string(), pa.int64(), span, pa.binary(), pa.string())
