@@ -12,8 +12,8 @@ from xxhash import xxh3_64_intdigest
 
 #: Words of every operator: runs of characters other than the six ASCII white spaces.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Rows in one Arrow batch; a worker holds one batch of whole texts at a time.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch; a worker holds one batch of whole texts at a time (one text, if it is longer).
+BATCH_ROWS, BATCH_BYTES = 512, 64 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,12 +42,21 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def prepared(spark: SparkSession) -> SparkSession:
     """Session settings of these operators: bounded Arrow batches, time zone, adaptive plans."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark
 
 
+def unused(name: str, columns: Sequence[str]) -> str:
+    """A name that none of `columns` has, whatever its case: `name` with underscores as needed."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def split_words(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8 bytes; `bytes.split` cuts at exactly the six ASCII white spaces."""
     return text.encode("utf-8", "replace").split() if text else []

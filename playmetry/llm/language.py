@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playmetry.llm.common import GOLDEN, mix64
+from playmetry.llm.common import GOLDEN, mix64, unused
 
 #: Components of a vector and letters of an n-gram.
 WIDTH, LETTERS = 1024, 3
@@ -172,8 +172,9 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
 
     judge = F.pandas_udf(run, "lang_pred string, score double")
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    judged = docs.select(*others, judge(F.col(text)).alias("__judged"))
-    return judged.select(*others, F.col("__judged.lang_pred").alias("lang_pred"), F.col("__judged.score").alias("score"))
+    inner = unused("judged", others)
+    judged = docs.select(*others, judge(F.col(text)).alias(inner))
+    return judged.select(*others, F.col(inner)["lang_pred"].alias("lang_pred"), F.col(inner)["score"].alias("score"))
 
 
 def held_out(key: str = "doc_id"):

@@ -211,6 +211,6 @@ def near_copies(
     return join_hot(looked.drop("bands"), of_set, ["same"], "left").select(
         F.col("id").alias(key),
         "n_shingles",
-        F.coalesce("component", "id").alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
     )

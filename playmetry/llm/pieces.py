@@ -15,15 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from playmetry.llm.common import mix64
+from playmetry.llm.common import mix64, unused
 
 #: Place of the vocabulary file on the driver; executors get its pieces with the task.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Runs without a space or line break longer than this are not kept as lattices: forward sums
 #: are carried from block to block of this length, and edges are found again block by block.
 RUN = 1 << 16
-#: Lattice nodes that a task keeps for words it has seen, before it starts anew.
-KEPT_NODES = 1 << 22
+#: Lattice edges that a task keeps for words it has seen, before it starts anew; nodes are fewer.
+KEPT_EDGES = 1 << 22
 
 
 @dataclass
@@ -133,7 +133,7 @@ class Lattices:
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """A number for every word; lattices of new words are added."""
-        if len(self.first) > KEPT_NODES:
+        if len(self.piece) > KEPT_EDGES:
             self.forget()
         before = len(self.known)
         which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
@@ -205,7 +205,7 @@ class Lattices:
         for a in range((n - 1) // RUN * RUN, -1, -RUN):
             origin, to, piece, weight = self._block(codes, a, min(n, a + RUN))
             share = np.exp(forward[origin] + weight - forward[to])
-            order = np.lexsort((-share, to))
+            order = np.lexsort((piece, -share, to))
             origins, pieces, shares = origin[order].tolist(), piece[order].tolist(), share[order].tolist()
             first = np.searchsorted(to, np.arange(a + 1, min(n, a + RUN) + 2)).tolist()
             keys = (np.arange(step, step + min(n, a + RUN) - a, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + seed
@@ -244,11 +244,14 @@ class Lattices:
             sizes = np.diff(np.append(first, b - a))
             forward[target[a:b][first]] = top + np.log(np.add.reduceat(np.exp(sums - np.repeat(top, sizes)), first))
         share = np.exp(forward[origin] + weight - forward[to])
-        order = np.argsort(to + (1.0 - np.minimum(share, 1.0)) * 0.999)  # by node, the likeliest first
+        order = np.lexsort((piece, -share, to))  # by node, the likeliest first, whatever else is added
         origin, to, piece, share = origin[order], to[order], piece[order], share[order]
         first = np.searchsorted(to, np.arange(total))
-        running = np.cumsum(share)
-        chance = running - (running - share)[first[to]]
+        # Sums begin anew at each node, so a word's chances are the same in any company.
+        chance, place = share.copy(), np.arange(len(to)) - first[to]
+        for k in range(1, int(place.max()) + 1):
+            at = np.flatnonzero(place == k)
+            chance[at] += chance[at - 1]
         chance[np.append(first[1:], len(to))[to] - 1 == np.arange(len(to))] = 2.0  # the last edge takes the rest
         nodes, edges = len(self.first), len(self.piece)
         for name, more in (("base", begin + nodes), ("length", lengths), ("first", first + edges), ("chance", chance), ("origin", origin + nodes), ("piece", piece)):
@@ -361,14 +364,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, seed: int = 1, key: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(vocabulary)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
-            lists = id_lists(lattices, batch.column(batch.schema.get_field_index("__key")).to_pylist(), texts, seed)
-            keep = [batch.column(k) for k, n in enumerate(batch.schema.names) if n not in ("__key", "__text")]
-            yield pa.RecordBatch.from_arrays([*keep, lists], names=[*(n for n in batch.schema.names if n not in ("__key", "__text")), out])
+            keys, texts = (batch.column(len(others) + k).to_pylist() for k in (0, 1))
+            lists = id_lists(lattices, keys, texts, seed)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), lists], names=[*others, out])
 
     others = [c for c in docs.columns if c != out]
     schema = docs.select(*others).withColumn(out, F.lit(None).cast("array<int>")).schema
-    return docs.select(*others, F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(run, schema)
+    inner = unused("key", others), unused("text", others)
+    return docs.select(*others, F.col(key).alias(inner[0]), F.col(text).alias(inner[1])).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", out: str = "decoded") -> DataFrame:
@@ -377,14 +380,13 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("__ids")).to_pylist()
+            ids = batch.column(len(others)).to_pylist()
             read = pa.array([None if i is None else decode_ids(texts, i) for i in ids], pa.string())
-            keep = [n for n in batch.schema.names if n != "__ids"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in keep), read], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), read], names=[*others, out])
 
     others = [c for c in encoded.columns if c != out]
     schema = encoded.select(*others).withColumn(out, F.lit(None).cast("string")).schema
-    return encoded.select(*others, F.col(pieces).alias("__ids")).mapInArrow(run, schema)
+    return encoded.select(*others, F.col(pieces).alias(unused("ids", others))).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,5 +1,7 @@
+import numpy as np
 import pytest
 
+from playmetry.llm import language as m
 from playmetry.llm.language import Profiler, identify, learn_profiles
 from playmetry.llm.queries import QUERIES
 
@@ -30,3 +32,58 @@ def test_long_texts_are_counted_whole(monkeypatch):
     monkeypatch.setattr("playmetry.llm.language.SEGMENT", 7)
     parts = Profiler().grams(text)
     assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
+
+
+def plain_bundle(profiler, text):
+    """The bundle of a text letter by letter, without numpy's sums."""
+    marks, gap = [0], True
+    for c in text.lower():
+        if c.isalpha():
+            marks.append(ord(c))
+            gap = False
+        elif not gap:
+            marks.append(0)
+            gap = True
+    if not gap:
+        marks.append(0)
+    letters = {m: [int(x) for x in profiler.letter_vectors(np.array([m], np.uint64))[0]] for m in set(marks)}
+    orders = [[int(x) for x in o] for o in profiler.orders]
+    total = [0] * profiler.width
+    for k in range(len(marks) - 2):
+        gram = marks[k : k + 3]
+        if any(gram):
+            for i in range(profiler.width):
+                total[i] += letters[gram[0]][orders[2][i]] * letters[gram[1]][orders[1][i]] * letters[gram[2]][orders[0][i]]
+    return total
+
+
+def test_bundles_and_cosines_by_plain_loops(llm):
+    profiler = m.Profiler(width=128)
+    known = [("the cat sat on the mat", "en"), ("a dog and the cat", "en"), ("der hund und die katze", "de"), ("ein Hund!", "de"), ("le chat noir est ici", "fr"), (None, "fr"), ("orphan", None)]
+    texts = ["the dog", "die Katze", "le chien est là", "zzz", "Ünd", "x", "", "12", None, "the the the", "日本 語", "cat-katze chat"]
+    labelled = llm.createDataFrame(known, "text string, lang string")
+    profiles = m.learn_profiles(labelled, profiler=profiler)
+    sums = {}
+    for text, lang in known:
+        if text and lang:
+            sums[lang] = [a + b for a, b in zip(sums.get(lang, [0] * 128), plain_bundle(profiler, text))]
+    assert profiles.names == sorted(sums)
+    for name, vector in zip(profiles.names, profiles.vectors):
+        assert vector.tolist() == sums[name]
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    got = {r.text: r for r in m.identify(llm.createDataFrame([(t,) for t in texts], "text string"), profiles).collect()}
+    for text in texts:
+        bundle = plain_bundle(profiler, text or "")
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[text].lang_pred, got[text].score) == (m.UNDETERMINED, 0.0)
+            continue
+        cosines = {n: sum(a * b for a, b in zip(bundle, sums[n])) / (norm(bundle) * norm(sums[n])) for n in sums}
+        best = min(cosines, key=lambda n: (-round(cosines[n], 12), n))
+        assert got[text].lang_pred == best and abs(got[text].score - min(max(cosines[best], 0), 1)) < 1e-9
+
+
+def test_a_tie_goes_to_the_first_name_and_names_may_clash(llm):
+    same = llm.createDataFrame([("one text here", "b"), ("one text here", "a")], "text string, lang string")
+    frame = llm.createDataFrame([("one text", "x", "y")], "text string, __judged string, judged string")
+    row = m.identify(frame, m.learn_profiles(same)).first()
+    assert row.lang_pred == "a" and row["__judged"] == "x" and row.judged == "y"

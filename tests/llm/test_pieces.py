@@ -48,6 +48,37 @@ def test_drawn_by_weight(word):
         assert abs(drawn[s] / n - share) < 5 * math.sqrt(share / n) + 1e-4
 
 
+def test_both_samplers_agree():
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdeinorst 日é▁"))
+    words = [" " + "".join(rng.choice(letters, rng.integers(1, 40))).replace(" ", "") for _ in range(400)]
+    seeds = mix64(np.arange(len(words), dtype=np.uint64))
+    lattices = p.Lattices(VOCABULARY)
+    out, counts = lattices.sample(lattices.numbers(words), seeds)
+    for word, seed, ids in zip(words, seeds, np.split(out, np.cumsum(counts)[:-1])):
+        assert lattices.sample_long(word, seed).tolist() == ids.tolist()
+
+
+def test_chances_are_the_same_in_any_company():
+    rng = np.random.default_rng(6)
+    words = sorted({" " + "".join(rng.choice(list("abcdeinorst"), rng.integers(1, 14))) for _ in range(3000)})
+    one, other = p.Lattices(VOCABULARY), p.Lattices(VOCABULARY)
+    for lattices, some in ((one, [words]), (other, [words[::-1][k : k + 7] for k in range(0, len(words), 7)])):
+        for part in some:
+            lattices.numbers(part)
+    for word in words:
+        a, b = ((x, int(x.numbers([word])[0])) for x in (one, other))
+        spans = [slice(x.first[x.base[n]], x.first[x.base[n] + x.length[n]] + 1) for x, n in (a, b)]
+        assert (one.chance[spans[0]] == other.chance[spans[1]]).all() and (one.piece[spans[0]] == other.piece[spans[1]]).all()
+
+
+def test_names_that_clash(llm):
+    docs = llm.createDataFrame([(1, "the anea", "x", "y", "z", "w")], "doc_id long, text string, key string, ids string, __text string, KEY_ string")
+    coded = p.encode(docs, VOCABULARY)
+    row = p.decode(coded, VOCABULARY).first()
+    assert row.decoded == row.text and row.key == "x" and row.ids == "y" and row["__text"] == "z"
+
+
 def test_frames(llm, documents):
     docs = documents("the anea thing", None, "", "the anea thing", "z ▁", ids=[1, 2, 3, 1, None])
     coded = p.encode(docs, VOCABULARY)
