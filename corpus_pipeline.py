@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playmetry.llm.common import prepared, scratch_folder
-from playmetry.llm.language import UNDETERMINED, identify, learned
+from playmetry.llm.common import prepared, scratch_folder, settle
+from playmetry.llm.language import UNDETERMINED, held_out, identify, learned
 from playmetry.llm.mixing import mix
 from playmetry.llm.nearcopies import near_copies
 from playmetry.llm.pieces import encode, load_vocabulary
 from playmetry.llm.substrings import remove_repeats
+from playmetry.scale import exact_quantiles
 
 #: Columns of `documents`, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,33 +26,79 @@ def documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
+#: Keys of texts that share an id lie above this; ids have to lie below.
+SHARED = 1 << 62
+
+
+def separate(docs: DataFrame) -> DataFrame:
+    """Documents, each once, with a `key` of their own, so that the operators tell them apart.
+
+    The key is the doc_id where one text alone has it. Rows that share an id are rare and take
+    a path of their own: of equal ones (id and text) one stays, and the key of different texts
+    is made of id and text and larger than any id, so a text with an id of its own counts as
+    the first. A null id has a null key: such rows stand for themselves and all stay.
+    """
+    several = settle(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "shared")
+    if not several.take(1):
+        return docs.withColumn("key", F.col("doc_id").cast("long"))
+    marked = docs.join(several.withColumn("several", F.lit(True)), "doc_id", "left").select(*docs.columns, "several")
+    own = marked.where(F.col("several").isNull()).withColumn("key", F.col("doc_id").cast("long"))
+    mixed = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(SHARED - 1)).bitwiseOR(F.lit(SHARED))
+    once = settle(marked.where(F.col("several")).dropDuplicates(["doc_id", "text"]), "once")
+    texts = once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    rest = once.join(texts, "doc_id").withColumn("key", F.when(F.col("n") == 1, F.col("doc_id").cast("long")).otherwise(mixed))
+    return own.unionByName(rest.drop("n")).drop("several")
+
+
+#: Share of the median score of like documents that a document has to reach.
+LANGUAGE_SHARE = 0.5
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without text, or without a letter in any language, go."""
+    """Language ID: documents that look like none of the learned languages go.
+
+    Profiles are learned from all documents that are not held out. Of the held-out ones whose
+    language is told right, the median score by language and power of two of the length is
+    the measure: a document whose best cosine is under half of it, or that has no letter,
+    is rejected. So scripts and languages that were not learned go, and letters in no order
+    or a word over and over; short texts are measured against short ones. A length that no
+    held-out document of the language has takes the language's lowest bar.
+    """
     docs = documents(spark, docs)
-    told = identify(docs, learned(docs))
-    return told.where(F.col("lang_pred") != UNDETERMINED).select(*COLUMNS)
+    profiles = learned(docs)
+    size = F.floor(F.log2(F.greatest(F.length("text"), F.lit(1)))).cast("int")
+    right = identify(docs.where(held_out()).select("text", "lang"), profiles).where(F.col("lang") == F.col("lang_pred"))
+    medians = exact_quantiles(right.select("lang_pred", size.alias("size"), "score"), ["lang_pred", "size"], "score", {"median": 0.5})
+    # One row per language, of which `learn_profiles` allows 512, and power of two of a length.
+    bars = settle(medians.select("lang_pred", "size", (F.col("median") * LANGUAGE_SHARE).alias("bar")), "bars")
+    lowest = bars.groupBy("lang_pred").agg(F.min("bar").alias("lowest"))
+    told = identify(docs, profiles).withColumn("size", size)
+    judged = told.join(F.broadcast(bars), ["lang_pred", "size"], "left").join(F.broadcast(lowest), "lang_pred", "left")
+    enough = F.col("score") >= F.coalesce("bar", "lowest", F.lit(0.0))
+    return judged.where((F.col("lang_pred") != UNDETERMINED) & enough).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup at 0.8 over five-word shingles: the smallest id of each group stays.
+    """MinHash near-dedup at 0.8 over five-word shingles: one document of each group stays.
 
-    Rows under the kept id stay as they are; a null id is no member of a group and stays.
+    That is the one with the smallest id; a document whose id another text shares comes after
+    all others. Repeated rows are one document. A null id is no member of a group and stays.
     """
-    docs = documents(spark, docs)
-    gone = near_copies(docs, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs = separate(documents(spark, docs))
+    gone = near_copies(docs, percent=80, key="key").where(~F.col("kept")).select("key").distinct()
+    return docs.join(gone, "key", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: passages of 50 words that begin in an earlier document go.
 
     A document that loses words has the others joined by one space, and one that loses all of
-    them goes; all others keep their text as it was.
+    them goes; all others keep their text as it was, also under an id that another text shares.
     """
-    docs = documents(spark, docs)
-    cut = remove_repeats(docs, length=50).where(F.col("n_removed") > 0).groupBy("doc_id").agg(F.max("kept_text").alias("kept_text"))
+    docs = separate(documents(spark, docs))
+    cut = remove_repeats(docs, length=50, key="key").where(F.col("n_removed") > 0).select("key", "kept_text")
     return (
-        docs.join(cut, "doc_id", "left")
+        docs.join(cut, "key", "left")
         .where(F.col("kept_text").isNull() | (F.col("kept_text") != ""))
         .withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long")))
         .withColumn("text", F.coalesce("kept_text", "text"))
