@@ -10,7 +10,7 @@ from playmetry.functions.ids import ab_bucket, model_uri
 from playmetry.operators.frames import class_union
 from playmetry.operators.metrics import class_distribution
 from playmetry.operators.ranking import FEATURE_KEY
-from playmetry.scale import exact_quantiles, null_safe_join, ordered_positions
+from playmetry.scale import exact_quantiles, null_safe_join, ordered_positions, value_buckets
 
 
 def _n() -> Column:
@@ -267,9 +267,10 @@ def classification_report(df: DataFrame, label: str = "actual", prediction: str
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve from mean ranks: one row (auc, positives, negatives).
 
-    Rows are counted per score first. Ranks inside a score bucket about one percent wide are
-    summed per bucket; only the bucket sums meet in one ordered window. Any double falls
-    into one of less than 300,000 buckets, so margins and log-odds do as well as shares.
+    Rows are counted per score first. Ranks are summed per fine bucket of scores, then per
+    coarse bucket, about one percent wide; only the coarse sums meet in one ordered window.
+    Any double falls into one of less than 300,000 of these, so margins and log-odds do as
+    well as shares.
     """
     # Rows without a score or label weigh nothing. A filter would be pushed down and have
     # the score computed twice.
@@ -280,19 +281,18 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
             F.count_if(counts).alias("n"),
             F.sum(F.when(counts, F.col(label).cast("long")).otherwise(0)).alias("pos"),
         )
-        .withColumn(
-            "b",
-            F.when(F.col("s") == 0, F.lit(0)).otherwise(F.signum("s") * (F.floor(F.log2(F.abs("s")) * 64) + 100_000)).cast("long"),
-        )
-    )
-    inside = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("n").over(inside), F.lit(0))
-    mean_rank = below + (F.col("n") + 1) / F.lit(2.0)
-    buckets = (
-        per_score.withColumn("r", F.col("pos") * mean_rank)
-        .groupBy("b")
-        .agg(F.sum("r").alias("r"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+        .withColumns(dict(zip(("b", "fine"), value_buckets("s"))))
     )
+
+    def lift(rows: DataFrame, inside: list[str], order: str) -> DataFrame:
+        """Adds the rows that come before within `inside` to the rank sums, and folds them up."""
+        w = Window.partitionBy(*inside).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        below = F.coalesce(F.sum("n").over(w), F.lit(0))
+        lifted = rows.withColumn("r", F.col("r") + F.col("pos") * below)
+        return lifted.groupBy(*inside).agg(F.sum("r").alias("r"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+
+    ranked = per_score.withColumn("r", F.col("pos") * (F.col("n") + 1) / F.lit(2.0))
+    buckets = lift(lift(ranked, ["b", "fine"], "s"), ["b"], "fine")
     earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
     sums = buckets.withColumn("r", F.col("r") + F.col("pos") * before).agg(

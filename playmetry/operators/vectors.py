@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -267,24 +267,31 @@ def items_for_users_hashed(
     return top_per_key(unseen, ["user_id"], [F.col("score").desc(), F.col("item_id").asc()], k)
 
 
+#: Words that a task keeps the buckets of, before it starts anew.
+KNOWN_WORDS = 1 << 20
+
+
 def hashed_words(dim: int):
     """Unit vector of the word counts of a text: a word (split at ASCII white space, lower case)
     falls into the bucket that the first four bytes of its MD5 give. Without words: zeros."""
 
-    def buckets(words: list[bytes], known: dict[bytes, int]) -> list[int]:
-        for w in words:
-            if w not in known:
-                known[w] = int.from_bytes(hashlib.md5(w).digest()[:4], "big") % dim
-        return [known[w] for w in words]
-
-    def run(texts: pd.Series) -> pd.Series:
-        known: dict[bytes, int] = {}
-        out = []
-        for text in texts:
-            counts = np.bincount(buckets((text or "").lower().encode().split(), known), minlength=dim).astype(float)
-            norm = np.sqrt((counts * counts).sum())
-            out.append((counts / norm if norm else counts).astype(np.float32))
-        return pd.Series(out)
+    class Buckets(dict):
+        def __missing__(self, word: bytes) -> int:
+            bucket = self[word] = int.from_bytes(hashlib.md5(word).digest()[:4], "big") % dim
+            return bucket
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Buckets()  # a word is hashed once per task
+        for texts in batches:
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+            out = []
+            for text in texts:
+                words = (text or "").lower().encode().split()
+                counts = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=dim).astype(float)
+                norm = np.sqrt((counts * counts).sum())
+                out.append((counts / norm if norm else counts).astype(np.float32))
+            yield pd.Series(out)
 
     return F.pandas_udf(run, "array<float>")
 

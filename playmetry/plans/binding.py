@@ -6,6 +6,9 @@ it uses. `VIEWS` in `oracle.py` states the same bindings in plain SQL.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stored(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that `spark.checkpoint.dir` names, for tables a query writes and reads.
+
+    Only a local session without that setting gets a temporary folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
+        named = "file://" + tempfile.mkdtemp(prefix="tables-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 

@@ -655,6 +655,17 @@ def _reconstructed(spark, d):
     return learning.reconstruction_anomaly(features, FS, k=3)
 
 
+def _split_sizes(spark, d):
+    train, test = learning.stratified_split(b.puzzles(spark, d).select(F.col("id").alias("puzzle_id"), "difficulty"), "difficulty", "puzzle_id")
+    sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    return sides.groupBy("difficulty", "side").agg(F.count(F.lit(1)).alias("n"))
+
+
+register(
+    "stratified_split",
+    """WITH c AS (SELECT difficulty, count(*) AS n, CAST(round(count(*) * 20 / 100.0) AS BIGINT) AS t FROM puzzles GROUP BY 1)
+       SELECT difficulty, 'train' AS side, n - t AS n FROM c WHERE n > t UNION ALL SELECT difficulty, 'test', t FROM c WHERE t > 0""",
+)(_split_sizes)
 register("reconstruction_anomaly")(
     lambda spark, d: _reconstructed(spark, d).select("id", "reconstruction_error", "threshold", "anomaly_score", "is_anomalous")
 )
@@ -759,6 +770,11 @@ register(
 )
 
 
+register("items_for_users_hashed")(
+    lambda spark, d: vectors.items_for_users_hashed(b.vectors(spark, d), b.vectors(spark, d), _seen_items(spark, d), 5)
+)
+
+
 def _seen_items(spark, d):
     """Seen pairs: the user's own item and four more."""
     steps = F.explode(F.sequence(F.lit(0), F.lit(4)))

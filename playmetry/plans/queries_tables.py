@@ -15,6 +15,7 @@ from playmetry.plans.oracle import case, day_key, hmac_sql, quote
 from playmetry.plans.registry import register
 from playmetry.sources import events as ev
 from playmetry.sources import tables as tb
+from playmetry.sources.stores import DailyTable, KeyedTable
 
 KEY = b.HASH_KEY
 
@@ -67,6 +68,43 @@ def _(spark, folder):
     return table.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
 
 
+@register(
+    "keyed_upsert",
+    f"""WITH fresh AS (
+          SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {LINE_ORDER}) AS rn
+          FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey % 100 < 7)
+        SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM fresh WHERE rn = 1
+        UNION ALL
+        SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM (
+          SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {LINE_ORDER}) AS rn
+          FROM lineitem WHERE l_returnflag <> 'A')
+        WHERE rn = 1 AND (l_orderkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_linenumber) FROM fresh)""",
+    "l_quantity",
+)
+def _(spark, folder):
+    """A stored table of all other lines after an upsert of returned lines of some orders."""
+    lines = _lines(spark, folder)
+    table = KeyedTable(b.stored(spark, "lines"), ", ".join(f"{n} {t}" for n, t in lines.dtypes), ["l_orderkey", "l_linenumber"], 32)
+    table.upsert(lines.where("l_returnflag <> 'A'"), _line_order())
+    table.upsert(lines.where("l_returnflag = 'A' AND l_orderkey % 100 < 7"), _line_order())
+    return table.read(spark).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+
+
+@register(
+    "daily_table",
+    """SELECT event_id, user_id, CAST(ts AS DATE) AS event_date, value FROM events""",
+    "value",
+)
+def _(spark, folder):
+    """Events that arrive in four batches across all dates, the second twice and the third with copies of the first."""
+    events = b.events(spark, folder).select("event_id", "user_id", "ts", "value")
+    part = F.col("event_id") % 3
+    table = DailyTable(b.stored(spark, "events"), ", ".join(f"{n} {t}" for n, t in events.dtypes), ["event_id"], "ts")
+    for batch_id, rows in ((0, events.where(part == 0)), (1, events.where(part == 1)), (1, events.where(part == 1)), (2, events.where((part == 2) | (F.col("event_id") % 9 == 0)))):
+        table.apply(rows, batch_id)
+    return table.read(spark).select("event_id", "user_id", "event_date", "value")
+
+
 @register(
     "incremental_extract",
     "SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'",

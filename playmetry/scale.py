@@ -106,6 +106,48 @@ def moment(df: DataFrame, ts: str, unique: str) -> Column:
     return micros * F.lit(Decimal(10**19)) + F.col(unique).cast("decimal(19,0)")
 
 
+#: Fine buckets of a coarse one.
+FINE = 4096
+
+
+def value_buckets(value: str) -> tuple[Column, Column]:
+    """Two levels of ascending buckets of a double: a 64th of a doubling, and FINE parts of it."""
+    steps = F.log2(F.abs(value)) * 64
+    sign, zero = F.signum(value), F.col(value) == 0
+    coarse = F.when(zero, F.lit(0)).otherwise(sign * (F.floor(steps) + 100_000)).cast("long")
+    fine = F.when(zero, F.lit(0)).otherwise(sign * F.floor((steps - F.floor(steps)) * FINE)).cast("long")
+    return coarse, fine
+
+
+def values_at_ranks(counted: DataFrame, keys: Sequence[str], value: str, n: str, ranks: DataFrame) -> DataFrame:
+    """(keys, name, value): the value at every asked rank of a key's values in order.
+
+    `counted` has distinct values with their counts `n`; `ranks` has (keys, name, rank), ranks
+    from 0, and a few names per key, all in `names`. Coarse buckets are summed per key, fine
+    ones inside the coarse buckets that hold an asked rank, and single values inside fine
+    ones, so no task orders more than the buckets of a key or the values of a fine bucket.
+    """
+    coarse, fine = value_buckets("__v")
+    rows = counted.select(*keys, F.col(value).cast("double").alias("__v"), F.col(n).alias("__n"))
+    source = rows.withColumn("__coarse", coarse).withColumn("__fine", fine)
+    found, held = ranks.select(*keys, "name", "rank"), list(keys)
+    for level in ("__coarse", "__fine", "__v"):
+        if level != "__coarse":
+            source = null_safe_join(source, found.select(*held).distinct(), held, "left_semi")
+        sums = source.groupBy(*held, level).agg(F.sum("__n").alias("__n"))
+        upto = F.sum("__n").over(Window.partitionBy(*held).orderBy(level).rowsBetween(Window.unboundedPreceding, 0))
+        spans = sums.withColumn("__to", upto).withColumn("__from", F.col("__to") - F.col("__n"))
+        # A key has a few asked ranks, and they meet its buckets as one list.
+        asked = found.groupBy(*held).agg(F.collect_list(F.struct("name", "rank")).alias("__asked"))
+        met = null_safe_join(spans, asked, held).withColumn(
+            "__hits", F.filter("__asked", lambda a: (a["rank"] >= F.col("__from")) & (a["rank"] < F.col("__to")))
+        )
+        held = [*held, level]
+        hits = met.where(F.size("__hits") > 0).select(*held, "__from", F.explode("__hits").alias("__hit"))
+        found = hits.select(*held, F.col("__hit.name").alias("name"), (F.col("__hit.rank") - F.col("__from")).alias("rank"))
+    return found.select(*keys, "name", F.col("__v").alias("value"))
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -114,76 +156,29 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per key: one row per key, one column per name.
 
-    Values are counted first, then only counts are summed in order: buckets of about
-    one percent width are summed per key, and single values only inside the buckets
-    that hold a wanted rank. No group's values meet in one task.
+    Values are counted first, then only counts are summed in order (`values_at_ranks`), so
+    no group's values meet in one task.
     """
     counted = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn(
-            "__bucket",
-            F.when(F.col("__v") == 0, F.lit(0)).otherwise(
-                F.signum("__v") * (F.floor(F.log2(F.abs("__v")) * 64) + 100000)
-            ).cast("long"),
-        )
-    )
-    per_bucket = counted.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__bn"))
-    in_order = Window.partitionBy(*keys).orderBy("__bucket")
-    placed = per_bucket.select(
-        *keys,
-        "__bucket",
-        F.coalesce(
-            F.sum("__bn").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("__from"),
-        "__bn",
-        F.sum("__bn").over(Window.partitionBy(*keys)).alias("__total"),
+        .groupBy(*keys, F.col(value).cast("double").alias("__value"))
+        .agg(F.count(F.lit(1)).alias("__count"))
     )
+    totals = counted.groupBy(*keys).agg(F.sum("__count").alias("__total"))
     # Ranks are 0-based; each quantile needs the values at floor and floor + 1.
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                F.floor(F.lit(float(p)) * (F.col("__total") - 1)).alias("lo"),
-                (
-                    F.lit(float(p)) * (F.col("__total") - 1)
-                    - F.floor(F.lit(float(p)) * (F.col("__total") - 1))
-                ).alias("frac"),
-            )
-            for name, p in probs.items()
-        ]
-    )
-    end = F.col("__from") + F.col("__bn")
-    hits = (
-        placed.withColumn("__q", F.explode(wanted))
-        .where(
-            ((F.col("__q.lo") >= F.col("__from")) & (F.col("__q.lo") < end))
-            | (
-                (F.col("__q.frac") > 0)
-                & (F.col("__q.lo") + 1 >= F.col("__from"))
-                & (F.col("__q.lo") + 1 < end)
-            )
-        )
-        .groupBy(*keys, "__bucket", "__from")
-        .agg(F.collect_list("__q").alias("__qs"))  # at most one entry per requested quantile
-    )
-    inside = Window.partitionBy(*keys, "__bucket").orderBy("__v")
-    values = (
-        null_safe_join(counted, hits, [*keys, "__bucket"])
-        .withColumn("__end", F.col("__from") + F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("__start", F.col("__end") - F.col("__n"))
-    )
-    exploded = values.withColumn("__q", F.explode("__qs"))
-
-    def at(rank: Column) -> Column:
-        return (rank >= F.col("__start")) & (rank < F.col("__end"))
-
-    aggs = []
-    for name in probs:
-        mine = F.col("__q.name") == name
-        lo = F.max(F.when(mine & at(F.col("__q.lo")), F.col("__v")))
-        hi = F.max(F.when(mine & at(F.col("__q.lo") + 1), F.col("__v")))
-        frac = F.max(F.when(mine, F.col("__q.frac")))
-        aggs.append((lo + F.when(frac > 0, (hi - lo) * frac).otherwise(F.lit(0.0))).alias(name))
-    return exploded.groupBy(*keys).agg(*aggs)
+    place = lambda p: F.lit(float(p)) * (F.col("__total") - 1)
+    wanted = [
+        F.struct(F.lit(f"{name}{side}").alias("name"), F.least(F.floor(place(p)) + k, F.col("__total") - 1).alias("rank"))
+        for name, p in probs.items()
+        for k, side in enumerate(("<", ">"))
+    ]
+    ranks = totals.select(*keys, F.explode(F.array(*wanted)).alias("__w")).select(*keys, "__w.name", "__w.rank")
+    names = [f"{name}{side}" for name in probs for side in "<>"]
+    found = values_at_ranks(counted, keys, "__value", "__count", ranks)
+    both = found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(f"__{n}") for n in names])
+
+    def between(name: str, p: float) -> Column:
+        low, high, part = F.col(f"`__{name}<`"), F.col(f"`__{name}>`"), place(p) - F.floor(place(p))
+        return (low + F.when(part > 0, (high - low) * part).otherwise(F.lit(0.0))).alias(name)
+
+    return null_safe_join(both, totals, keys).select(*keys, *[between(name, p) for name, p in probs.items()])

@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from playmetry.scale import null_safe_join, values_at_ranks
+
 
 def _n() -> Column:
     return F.count(F.lit(1))
@@ -72,23 +74,19 @@ def latency_of_panes(panes: DataFrame, win: str = "5 minutes", slide: str = "1 m
 
 def _exact_latency(df: DataFrame, win: str, slide: str, by: Sequence[str]) -> DataFrame:
     """Values are counted per pane of `slide` first, so a window adds up counts, not requests;
-    ranks run over the distinct values of a (window, key). A request without a latency counts
-    as a request and has no rank."""
+    the asked ranks are found bucket by bucket. A request without a latency counts as a
+    request and has no rank."""
     pane = df.groupBy(F.window("ts", slide).alias("p"), *by, "latency_ms").agg(_n().alias("n"))
-    counted = pane.groupBy(F.window("p.start", win, slide).alias("w"), *by, "latency_ms").agg(F.sum("n").alias("n"))
-    keys = ["w", *by]
-    valued = F.when(F.col("latency_ms").isNotNull(), F.col("n")).otherwise(F.lit(0))
-    ordered = Window.partitionBy(*keys).orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    ranked = (
-        counted.withColumn("valued", valued)
-        .withColumn("upto", F.sum("valued").over(ordered))
-        .withColumn("of", F.sum("valued").over(whole))
-        .withColumn("requests", F.sum("n").over(whole))
-    )
-    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("of")), F.col("latency_ms")))
-    found = ranked.groupBy(*keys).agg(F.max("requests").alias("requests"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
-    return found.select(F.col("w.end").alias("window_end"), *by, "requests", "p50", "p95", "p99")
+    counted = pane.groupBy(F.window("p.start", win, slide)["end"].alias("window_end"), *by, "latency_ms").agg(F.sum("n").alias("n"))
+    keys = ["window_end", *by]
+    valued = F.sum(F.when(F.col("latency_ms").isNotNull(), F.col("n")))
+    totals = counted.groupBy(*keys).agg(F.sum("n").alias("requests"), valued.alias("of"))
+    probs = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), (F.ceil(F.lit(p) * F.col("of")) - 1).alias("rank")) for n, p in probs.items()])
+    ranks = totals.where("of > 0").select(*keys, F.explode(wanted).alias("w")).select(*keys, "w.name", "w.rank")
+    found = values_at_ranks(counted.where(F.col("latency_ms").isNotNull()), keys, "latency_ms", "n", ranks)
+    picked = found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in probs])
+    return null_safe_join(totals.drop("of"), picked, keys, "left").select(*keys, "requests", *probs)
 
 
 def sustained_alert(windows: DataFrame, by: Sequence[str], step_secs: int, hold_secs: int) -> DataFrame:
