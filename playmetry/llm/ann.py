@@ -16,6 +16,8 @@ from playmetry.llm.common import settle
 BITS, PART, RADIUS = 128, 8, 55
 #: Rows of a block of the index, queries of a block, rows that fit the rotation, and bytes of these.
 BLOCK, ASK, SAMPLE, SAMPLE_BYTES = 8192, 2048, 20_000, 32 << 20
+#: Different lengths of vectors that one call answers.
+LENGTHS = 16
 
 
 @dataclass
@@ -61,6 +63,17 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
+def tame(vectors: np.ndarray) -> np.ndarray:
+    """The same directions with squares that neither overflow nor vanish: rows of extreme size are
+    multiplied by a power of two, which leaves every cosine as it is."""
+    power = np.frexp(np.abs(vectors).max(axis=1))[1]
+    return np.ldexp(vectors, np.where(np.abs(power) > 200, -power, 0)[:, None])
+
+
+def stacked(column: pd.Series) -> np.ndarray:
+    return tame(np.stack(column.to_numpy()).astype(np.float64))
+
+
 def exact_cosines(query: np.ndarray, found: np.ndarray) -> np.ndarray:
     """Cosines in double precision, summed row by row, so equal vectors get equal values."""
     dots = (found * query[None, :]).sum(axis=1)
@@ -146,21 +159,27 @@ def nearest(
     are the blocks and k rows per query and block.
 
     Vectors that are null, zero or hold a null or non-finite component take no part, and
-    neither do those of another length than the most frequent one (the larger on a tie).
-    Rows with one key count once, the smallest vector of them; a query never finds its own
-    key. With fewer than `k` candidates all are returned, and an empty table gives no rows.
+    neither does a pair of different lengths: vectors of each length are an index of their
+    own, LENGTHS at most, or a ValueError. Rows with one key count once, the smallest vector
+    of them; a query never finds its own key. With fewer than `k` candidates all are returned,
+    and an empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    rows = usable(vectors, key, vector)
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    schema = f"query_id long, rank int, `{key}` long, score double"
-    if not lengths:
-        return spark.createDataFrame([], schema)
-    dim = lengths[0].d
-    rows = settle(rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    asked = usable(queries, key, vector).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+    rows = settle(usable(vectors, key, vector).groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    lengths = [r.d for r in rows.select(F.size("v").alias("d")).distinct().limit(LENGTHS + 1).collect()]
+    if len(lengths) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} lengths")
+    asked = usable(queries, key, vector).groupBy("id").agg(F.min("v").alias("v"))
+    out = vectors.sparkSession.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
+    for dim in sorted(lengths):
+        same = F.size("v") == dim
+        out = out.unionByName(_nearest_of(rows.where(same), asked.where(same), dim, k, bits, radius, block, ask, sample, key))
+    return out
+
+
+def _nearest_of(rows: DataFrame, asked: DataFrame, dim: int, k: int, bits: int, radius: int, block: int, ask: int, sample: int, key: str) -> DataFrame:
+    """`nearest` over (id, v) of one length."""
     fit = rows.orderBy(F.xxhash64("id"), "id").limit(min(sample, SAMPLE_BYTES // (8 * max(dim, 1)))).select("v").toPandas()
-    rotations = learn_rotations(np.stack(fit["v"].to_numpy()), bits)
+    rotations = learn_rotations(stacked(fit["v"]), bits)
     # The cells: how many blocks there are follows from the counts alone.
     n_blocks, n_asks = -(-rows.count() // block), max(1, -(-asked.count() // ask))
     index = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))))
@@ -169,8 +188,8 @@ def nearest(
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            held = Index(left["id"].to_numpy(), np.stack(left["v"].to_numpy()).astype(np.float64), rotations)
-            found = search_block(held, right["id"].to_numpy(), np.stack(right["v"].to_numpy()).astype(np.float64), rotations, radius, k)
+            held = Index(left["id"].to_numpy(), stacked(left["v"]), rotations)
+            found = search_block(held, right["id"].to_numpy(), stacked(right["v"]), rotations, radius, k)
         return pd.DataFrame(found, columns=["query_id", "id", "score"])
 
     cells = index.groupBy("a", "b").cogroup(probes.groupBy("a", "b")).applyInPandas(meet, "query_id long, id long, score double")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from playmetry.llm.ann import nearest
 from playmetry.llm.queries import QUERIES
@@ -40,3 +41,15 @@ def test_hot_vector_over_blocks(llm):
     vectors = llm.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = nearest(vectors, vectors.where("vec_id in (0, 300)"), k=4, block=64, ask=1).orderBy("query_id", "rank").collect()
     assert [r.vec_id for r in got] == [3, 6, 9, 12, 0, 3, 6, 9]
+
+
+def test_sizes_and_lengths_of_any_kind(llm):
+    rows = [(0, [1e200, 2e200]), (1, [1e-200, 2e-200]), (2, [1.0, 2.0]), (3, [-1e300, 1e-300]), (4, [1.0, 0.0, 0.0]), (5, [1e-310, 1e-310, 0.0]), (6, [3.0])]
+    vectors = llm.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, query_id string, id int")
+    got = nearest(vectors, vectors.where("vec_id in (0, 3, 4, 6)")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 3), (3, 0), (3, 1), (3, 2), (4, 5)]
+    want = [1, 1, -1 / 5**0.5, -1 / 5**0.5, -1 / 5**0.5, -1 / 5**0.5, 0.5**0.5]
+    assert np.allclose([r.score for r in got], want, rtol=1e-12)
+    many = llm.createDataFrame([(n, [1.0] * n) for n in range(1, 19)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        nearest(many, many)
