@@ -76,7 +76,9 @@ def rewrite_erased(before: DataFrame, kept: DataFrame, path: str, date_col: str,
 
     Only dates that lost rows are rewritten, from a copy beside the table, and a date that
     lost all of its rows has its files removed, which a dynamic overwrite would leave alone.
-    The list of dates is bounded by the calendar.
+    The list of dates is bounded by the calendar. The steps are not one transaction: after a
+    crash erased rows may still be there, and running the same erasure again, over the table
+    as it then is, completes it. A copy left beside the table holds rows to keep alone.
     """
     spark = before.sparkSession
     had = before.groupBy(date_col).agg(F.count(F.lit(1)).alias("n"))

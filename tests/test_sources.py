@@ -144,6 +144,27 @@ def test_erasure_write(spark, rows, tmp_path):
     assert not (tmp_path / "sessions" / "day=2026-01-01").exists() and len(list(tmp_path.iterdir())) == 1
 
 
+def test_erasure_write_after_a_crash(spark, rows, tmp_path, monkeypatch):
+    """A crash between the overwrite and the removal of an emptied date: running again completes it."""
+    path = str(tmp_path / "sessions")
+    data = [("u1", "2026-01-01"), ("u1", "2026-01-02"), ("u2", "2026-01-02")]
+    spark.createDataFrame(data, "user_id string, day string").write.partitionBy("day").parquet(path)
+    rest = {t for t, _ in privacy.SOURCE_TARGETS + privacy.WAREHOUSE_TARGETS} - {"game_sessions"}
+
+    def erase():
+        before = spark.read.parquet(path)
+        kept = privacy.erase_users({"game_sessions": before}, spark.createDataFrame([("u1",)], "id string"), b"k", rest)["game_sessions"]
+        privacy.rewrite_erased(before, kept, path, "day")
+
+    monkeypatch.setattr(privacy, "_remove", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        erase()
+    monkeypatch.undo()
+    assert rows(spark.read.parquet(path).where("user_id = 'u1'").selectExpr("string(day)")) == [("2026-01-01",)]
+    erase()
+    assert rows(spark.read.parquet(path).selectExpr("user_id", "string(day)")) == [("u2", "2026-01-02")]
+
+
 def test_retention_keys(spark, rows):
     facts = spark.createDataFrame([(20260101,), (20260301,), (None,)], "date_key int")
     kept = privacy.retention_apply({"fact_match": (facts, "date_key")}, {"fact_match": 30}, "2026-03-10")["fact_match"]
