@@ -67,15 +67,23 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = documents(spark, docs)
     profiles = learned(docs)
     size = F.floor(F.log2(F.greatest(F.length("text"), F.lit(1)))).cast("int")
-    right = identify(docs.where(held_out()).select("text", "lang"), profiles).where(F.col("lang") == F.col("lang_pred"))
-    medians = exact_quantiles(right.select("lang_pred", size.alias("size"), "score"), ["lang_pred", "size"], "score", {"median": 0.5})
-    # One row per language, of which `learn_profiles` allows 512, and power of two of a length.
-    bars = settle(medians.select("lang_pred", "size", (F.col("median") * LANGUAGE_SHARE).alias("bar")), "bars")
-    lowest = bars.groupBy("lang_pred").agg(F.min("bar").alias("lowest"))
-    told = identify(docs, profiles).withColumn("size", size)
-    judged = told.join(F.broadcast(bars), ["lang_pred", "size"], "left").join(F.broadcast(lowest), "lang_pred", "left")
-    enough = F.col("score") >= F.coalesce("bar", "lowest", F.lit(0.0))
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & enough).select(*COLUMNS)
+    tried = settle(identify(docs.where(held_out()).select("text", "lang"), profiles).select("lang", "lang_pred", "score", size.alias("size")), "tried")
+    right = tried.where(F.col("lang") == F.col("lang_pred"))
+    medians = exact_quantiles(right, ["lang_pred", "size"], "score", {"median": 0.5}).collect()
+    # One number per language, of which `learn_profiles` allows 512, and power of two of a length.
+    bars: dict[str, float] = {}
+    for r in medians:
+        bar = r["median"] * LANGUAGE_SHARE
+        bars[f"{r['size']} {r['lang_pred']}"] = bar
+        lowest = f"* {r['lang_pred']}"
+        bars[lowest] = min(bar, bars.get(lowest, bar))
+    enough = F.lit(True)
+    if bars:
+        table = F.create_map(*[F.lit(x) for pair in bars.items() for x in pair])
+        of_size = F.try_element_at(table, F.concat_ws(" ", size.cast("string"), "lang_pred"))
+        enough = F.col("score") >= F.coalesce(of_size, F.try_element_at(table, F.concat(F.lit("* "), "lang_pred")), F.lit(0.0))
+    told = identify(docs, profiles)
+    return told.where((F.col("lang_pred") != UNDETERMINED) & enough).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
