@@ -67,35 +67,45 @@ def filtered_search(
 
 #: Bytes that the vectors of one block of users or items may take in a task.
 CELL_BYTES = 32 << 20
+#: Blocks of a side at most, as long as none takes more than CELL_BYTES: a row is sent to one cell per block of the other side.
+BLOCKS = 16
+#: Scores that a task holds at once.
+TILE = 1 << 22
+
+
+def _blocks(n_bytes: int, cell_bytes: int) -> int:
+    """Blocks of about `cell_bytes`. Beyond BLOCKS they grow up to CELL_BYTES, so that what is sent grows as the input."""
+    return max(1, min(-(-n_bytes // cell_bytes), max(BLOCKS, -(-n_bytes // CELL_BYTES))))
 
 
 def items_for_users(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """Exact nearest `k` unseen items of every user in `users`, a given list of asks.
 
-    Users and items are hashed into blocks of about `cell_bytes`, so the number of blocks
-    follows from the row counts and the result does not depend on it; each (user block, item
-    block) cell is one task that multiplies two matrices and keeps `k` items per user. Only
-    those leave the task, and a last rank joins the cells. Seen pairs go straight to their
-    one cell, so they are removed before anything is cut. The work is users x items.
+    Users and items are hashed into blocks (`_blocks`), so the number of blocks follows from
+    the row counts and the result does not depend on it; each (user block, item block) cell
+    is one task that multiplies two matrices and keeps `k` items per user. Only those leave
+    the task, and a last rank joins the cells. Seen pairs go straight to their one cell, so
+    they are removed before anything is cut. Vectors are sent as they are stored. The work is
+    users x items; what is sent is BLOCKS times the input at most while a block is under
+    CELL_BYTES, and users x items / CELL_BYTES beyond.
     """
 
     def blocks(df: DataFrame) -> int:
         n, width = df.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-        return max(1, -(-n * (width or 1) * 8 // cell_bytes))
+        return _blocks(n * (width or 1) * 8, cell_bytes)
 
     def block(col: Column, n: int) -> Column:
         return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
 
     user_blocks, item_blocks = blocks(users), blocks(items)
-    vec = F.col("embedding").cast("array<double>")
-    none = F.lit(None).cast("long")
+    vec, none = F.col("embedding"), F.lit(None).cast("long")
     asks = users.select(
         F.col("id").alias("user_id"), none.alias("item_id"), vec.alias("v"),
         block(F.col("id"), user_blocks).alias("ub"),
         F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("ib"),
     )
     had = seen.select(
-        "user_id", "item_id", F.lit(None).cast("array<double>").alias("v"),
+        "user_id", "item_id", F.lit(None).cast(users.schema["embedding"].dataType).alias("v"),
         block(F.col("user_id"), user_blocks).alias("ub"),
         block(F.col("item_id"), item_blocks).alias("ib"),
     )
@@ -114,7 +124,7 @@ def items_for_users(users: DataFrame, items: DataFrame, seen: DataFrame, k: int,
 
 def _best_in_cell(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def unit(vectors: pd.Series) -> np.ndarray:
-        m = np.stack(vectors.to_numpy())
+        m = np.stack(vectors.to_numpy()).astype(float)
         norms = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
@@ -130,14 +140,22 @@ def _best_in_cell(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame
         places = had[["user_id", "item_id"]].merge(pd.DataFrame({"user_id": users, "row": np.arange(len(users))}), on="user_id")
         places = places.astype({"item_id": "int64"}).merge(pd.DataFrame({"item_id": ids, "col": np.arange(len(ids))}), on="item_id").sort_values("row")
         rows_at, cols_at = places["row"].to_numpy(), places["col"].to_numpy()
-        out = []
-        for start in range(0, len(users), 256):
-            scores = np.round(unit(asks["v"].iloc[start : start + 256]) @ item_matrix, SCORE_DIGITS)
-            a, b = np.searchsorted(rows_at, [start, start + 256])
+        groups = np.arange(0, len(ids), 64)
+        out, many = [], max(1, TILE // len(ids))
+        for start in range(0, len(users), many):
+            scores = unit(asks["v"].iloc[start : start + many]) @ item_matrix
+            a, b = np.searchsorted(rows_at, [start, start + many])
             scores[rows_at[a:b] - start, cols_at[a:b]] = -np.inf
-            least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k] if k < scores.shape[1] else np.full(len(scores), -np.inf)
-            row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-            value = scores[row, col]
+            # k groups of items reach the k-th of the groups' best scores, so the k-th score is no less; only
+            # what may round to as much is rounded and ordered.
+            least = np.full(len(scores), -np.inf)
+            if k < len(groups):
+                best_of = np.fmax.reduceat(scores, groups, axis=1)
+                least = np.partition(best_of, len(groups) - k, axis=1)[:, -k] - 2 * 10.0**-SCORE_DIGITS
+            place = np.flatnonzero(scores >= least[:, None])
+            place = place[scores.ravel()[place] > -np.inf]
+            row, col = np.divmod(place, len(ids))
+            value = np.round(scores[row, col], SCORE_DIGITS)
             order = np.lexsort((ids[col], -value, row))
             row, col, value = row[order], col[order], value[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)

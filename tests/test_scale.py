@@ -2,7 +2,7 @@
 
 import datetime as dt
 import random
-from collections import deque
+from collections import defaultdict, deque
 
 import numpy as np
 import pytest
@@ -134,6 +134,33 @@ def test_items_for_users(spark, cell_bytes):
         assert [r["item_id"] for r in sorted((r for r in got if r["user_id"] == user), key=lambda r: r["rank"])] == [i for _, i in best]
 
 
+def test_items_for_users_sends_little(spark):
+    """What is sent grows as the input, and blocks stay within a task's memory."""
+    kb = 1 << 10
+    assert [vectors._blocks(n, 128 * kb) for n in (0, 1, 128 * kb, 129 * kb)] == [1, 1, 1, 2]
+    sizes = [2**n for n in range(10, 40)]
+    for asked in (400, 128 * kb, vectors.CELL_BYTES, 4 * vectors.CELL_BYTES):
+        for n in sizes:
+            blocks = vectors._blocks(n, asked)
+            assert blocks <= vectors.BLOCKS or n / blocks > vectors.CELL_BYTES / 2
+            assert n / blocks <= max(asked, vectors.CELL_BYTES)
+    rng = np.random.default_rng(6)
+    made = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(3000)] + [(3000 + i, [1.0, 0.0, 0.0, 0.0]) for i in range(40)]
+    frame = spark.createDataFrame(made, "id long, embedding array<float>")
+    seen = spark.createDataFrame([(i, i) for i in range(0, 3040, 2)], "user_id long, item_id long")
+    got = defaultdict(list)
+    for cell_bytes in (512, 1 << 25):
+        for r in vectors.items_for_users(frame, frame, seen, 5, cell_bytes=cell_bytes).orderBy("user_id", "rank").collect():
+            got[cell_bytes].append((r["user_id"], r["item_id"], round(r["score"], 6)))
+    assert got[512] == got[1 << 25] and len(got[512]) == 5 * 3040
+    m = np.array([v for _, v in made], np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    for user in (0, 1, 1501, 3001, 3002):
+        scores = np.round(m @ m[user], 9)
+        want = sorted((-s, i) for i, s in enumerate(scores) if not (i == user and user % 2 == 0))[:5]
+        assert [i for u, i, _ in got[512] if u == user] == [i for _, i in want]
+
+
 def test_client_sessions_like_windows(spark):
     rng = random.Random(2)
     rows, t = [], BASE
