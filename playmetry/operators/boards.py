@@ -46,7 +46,7 @@ def _table(rows: list[list[int]]) -> Column:
     return F.expr(f"array({inner})")
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """`body` of a value computed once per row. A plain alias read inside a lambda may be
     inlined by the optimizer and then computed again at every step of the loop."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -105,7 +105,7 @@ def candidate_masks(board: Column) -> Column:
 
     def of_board(s: Column) -> Column:
         used = F.transform(_table(HOUSES), lambda house: _any_bits(house, s["bits"]))
-        return _let(F.struct(s["board"].alias("board"), used.alias("used")), of_houses)
+        return let(F.struct(s["board"].alias("board"), used.alias("used")), of_houses)
 
     def of_houses(s: Column) -> Column:
         return F.transform(
@@ -115,7 +115,7 @@ def candidate_masks(board: Column) -> Column:
             ),
         )
 
-    return _let(F.struct(board.alias("board"), bits.alias("bits")), of_board)
+    return let(F.struct(board.alias("board"), bits.alias("bits")), of_board)
 
 
 def candidates(boards: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def _analysis(board: Column) -> Column:
             ).alias("only"),
         )
 
-    return _let(candidate_masks(board), of_masks)
+    return let(candidate_masks(board), of_masks)
 
 
 def _in_once(a: Column, i: Column) -> Column:
@@ -240,7 +240,7 @@ def puzzle_features(boards: DataFrame) -> DataFrame:
     shared = F.struct(
         F.col("board").alias("board"), _puzzle(boards).alias("puzzle"), _analysis(F.col("board")).alias("a")
     )
-    return boards.select("puzzle_id", _let(shared, of_board).alias("f")).select("puzzle_id", "f.*")
+    return boards.select("puzzle_id", let(shared, of_board).alias("f")).select("puzzle_id", "f.*")
 
 
 def grid_complete(board: Column) -> Column:
@@ -272,7 +272,7 @@ def cell_importance(boards: DataFrame, weights: dict[str, float], top: int = 9)
             F.size(F.filter(x["puzzle"], lambda v: v != 0)).alias("given"),
             fills.alias("fills"),
         )
-        return _let(bound, lambda y: F.transform(_cells(), lambda i: score(y, i)))
+        return let(bound, lambda y: F.transform(_cells(), lambda i: score(y, i)))
 
     def score(y: Column, i: Column) -> Column:
         a, masks = y["a"], y["a"]["masks"]
@@ -310,12 +310,12 @@ def cell_importance(boards: DataFrame, weights: dict[str, float], top: int = 9)
                 ),
             )
 
-        return F.slice(F.array_sort(_let(span, scaled)), 1, top)
+        return F.slice(F.array_sort(let(span, scaled)), 1, top)
 
     shared = F.struct(
         F.col("board").alias("board"), _puzzle(boards).alias("puzzle"), _analysis(F.col("board")).alias("a")
     )
-    ranked = _let(_let(shared, of_board), best)
+    ranked = let(let(shared, of_board), best)
     return (
         boards.select("puzzle_id", F.posexplode(ranked).alias("pos", "cell"))
         .select(

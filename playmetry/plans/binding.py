@@ -16,6 +16,7 @@ from playmetry.functions.ids import ab_bucket, daily_rotation, date_key, pseudon
 from playmetry.functions.scoring import elo_update, lookup, risk_level, session_score
 from playmetry.functions.text import toxicity_keywords
 from playmetry.functions.vocab import LESSONS, TIER_XP
+from playmetry.operators.boards import let
 from playmetry.operators.ranking import calendar_streaks
 from playmetry.scale import moment
 from playmetry.streaming.enrich import enrich_sessions
@@ -476,34 +477,29 @@ def boards(spark: SparkSession, folder: str) -> DataFrame:
     the part's name, so boards differ row by row: every fourth one may conflict, every
     sixteenth is full, every thirty-second is full and right."""
     k = F.col("p_partkey").cast("int")
-
-    def solution(i: Column) -> Column:
-        r = F.floor(i / 9)
-        return ((3 * (r % 3) + F.floor(r / 3) + i % 9 + k) % 9 + 1).cast("int")
-
-    def digit(i: Column) -> Column:
-        return F.col("digits")[i % 32]
-
-    def shown(i: Column) -> Column:
-        blank = (digit(i) + F.floor(i / 32) * 5) % 16 < 7
-        return (
-            F.when(k % 32 == 0, solution(i))
-            .when((k % 4 == 0) & (digit(i * 5) == 15), solution(i) % 9 + 1)
-            .when((k % 16 != 0) & blank, 0)
-            .otherwise(solution(i))
-            .cast("int")
-        )
-
-    cells = F.sequence(F.lit(0), F.lit(80))
-    checksum = F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit("-"), F.col("p_name")))
-    named = F.transform(F.split(checksum, ""), lambda c: F.conv(c, 16, 10).cast("int")).alias("digits")
-    # The rules are heavy per row and a key with its digits is small, so they are dealt out to
-    # all cores first; without a number adaptive execution would gather them again.
-    cores = spark.sparkContext.defaultParallelism
-    return table(spark, folder, "part").select("p_partkey", named).repartition(cores, "p_partkey").select(
+    # Row 3 * (r % 3) + r / 3 of the first column's digits, moved on by the column; the part moves it on.
+    moved = F.expr(f"array({', '.join(f'{3 * (i // 9 % 3) + i // 27 + i % 9}L' for i in range(81))})")
+    solution = F.transform(moved, lambda v: ((v + F.col("p_partkey")) % 9 + 1).cast("int"))
+    digits = F.transform(F.split("checksum", ""), lambda c: F.instr(F.lit("0123456789abcdef"), c) - 1)
+    # What a row has once is bound outside the loop over its cells.
+    once = F.struct(solution.alias("solution"), digits.alias("digits"), (k % 4 == 0).alias("wrong"), (k % 16 != 0).alias("blank"))
+
+    def shown(x: Column) -> Column:
+        def cell(v: Column, i: Column) -> Column:
+            wrong = x["digits"][(i * 5).bitwiseAND(31)] == 15
+            blank = (x["digits"][i.bitwiseAND(31)] + F.shiftright(i, 5) * 5) % 16 < 7
+            return F.when(x["wrong"] & wrong, v % 9 + 1).when(x["blank"] & blank, 0).otherwise(v)
+
+        return F.transform(x["solution"], cell)
+
+    checksum = F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit("-"), F.col("p_name"))).alias("checksum")
+    # The rules are heavy per row and a key with its checksum is small, so they are dealt out first,
+    # into as many tasks as any shuffle has; without a number adaptive execution would gather them again.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return table(spark, folder, "part").select("p_partkey", checksum).repartition(tasks, "p_partkey").select(
         F.col("p_partkey").alias("puzzle_id"),
-        F.transform(cells, shown).alias("board"),
-        F.transform(cells, solution).alias("solution"),
+        F.when(k % 32 == 0, solution).otherwise(let(once, shown)).alias("board"),
+        solution.alias("solution"),
     )
 
 

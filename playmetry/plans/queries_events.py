@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from playmetry.functions import text
 from playmetry.operators import privacy
+from playmetry.operators.boards import let
 from playmetry.plans import binding as b
 from playmetry.plans.oracle import hmac_sql
 from playmetry.plans.queries_rules import KEY
@@ -123,8 +124,8 @@ register(
 def _grids(spark, d):
     """Boards as nine rows of cells, each with a value that is null where the cell is blank."""
     cell = lambda v: F.struct(F.nullif(v, F.lit(0)).alias("value"))
-    rows = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda r: F.transform(F.slice("board", r * 9 + 1, 9), cell))
-    return b.boards(spark, d).select("puzzle_id", rows.alias("grid"))
+    rows = lambda board: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda r: F.transform(F.slice(board, r * 9 + 1, 9), cell))
+    return b.boards(spark, d).select("puzzle_id", let(F.col("board"), rows).alias("grid"))
 
 
 register(

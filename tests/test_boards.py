@@ -1,11 +1,13 @@
 """Board rules against a plain reading of them, on small fixtures."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from playmetry.operators import boards as bd
+from playmetry.plans import QUERIES, binding
 
 SOLVED = [(3 * (i // 9 % 3) + i // 27 + i % 9) % 9 + 1 for i in range(81)]
 
@@ -151,6 +153,39 @@ def test_importance(frame, weights):
         assert len(mine) == len(want)
 
 
+def test_boards_are_made_once(spark, tmp_path):
+    rows = [(k, f"name {k}") for k in range(200)] + [(200, None), (None, "x"), (7, "name 7")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        made = binding.boards(spark, str(tmp_path))
+        assert made.rdd.getNumPartitions() == 9
+        cells, flat = (QUERIES[name](spark, str(tmp_path)) for name in ("explode_cells", "flatten_grid"))
+        plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (cells, flat)]
+        assert "slice(transform" not in plans[1] and "slice(lambda" in plans[1]
+        got = {}
+        for r in cells.where("puzzle_id IS NOT NULL").distinct().collect():
+            got[r["puzzle_id"], r["idx"]] = r["value"]
+        texts = {r["puzzle_id"]: r["cells"] for r in flat.where("puzzle_id IS NOT NULL").collect()}
+        assert cells.count() == 81 * len(rows) and flat.count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k, name in rows:
+        if k is None:
+            continue
+        right = [(3 * (i // 9 % 3) + i // 27 + i % 9 + k) % 9 + 1 for i in range(81)]
+        digits = [int(c, 16) for c in hashlib.md5(f"{k}-{name}".encode()).hexdigest()]
+        want = [
+            v if k % 32 == 0 or name is None
+            else v % 9 + 1 if k % 4 == 0 and digits[i * 5 % 32] == 15
+            else 0 if k % 16 and (digits[i % 32] + i // 32 * 5) % 16 < 7
+            else v
+            for i, v in enumerate(right)
+        ]
+        assert [got[k, i] for i in range(81)] == want and texts[k] == "".join(map(str, want))
+
+
 def test_explode_cells(spark):
     frame = spark.createDataFrame([(1, SOLVED)], "puzzle_id int, board array<int>")
     got = {r["idx"]: tuple(r)[2:] for r in bd.explode_cells(frame).collect()}
