@@ -163,6 +163,7 @@ def test_boards_are_made_once(spark, tmp_path):
         assert made.rdd.getNumPartitions() == 9
         cells, flat = (QUERIES[name](spark, str(tmp_path)) for name in ("explode_cells", "flatten_grid"))
         plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (cells, flat)]
+        assert "Filter" not in plans[0].split("Repartition")[1]
         assert "slice(transform" not in plans[1] and "slice(lambda" in plans[1]
         got = {}
         for r in cells.where("puzzle_id IS NOT NULL").distinct().collect():
@@ -186,6 +187,12 @@ def test_boards_are_made_once(spark, tmp_path):
         assert [got[k, i] for i in range(81)] == want and texts[k] == "".join(map(str, want))
 
 
+def test_no_board_no_cells(spark):
+    frame = spark.createDataFrame([(1, None), (2, []), (3, [5, None])], "puzzle_id long, board array<int>")
+    got = sorted((r["puzzle_id"], r["idx"], r["value"]) for r in bd.explode_cells(frame).collect())
+    assert [g[:2] for g in got] == [(3, 0), (3, 1)]
+
+
 def test_explode_cells(spark):
     frame = spark.createDataFrame([(1, SOLVED)], "puzzle_id int, board array<int>")
     got = {r["idx"]: tuple(r)[2:] for r in bd.explode_cells(frame).collect()}
