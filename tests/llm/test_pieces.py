@@ -122,3 +122,13 @@ def test_blocks_do_not_change_the_draws(monkeypatch):
         monkeypatch.setattr(p, "RUN", run)
         runs.append(p.encode_batch(LATTICES, ["k"], [text], 1)[0].tolist())
     assert all(r == runs[0] for r in runs) and p.decode_ids(VOCABULARY.texts, runs[0]) == text
+
+
+def test_by_share_is_a_sort_by_three_keys():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 50, 3000):
+        to, share, piece = rng.integers(0, n // 4 + 1, n).astype(np.int32), np.round(rng.random(n), 1), rng.integers(-5, 5, n)
+        got, want = p.by_share(to, share, piece), np.lexsort((piece, -share, to))
+        assert sorted(got.tolist()) == list(range(n))
+        for values in (to, share, piece):
+            assert (values[got] == values[want]).all()
