@@ -11,6 +11,7 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -24,6 +25,9 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 RUN = 1 << 16
 #: Lattice edges that a task keeps for words it has seen, before it starts anew; nodes are fewer.
 KEPT_EDGES = 1 << 22
+#: Characters worked on at once: temporary arrays take some 200 bytes for each, so they follow
+#: neither the rows of a batch nor the new words in it. One text or word may have more.
+PORTION = 1 << 18
 
 
 @dataclass
@@ -144,16 +148,18 @@ class Lattices:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.trie = Trie(vocabulary.pieces)
+        # Of words, nodes and edges; all have room for more than is in use.
+        self.base, self.length, self.first = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.chance, self.origin, self.piece = np.zeros(0, np.float32), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = defaultdict(count().__next__)
-        self.base, self.length, self.first = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.chance, self.origin, self.piece = np.zeros(0, np.float32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.words = self.nodes = self.edges = 0
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """A number for every word; lattices of new words are added."""
-        if len(self.piece) > KEPT_EDGES:
+        if self.edges > KEPT_EDGES:
             self.forget()
         before = len(self.known)
         which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
@@ -256,13 +262,15 @@ class Lattices:
         by_depth = np.argsort(depth[to].astype(np.int64) * total + to)
         source, target, value = origin[by_depth], to[by_depth], weight[by_depth]
         fresh = np.concatenate([[True], target[1:] != target[:-1]])
-        cuts = np.searchsorted(depth[target], np.arange(1, int(lengths.max()) + 2))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            first = np.flatnonzero(fresh[a:b])
+        heads, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1  # first edge of each node, node of each edge
+        reached = target[heads]
+        cuts = np.searchsorted(depth[reached], np.arange(1, int(lengths.max()) + 2))
+        edges = np.append(heads, len(target))[cuts]
+        for g, h, a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), edges[:-1].tolist(), edges[1:].tolist()):
+            first = heads[g:h] - a
             sums = value[a:b] + forward[source[a:b]]
             top = np.maximum.reduceat(sums, first)
-            sizes = np.diff(np.append(first, b - a))
-            forward[target[a:b][first]] = top + np.log(np.add.reduceat(np.exp(sums - np.repeat(top, sizes)), first))
+            forward[reached[g:h]] = top + np.log(np.add.reduceat(np.exp(sums - top[group[a:b] - g]), first))
         share = np.exp(forward[origin] + weight - forward[to])
         order = by_share(to, share, piece)  # by node, the likeliest first, whatever else is added
         origin, to, piece, share = origin[order], to[order], piece[order], share[order]
@@ -273,10 +281,21 @@ class Lattices:
             at = np.flatnonzero(place == k)
             chance[at] += chance[at - 1]
         chance[np.append(first[1:], len(to))[to] - 1 == np.arange(len(to))] = 2.0  # the last edge takes the rest
-        nodes, edges = len(self.first), len(self.piece)
-        for name, more in (("base", begin + nodes), ("length", lengths), ("first", first + edges), ("chance", chance), ("origin", origin + nodes), ("piece", piece)):
+        for name, at, more in (
+            ("base", self.words, begin + self.nodes),
+            ("length", self.words, lengths),
+            ("first", self.nodes, first + self.edges),
+            ("chance", self.edges, chance),
+            ("origin", self.edges, origin + self.nodes),
+            ("piece", self.edges, piece),
+        ):
             held = getattr(self, name)
-            setattr(self, name, np.concatenate([held, more.astype(held.dtype)]))
+            if at + len(more) > len(held):
+                wider = np.empty(max(at + len(more), 2 * len(held)), held.dtype)
+                wider[:at] = held[:at]
+                setattr(self, name, held := wider)
+            held[at : at + len(more)] = more
+        self.words, self.nodes, self.edges = self.words + len(words), self.nodes + total, self.edges + len(to)
 
     def sample(self, words: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One segmentation per entry: pieces in a row, and how many each entry has.
@@ -332,29 +351,52 @@ def spell(pieces: np.ndarray, counts: np.ndarray, byte_ids: np.ndarray) -> tuple
     return out, np.bincount(owner, width, len(counts)).astype(np.int64)
 
 
+def draw(lattices: Lattices, words: list[str], seeds: np.ndarray, long: dict[int, str]) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of words in a row, each drawn by its seed, and how many each word has; long ones by their place."""
+    if long:
+        words = ["\n" if k in long else w for k, w in enumerate(words)]  # its pieces give way to those of the long word
+    pieces, counts = lattices.sample(lattices.numbers(words), seeds)
+    if long:
+        drawn = np.split(pieces, np.cumsum(counts)[:-1])
+        for k, w in long.items():
+            drawn[k] = lattices.sample_long(w, seeds[k])
+        pieces, counts = np.concatenate(drawn), np.array([len(d) for d in drawn], np.int64)
+    return spell(pieces, counts, lattices.vocabulary.byte_ids)
+
+
 def encode_batch(lattices: Lattices, keys: list, texts: list, seed: int) -> list[np.ndarray]:
-    """Piece ids of every text, sampled under (seed, key, place in the text)."""
+    """Piece ids of every text, sampled under (seed, key, place in the text), words by portions."""
     words = [parts_of(t or "") for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     every = [w for ws in words for w in ws]
-    long = {k: w for k, w in enumerate(every) if len(w) > RUN} if any(len(t or "") >= RUN for t in texts) else {}
-    for k in long:
-        every[k] = "\n"  # its pieces give way to those of the long word
-    which = lattices.numbers(every)
     own = np.array([xxh3_64_intdigest(str(k), seed) for k in keys], np.uint64)
-    place = (np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint64)
+    place = (np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint64)
     seeds = mix64(np.repeat(own, sizes) + mix64(place))
-    pieces, counts = lattices.sample(which, seeds)
-    if long:
-        drawn = np.split(pieces, np.cumsum(counts)[:-1])
-        for k, w in long.items():
-            drawn[k] = lattices.sample_long(w, seeds[k])
-        pieces, counts = np.concatenate(drawn), np.array([len(d) for d in drawn], np.int64)
-    pieces, counts = spell(pieces, counts, lattices.vocabulary.byte_ids)
+    lengths = [len(t or "") for t in texts]
+    cuts, some_long = [0, len(every)], max(lengths, default=0) >= RUN
+    if sum(lengths) > PORTION:
+        ends = np.cumsum(np.fromiter(map(len, every), np.int64, len(every)))
+        cuts[1:1] = (np.flatnonzero(np.diff(ends // PORTION)) + 1).tolist()
+    drawn = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        long = {k: w for k, w in enumerate(every[a:b]) if len(w) > RUN} if some_long else {}
+        drawn.append(draw(lattices, every[a:b], seeds[a:b], long))
+    pieces, counts = (np.concatenate(x) for x in zip(*drawn))
     total = np.bincount(np.repeat(np.arange(len(texts)), sizes), counts, len(texts)).astype(np.int64)
     return np.split(pieces, np.cumsum(total)[:-1]) if len(texts) else []
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in turn, cut where the texts of a column would be more than a portion in all."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < len(ends):
+            b = max(a + 1, int(np.searchsorted(ends, PORTION + (ends[a - 1] if a else 0), "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def id_lists(lattices: Lattices, keys: list, texts: list, seed: int) -> pa.ListArray:
     """The ids of every text as lists of a column, null for null texts."""
     ids = encode_batch(lattices, keys, texts, seed)
@@ -383,7 +425,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, seed: int = 1, key: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(vocabulary)
-        for batch in batches:
+        for batch in portions(batches, len(others) + 1):
             keys, texts = (batch.column(len(others) + k).to_pylist() for k in (0, 1))
             lists = id_lists(lattices, keys, texts, seed)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), lists], names=[*others, out])
@@ -421,7 +463,7 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, seed: int = 1, key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(vocabulary)
-        for batch in batches:
+        for batch in portions(batches, 1):
             source = batch.column(1).to_pylist()
             lists = id_lists(lattices, batch.column(0).to_pylist(), source, seed)
             ids = [lists.values[a:b].to_numpy() for a, b in zip(lists.offsets[:-1].to_pylist(), lists.offsets[1:].to_pylist())]

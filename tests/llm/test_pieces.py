@@ -1,7 +1,9 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -132,3 +134,46 @@ def test_by_share_is_a_sort_by_three_keys():
         assert sorted(got.tolist()) == list(range(n))
         for values in (to, share, piece):
             assert (values[got] == values[want]).all()
+
+
+def new_words(n):
+    rng = np.random.default_rng(7)
+    letters = np.array(list("abcdeinorst"))
+    return " ".join("".join(w) for w in letters[rng.integers(0, len(letters), (n, 9))])
+
+
+def test_memory_does_not_follow_the_new_words_of_a_batch(monkeypatch):
+    monkeypatch.setattr(p, "KEPT_EDGES", 1 << 16)  # else lattices are kept, which is not what is measured
+    lattices, text = p.Lattices(VOCABULARY), new_words(100_000)
+    cut = range(0, len(text), len(text) // 50)
+    texts = [text[a : a + len(text) // 50] for a in cut]
+    tracemalloc.start()
+    ids = p.encode_batch(lattices, list(cut), texts, 1)
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    assert [p.decode_ids(VOCABULARY.texts, i.tolist()) for i in ids] == texts
+    assert peak < 120, f"{peak:.0f} MB for {len(text) / 2**20:.1f} MB of text"
+
+
+def test_portions_do_not_change_the_draws(monkeypatch):
+    texts = [new_words(300), None, "", "x" * 50 + "日本 ▁\n\n  b", new_words(20)]
+    drawn = []
+    for portion in (1, 7, 1000, 1 << 20):
+        monkeypatch.setattr(p, "PORTION", portion)
+        monkeypatch.setattr(p, "RUN", 40)
+        drawn.append([i.tolist() for i in p.encode_batch(p.Lattices(VOCABULARY), list(range(5)), texts, 1)])
+    assert all(d == drawn[0] for d in drawn)
+    assert [p.decode_ids(VOCABULARY.texts, i) for i in drawn[0]] == [t or "" for t in texts]
+
+
+def test_portions_hold_all_rows(monkeypatch):
+    texts = ["ab", None, "", "abcdefghijkl", "é", "abc", None, "abcd", ""]
+    made = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], names=["id", "text"])
+    for portion, most in ((1, 3), (4, 5), (100, 9)):
+        monkeypatch.setattr(p, "PORTION", portion)
+        cut = list(p.portions(iter([made, made.slice(0, 0), made.slice(2, 5)]), 1))
+        assert [x for b in cut for x in b.column(1).to_pylist()] == texts + texts[2:7]
+        assert max(b.num_rows for b in cut) <= most
+        for b in cut:
+            sizes = [len((t or "").encode()) for t in b.column(1).to_pylist()]
+            assert sum(sizes) <= portion or sum(map(bool, sizes)) == 1
